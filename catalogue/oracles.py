@@ -1 +1,458 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL with the same result as the query of the same name.
+
+Written from the meaning of each operator, not from the Spark plan: windows and
+plain joins wherever the Spark side aggregates, splits or packs.
+"""
+
+from __future__ import annotations
+
+LAT = "((c_custkey * 37) % 17900) / 100.0 - 89.5"
+LON = "((c_custkey * 91) % 35900) / 100.0 - 179.5"
+SCORE = "(((c_custkey * 13) % 121) - 10) / 100.0"
+NO_CODES = "TRY_CAST(NULL AS INTEGER)"
+
+
+def _built(key: str) -> str:
+    text = f"CASE WHEN {key} % 10 = 7 THEN 'n/a' ELSE CAST({key} % 17 + 1985 AS VARCHAR) END"
+    return f"TRY_CAST({text} AS DOUBLE)"
+
+
+def _land_use(code: str) -> str:
+    ranges = [
+        (11, 13, "SINGLE OR TWO RESIDENTIAL"),
+        (21, 25, "MULTIFAMILY"),
+        (31, 38, "OFFICE AND PUBLIC SERVICE"),
+        (40, 49, "INSTITUTIONAL"),
+        (51, 53, "COMMERCIAL"),
+        (62, 62, "AIRPORT"),
+        (61, 69, "INDUSTRIAL"),
+        (70, 97, "OPEN SPACES/NA"),
+        (0, 8, "OPEN SPACES/NA"),
+    ]
+    tests = " ".join(f"WHEN {code} BETWEEN {a} AND {b} THEN '{n}'" for a, b, n in ranges)
+    return f"CASE {tests} ELSE CAST({code} AS VARCHAR) END"
+
+
+LOCATIONS = f"""
+locations AS (
+  SELECT c_custkey,
+         CAST(CASE WHEN c_custkey % 50 = 3 THEN NULL WHEN c_custkey % 50 = 4 THEN -91.0
+              ELSE {LAT} END AS DOUBLE) AS lat,
+         CAST({LON} AS DOUBLE) AS "long",
+         CAST({SCORE} AS DOUBLE) AS scores
+  FROM customer)"""
+
+CLEAN = "SELECT * FROM locations WHERE lat IS NOT NULL AND lat >= -90"
+
+FEED = """
+SELECT lat, "long", scores AS score,
+       CASE WHEN scores >= 0.6 THEN 'high' WHEN scores >= 0.4 THEN 'mid'
+            WHEN scores >= 0 THEN 'low' END AS band,
+       CASE WHEN scores >= 0.6 THEN 'red' WHEN scores >= 0.4 THEN 'yellow'
+            WHEN scores >= 0 THEN 'green' END AS color,
+       'Score: ' || CAST(scores AS VARCHAR) AS popup
+FROM locations WHERE lat IS NOT NULL"""
+
+# Bits by halving intervals: b-th bit of a coordinate in 0..1 is the parity of its cell of width 2^-b.
+GEOHASH = """
+SELECT c_custkey, lat, "long", scores,
+       array_to_string(list_transform(range(5), lambda d: substr('0123456789bcdefghjkmnpqrstuvwxyz',
+         1 + CAST(list_sum(list_transform(range(5), lambda i:
+           (CAST(floor(CASE WHEN (5 * d + i) % 2 = 0
+                            THEN ("long" + 180) / 360 ELSE (lat + 90) / 180 END
+                       * (2 ** ((5 * d + i) // 2 + 1))) AS BIGINT) % 2) * (1 << (4 - i)))) AS BIGINT),
+         1)), '') AS geohash
+FROM (SELECT * FROM locations WHERE lat IS NOT NULL AND lat >= -90)"""
+
+SCORED = """
+scored AS (
+  SELECT d.doc_id, d.n_chars, d.lang, l.toxic AS y, 100.0::DOUBLE / (d.n_chars + 100) AS scores,
+         CAST(100.0::DOUBLE / (d.n_chars + 100) >= 0.1 AS INTEGER) AS y_pred
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+# The events of the stand-in tables, with years.
+EVENTS = """
+ev AS (SELECT o_custkey AS address, CAST(year(o_orderdate) AS INTEGER) AS y,
+              o_orderpriority AS kind, o_orderstatus AS status, o_totalprice AS price FROM orders),
+offences AS (SELECT DISTINCT user_id AS address, CAST(event_id % 7 + 1995 AS INTEGER) AS y,
+                    event_type AS kind FROM events),
+visits AS (SELECT l_orderkey AS address, CAST(year(l_shipdate) AS INTEGER) AS y,
+                  l_returnflag AS kind FROM lineitem)"""
+
+PRIORITIES = {
+    "n_urgent": "1-URGENT",
+    "n_high": "2-HIGH",
+    "n_medium": "3-MEDIUM",
+    "n_low": "5-LOW",
+    "n_never": "9-NEVER",
+}
+MATRIX = ", ".join(
+    f"count(*) FILTER (WHERE {{kind}} = '{value}') AS {name}" for name, value in PRIORITIES.items()
+)
+
+
+def _matrix(kind: str) -> str:
+    return MATRIX.format(kind=kind)
+
+
+PROPERTY = f"""
+SELECT c_custkey AS address, {{ref}} - {_built("c_custkey")} AS age, c_mktsegment AS segment,
+       CAST({LAT} AS DOUBLE) AS lat, CAST({LON} AS DOUBLE) AS lon
+FROM customer"""
+
+CODE_CASES = f"""
+SELECT address, {_matrix("kind")}, count(kind) AS total_violations,
+       CAST(1 AS INTEGER) AS any_violations
+FROM ev WHERE y BETWEEN 1995 AND 1998 GROUP BY address"""
+
+CRIMES = """
+SELECT address, count(kind) AS crime_incidents, CAST(1 AS INTEGER) AS any_crime
+FROM offences WHERE y BETWEEN 1995 AND 1998 GROUP BY address"""
+
+UTILITY = """
+SELECT address, count(y) AS utility_discon_count, 2001 - max(y) AS since_last_disconnect,
+       CAST(1 AS INTEGER) AS any_disconnects
+FROM ev WHERE status = 'F' AND y BETWEEN 1995 AND 1998 GROUP BY address"""
+
+LABEL = """
+SELECT DISTINCT address, CAST(1 AS INTEGER) AS incident
+FROM ev WHERE kind = '1-URGENT' AND y BETWEEN 1999 AND 2000"""
+
+INSPECTIONS = """
+SELECT address, CAST(min(CASE WHEN kind = 'R' THEN 1 ELSE 0 END) AS INTEGER) AS ready_anytime,
+       CASE WHEN count(*) FILTER (WHERE kind IS DISTINCT FROM 'R') > 0
+            THEN count(*) FILTER (WHERE kind IS DISTINCT FROM 'R') ELSE count(*) END
+         AS inspections_count
+FROM visits WHERE y BETWEEN 1995 AND 1998 GROUP BY address"""
+
+PARCELS = f"""
+SELECT address, {_land_use("p_size")} AS activity, p_retailprice AS buildval
+FROM (SELECT p_partkey // 2 AS address, p_size, p_retailprice,
+             row_number() OVER (PARTITION BY p_partkey // 2 ORDER BY p_partkey DESC) AS rn
+      FROM part) WHERE rn = 1"""
+
+REOPENED = """
+SELECT DISTINCT f.address
+FROM ev f JOIN ev p ON f.address = p.address AND p.y > f.y
+WHERE f.price > 400000 AND p.status = 'O'
+  AND f.y BETWEEN 1995 AND 1998 AND p.y BETWEEN 1995 AND 1998"""
+
+FORECLOSED = f"""
+SELECT DISTINCT address, CAST(1 AS INTEGER) AS foreclosed
+FROM ev WHERE price > 400000 AND y BETWEEN 1995 AND 1998
+  AND address NOT IN (SELECT address FROM ({REOPENED}))"""
+
+FEATURE_TABLE = f"""
+WITH {EVENTS},
+base AS ({PROPERTY.format(ref="2001")}),
+cases AS ({CODE_CASES}), crimes AS ({CRIMES}), utility AS ({UTILITY}), label AS ({LABEL}),
+inspected AS ({INSPECTIONS}), parcels AS ({PARCELS}), closed AS ({FORECLOSED}),
+rented AS (SELECT DISTINCT address, CAST(1 AS INTEGER) AS rent_reg FROM ev
+           WHERE status = 'O' AND y BETWEEN 1995 AND 1998)
+SELECT b.*,
+       {", ".join(f"coalesce({n}, 0) AS {n}" for n in PRIORITIES)},
+       coalesce(total_violations, 0) AS total_violations,
+       coalesce(any_violations, 0) AS any_violations,
+       coalesce(crime_incidents, 0) AS crime_incidents,
+       coalesce(any_crime, 0) AS any_crime,
+       coalesce(utility_discon_count, 0) AS utility_discon_count,
+       coalesce(since_last_disconnect, 0) AS since_last_disconnect,
+       coalesce(any_disconnects, 0) AS any_disconnects,
+       coalesce(rent_reg, 0) AS rent_reg,
+       coalesce(incident, 0) AS incident,
+       coalesce(ready_anytime, 0) AS ready_anytime,
+       coalesce(inspections_count, 0) AS inspections_count,
+       coalesce(activity, '0') AS activity,
+       coalesce(buildval, 0.0) AS buildval,
+       coalesce(foreclosed, 0) AS foreclosed
+FROM base b LEFT JOIN cases USING (address) LEFT JOIN crimes USING (address)
+LEFT JOIN utility USING (address) LEFT JOIN label USING (address)
+LEFT JOIN inspected USING (address) LEFT JOIN parcels USING (address)
+LEFT JOIN closed USING (address) LEFT JOIN rented USING (address)"""
+
+
+def _seen(name: str, measure: str, source: str, since: int | None = None) -> str:
+    """Events of ``source`` joined to every as-of year from their own year on."""
+    late = f" AND a.as_of >= {since}" if since else ""
+    return f"""{name} AS (
+  SELECT e.address, a.as_of, {measure} FROM {source} e JOIN years a ON e.y <= a.as_of{late}
+  GROUP BY e.address, a.as_of)"""
+
+
+PANEL = f"""
+WITH {EVENTS},
+years AS (SELECT CAST(range AS INTEGER) AS as_of FROM range(1995, 2002)),
+base AS (SELECT c_custkey AS address, as_of, as_of - {_built("c_custkey")} AS age,
+                c_mktsegment AS segment, CAST({LAT} AS DOUBLE) AS lat, CAST({LON} AS DOUBLE) AS lon
+         FROM customer, years WHERE {_built("c_custkey")} <= as_of),
+{_seen("cases", _matrix("e.kind") + ", count(e.kind) AS total_violations, 1 AS any_violations", "ev", 1996)},
+{_seen("crimes", "count(e.kind) AS crime_incident, 1 AS any_crime", "offences", 1997)},
+{_seen("utility", "count(*) AS discons, a.as_of - max(e.y) AS since_last",
+       "(SELECT * FROM ev WHERE status = 'F')")},
+{_seen("permits", "a.as_of - max(e.y) AS permit_duration", "(SELECT * FROM ev WHERE status = 'O')")},
+{_seen("inspected", "min(CASE WHEN e.kind = 'R' THEN 1 ELSE 0 END) AS ready", "visits", 1996)},
+label AS (SELECT DISTINCT e.address, a.as_of FROM ev e JOIN years a
+          ON e.y BETWEEN a.as_of AND a.as_of + 2 WHERE e.kind = '1-URGENT'),
+reopened AS (SELECT DISTINCT f.address, a.as_of FROM ev f
+             JOIN ev p ON f.address = p.address AND p.y > f.y
+             JOIN years a ON p.y <= a.as_of WHERE f.price > 400000 AND p.status = 'O'),
+filed AS (SELECT DISTINCT e.address, a.as_of FROM ev e JOIN years a ON e.y <= a.as_of
+          WHERE e.price > 400000),
+closed AS (SELECT * FROM filed EXCEPT SELECT * FROM reopened),
+parcels AS ({PARCELS})
+SELECT b.address, b.as_of, b.age, b.segment, b.lat, b.lon,
+       {", ".join(f"coalesce(c.{n}, 0) AS {n}" for n in PRIORITIES)},
+       coalesce(c.total_violations, 0) AS total_violations,
+       CAST(coalesce(c.any_violations, 0) AS INTEGER) AS any_violations,
+       coalesce(k.crime_incident, 0) AS crime_incident,
+       CAST(coalesce(k.any_crime, 0) AS INTEGER) AS any_crime,
+       coalesce(u.discons, 0) AS utility_discon_count,
+       CAST(coalesce(u.since_last, 0) AS INTEGER) AS since_last_disconnect,
+       CAST(u.address IS NOT NULL AS INTEGER) AS any_disconnects,
+       CAST(p.permit_duration AS INTEGER) AS permit_duration,
+       CAST(p.address IS NOT NULL AS INTEGER) AS rent_reg,
+       CAST(l.address IS NOT NULL AS INTEGER) AS incident,
+       CAST(coalesce(i.ready, 0) AS INTEGER) AS ready_anytime,
+       coalesce(x.activity, '0') AS activity, coalesce(x.buildval, 0.0) AS buildval,
+       CAST(z.address IS NOT NULL AS INTEGER) AS foreclosed,
+       CAST(b.as_of + 2 <= (SELECT max(y) FROM ev) AS INTEGER) AS label_complete
+FROM base b
+LEFT JOIN cases c ON b.address = c.address AND b.as_of = c.as_of
+LEFT JOIN crimes k ON b.address = k.address AND b.as_of = k.as_of
+LEFT JOIN utility u ON b.address = u.address AND b.as_of = u.as_of
+LEFT JOIN permits p ON b.address = p.address AND b.as_of = p.as_of
+LEFT JOIN inspected i ON b.address = i.address AND b.as_of = i.as_of
+LEFT JOIN label l ON b.address = l.address AND b.as_of = l.as_of
+LEFT JOIN closed z ON b.address = z.address AND b.as_of = z.as_of
+LEFT JOIN parcels x ON b.address = x.address"""
+
+TRACE_WIDTHS = {
+    "properties": 5,
+    "code_cases": 12,
+    "offenses": 14,
+    "utility_disconnects": 17,
+    "rentals": 18,
+    "incidents": 19,
+    "inspections": 21,
+    "parcels": 23,
+    "foreclosures": 24,
+}
+
+
+def _profiled(name: str, number: bool) -> str:
+    value = f"CAST({name} AS DOUBLE)" if number else "NULL::DOUBLE"
+    text = "NULL::VARCHAR"
+    if not number:
+        shown = "CAST(o_orderdate AS VARCHAR)" if name == "o_orderdate" else name
+        text = shown
+    return f"""
+SELECT '{name}' AS column_name, count(*) AS "rows", count(*) - count({name}) AS nulls,
+       count(DISTINCT {name}) AS distinct_values, min({value}) AS min_number,
+       max({value}) AS max_number, round(avg({value}), 4) AS mean,
+       round(stddev_samp({value}), 4) AS stddev, min({text}) AS min_text, max({text}) AS max_text
+FROM orders"""
+
+
+def _top(name: str) -> str:
+    return f"""
+SELECT '{name}' AS column_name, value, n, CAST(rk AS INTEGER) AS "rank" FROM (
+  SELECT CAST({name} AS VARCHAR) AS value, count(*) AS n,
+         row_number() OVER (ORDER BY count(*) DESC, CAST({name} AS VARCHAR)) AS rk
+  FROM orders GROUP BY {name}) WHERE rk <= 5"""
+
+
+ORACLES: dict[str, str] = {
+    "key_normalise": """
+        SELECT p_partkey AS id, replace(upper(p_name), ' ', '') AS key FROM part
+        UNION ALL SELECT c_custkey, replace(upper(c_name), ' ', '') FROM customer""",
+    "lenient_number": """
+        SELECT p_partkey, TRY_CAST(CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR)
+            WHEN 1 THEN ' ' || p_size || ' ' WHEN 2 THEN p_size || '.5' ELSE p_brand END
+            AS DOUBLE) AS number FROM part""",
+    "lenient_timestamp": """
+        SELECT o_orderkey, coalesce(try_strptime(t, '%Y-%m-%d'), try_strptime(t, '%m/%d/%Y'))
+                 AS stamp
+        FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d')
+                WHEN 1 THEN strftime(o_orderdate, '%-m/%-d/%Y') ELSE o_orderstatus END AS t
+              FROM orders)""",
+    "strict_year": """
+        SELECT l_orderkey, l_linenumber, CAST(year(l_shipdate) AS INTEGER) AS ship_year
+        FROM lineitem""",
+    "age_recency_duration": f"""
+        SELECT o_custkey, 2001 - {_built("o_custkey")} AS age,
+               CAST(2001 - max(year(o_orderdate)) AS INTEGER) AS since_last,
+               CAST(max(year(o_orderdate)) - min(year(o_orderdate)) AS INTEGER) AS duration
+        FROM orders GROUP BY o_custkey""",
+    "land_use_category": f"""
+        SELECT p_partkey, {_land_use("p_size")} AS by_size,
+               {_land_use("(p_partkey % 103 - 1)")} AS by_code FROM part""",
+    "score_band_feed": f"WITH {LOCATIONS} {FEED}",
+    "high_score_feed": f"WITH {LOCATIONS} {FEED} AND scores >= 0.7",
+    "haversine_origin": f"""
+        SELECT c_custkey, round(2 * 3956.0::DOUBLE * asin(sqrt(
+            power(sin(radians({LAT}) / 2), 2)
+            + cos(radians({LAT})) * power(sin(radians({LON}) / 2), 2))), 7) AS miles
+        FROM customer""",
+    "geohash5": f"WITH {LOCATIONS} {GEOHASH}",
+    "location_clean": f"WITH {LOCATIONS} {CLEAN}",
+    "select_rename_drop": """
+        SELECT s_suppkey AS id, s_name AS name FROM supplier
+        UNION ALL SELECT c_custkey, c_name FROM customer""",
+    "one_hot": "SELECT c_custkey, "
+    + ", ".join(
+        f"CAST(c_mktsegment = '{s}' AS INTEGER) AS seg_{s}"
+        for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    )
+    + " FROM customer",
+    "window_filter": """
+        SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders
+        WHERE year(o_orderdate) BETWEEN 1995 AND 1998""",
+    "as_of_filter": """
+        SELECT l_returnflag, count(*) AS n FROM lineitem
+        WHERE year(l_shipdate) <= 1996 GROUP BY l_returnflag""",
+    "label_window": """
+        SELECT o_orderkey, o_custkey FROM orders
+        WHERE year(o_orderdate) BETWEEN 1996 AND 2000 AND o_orderpriority = '1-URGENT'""",
+    "null_keeping_inequality": """
+        SELECT o_orderkey, nullif(o_orderstatus, 'P') AS status FROM orders
+        WHERE nullif(o_orderstatus, 'P') IS DISTINCT FROM 'F'""",
+    "not_in_list": """
+        SELECT c_custkey, CASE WHEN c_custkey % 5 > 2 THEN c_name END AS key FROM customer
+        WHERE c_custkey % 5 >= 2""",
+    "complete_rows": f"WITH {LOCATIONS} SELECT * FROM locations WHERE lat IS NOT NULL",
+    "distinct_rows_of_orders": """
+        SELECT DISTINCT o_custkey, o_orderpriority, o_orderstatus FROM orders""",
+    "last_per_key": """
+        SELECT o_custkey, o_orderdate, o_orderkey, o_orderpriority, o_totalprice FROM (
+          SELECT *, row_number() OVER (PARTITION BY o_custkey
+                                       ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+          FROM orders) WHERE rn = 1""",
+    "last_part_per_size": """
+        SELECT p_size, p_partkey, p_retailprice FROM (
+          SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey DESC) AS rn
+          FROM part) WHERE rn = 1""",
+    "feature_attach": """
+        SELECT c_custkey, c_acctbal, coalesce(n, 0) AS n_orders,
+               CAST(n IS NOT NULL AS INTEGER) AS any_order
+        FROM customer LEFT JOIN (SELECT o_custkey, count(o_orderkey) AS n FROM orders
+                                 WHERE o_totalprice > 450000 GROUP BY o_custkey)
+          ON c_custkey = o_custkey""",
+    "feature_fanout": """
+        SELECT c_custkey, c_mktsegment, o_orderkey, o_orderdate
+        FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 350000)
+          ON c_custkey = o_custkey""",
+    "events_with_attributes": """
+        SELECT l_orderkey, l_linenumber, l_suppkey, s_nationkey
+        FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey""",
+    "anti_keys": """
+        SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (
+          SELECT o_custkey FROM orders
+          WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000)""",
+    "member_flag": """
+        SELECT c_custkey, CAST(c_custkey IN (SELECT o_custkey FROM orders
+          WHERE o_totalprice > 450000) AS INTEGER) AS big_buyer FROM customer""",
+    "reopened_keys": f"WITH {EVENTS} {REOPENED}",
+    "foreclosed_flag": f"""
+        WITH {EVENTS} SELECT c_custkey AS address, coalesce(foreclosed, 0) AS foreclosed
+        FROM customer LEFT JOIN ({FORECLOSED}) f ON c_custkey = f.address""",
+    "count_max_per_key": f"""
+        WITH {EVENTS} SELECT address, count(y) AS n, max(y) AS last_year
+        FROM ev WHERE y BETWEEN 1995 AND 1998 GROUP BY address""",
+    "sum_per_key": """
+        SELECT l_suppkey, CAST(sum(l_linenumber) AS BIGINT) AS l_linenumber,
+               sum(l_quantity) AS l_quantity FROM lineitem GROUP BY l_suppkey""",
+    "category_matrix": f"""
+        SELECT o_custkey, {_matrix("o_orderpriority")}, count(*) AS total,
+               CAST(1 AS INTEGER) AS any_order,
+               count(*) FILTER (WHERE o_orderpriority <> '4-NOT SPECIFIED') AS listed
+        FROM orders GROUP BY o_custkey""",
+    "class_balance": """
+        SELECT count(*) FILTER (WHERE toxic = 0) AS n0, count(*) FILTER (WHERE toxic = 1) AS n1,
+               CAST(count(*) FILTER (WHERE toxic = 0) AS DOUBLE)
+                 / count(*) FILTER (WHERE toxic = 1) AS ratio FROM labels""",
+    "last_incident": f"""
+        WITH {EVENTS},
+        past AS (SELECT address, CAST(1997 - max(y) AS INTEGER) AS last_incident FROM ev
+                 WHERE kind = '1-URGENT' AND y <= 1997 GROUP BY address),
+        now AS (SELECT address, count(*) AS incident_count FROM ev
+                WHERE kind = '1-URGENT' AND y BETWEEN 1997 AND 2001 GROUP BY address)
+        SELECT * FROM now JOIN past USING (address)""",
+    "row_trace": " UNION ALL ".join(
+        f"SELECT '{step}' AS step, count(*) AS \"rows\", CAST({width} AS INTEGER) AS columns"
+        " FROM customer"
+        for step, width in TRACE_WIDTHS.items()
+    ),
+    "topk_scores": f"WITH {SCORED} SELECT * FROM scored ORDER BY scores DESC, doc_id LIMIT 20",
+    "running_hits": f"""
+        WITH {SCORED}, ranked AS (
+          SELECT doc_id, scores, y, row_number() OVER (ORDER BY scores DESC, doc_id) AS rk
+          FROM scored)
+        SELECT CAST(a.rk AS INTEGER) AS "rank", a.scores, a.doc_id,
+               CAST((SELECT count(*) FROM ranked b WHERE b.rk <= a.rk AND b.y = 1) AS BIGINT)
+                 AS cumulative_hits
+        FROM ranked a WHERE a.rk <= 20""",
+    "hits_in_topk": f"""
+        WITH {SCORED} SELECT count(*) FILTER (WHERE y = 1 AND y_pred = 1) AS hits
+        FROM (SELECT * FROM scored ORDER BY scores DESC, doc_id LIMIT 100)""",
+    "union_with_gaps": f"""
+        SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment, {NO_CODES} AS s_nationkey
+        FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL, s_nationkey FROM supplier""",
+    "fb_property": PROPERTY.format(ref="2001"),
+    "fb_property_as_of": PROPERTY.format(ref="1996") + f" WHERE {_built('c_custkey')} <= 1996",
+    "fb_code_cases": f"WITH {EVENTS} {CODE_CASES}",
+    "fb_crimes": f"WITH {EVENTS} {CRIMES}",
+    "fb_utility": f"WITH {EVENTS} {UTILITY}",
+    "fb_rental": f"""
+        WITH {EVENTS} SELECT address, CAST(1 AS INTEGER) AS rent_reg,
+               CAST(1998 - max(y) AS INTEGER) AS permit_duration
+        FROM ev WHERE status = 'O' AND y <= 1998 GROUP BY address""",
+    "fb_fire_label": f"WITH {EVENTS} {LABEL}",
+    "fb_inspections": f"WITH {EVENTS} {INSPECTIONS}",
+    "fb_parcels": PARCELS,
+    "fb_foreclosure": f"WITH {EVENTS} {FORECLOSED}",
+    "full_feature_table": FEATURE_TABLE,
+    "full_as_of_panel": PANEL,
+    "stratified_split": """
+        SELECT doc_id, quality, toxic, CAST(rk <= ceil(n * 0.33::DOUBLE) AS INTEGER) AS is_test
+        FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5('42:' || doc_id)) AS rk,
+                     count(*) OVER (PARTITION BY toxic) AS n FROM labels)""",
+    "shuffled_rows": """
+        SELECT c_custkey, row_number() OVER (ORDER BY md5('42:' || c_custkey)) AS position
+        FROM customer""",
+    "stratified_folds": """
+        SELECT doc_id, quality, toxic,
+               CAST((row_number() OVER (PARTITION BY toxic ORDER BY md5('42:' || doc_id)) - 1) % 5
+                 AS INTEGER) AS fold FROM labels""",
+    "confusion_counts": f"""
+        WITH {SCORED} SELECT count(*) FILTER (WHERE y = 0 AND y_pred = 0) AS tn,
+               count(*) FILTER (WHERE y = 0 AND y_pred = 1) AS fp,
+               count(*) FILTER (WHERE y = 1 AND y_pred = 0) AS fn,
+               count(*) FILTER (WHERE y = 1 AND y_pred = 1) AS tp FROM scored""",
+    "accuracy": f"""
+        WITH {SCORED} SELECT accuracy, 1 - accuracy AS error FROM (
+          SELECT CAST(count(*) FILTER (WHERE y = y_pred) AS DOUBLE) / count(*) AS accuracy
+          FROM scored)""",
+    "recall_precision": f"""
+        WITH {SCORED} SELECT lang,
+          coalesce(count(*) FILTER (WHERE y = 1 AND y_pred = 1)::DOUBLE
+            / nullif(count(*) FILTER (WHERE y = 1), 0), 0.0) AS recall,
+          coalesce(count(*) FILTER (WHERE y = 1 AND y_pred = 1)::DOUBLE
+            / nullif(count(*) FILTER (WHERE y_pred = 1), 0), 0.0) AS "precision"
+        FROM scored GROUP BY lang""",
+    "column_profile": " UNION ALL ".join(
+        _profiled(name, number)
+        for name, number in [
+            ("o_orderkey", True),
+            ("o_custkey", True),
+            ("o_orderstatus", False),
+            ("o_totalprice", True),
+            ("o_orderdate", False),
+            ("o_orderpriority", False),
+        ]
+    ),
+    "column_top_values": " UNION ALL ".join(
+        _top(name) for name in ("o_custkey", "o_orderstatus", "o_orderpriority")
+    ),
+    "sink_round_trip": """
+        SELECT *, 'parquet' AS fmt FROM customer UNION ALL SELECT *, 'csv' FROM customer""",
+}
