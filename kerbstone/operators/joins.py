@@ -1,9 +1,10 @@
 """Joins on a property key.
 
 ``attach`` and ``flag_in`` expect one row per key on the left, as feature tables have:
-no key can be hot then, and right sides arrive aggregated. The ``*_events`` forms
-take any number of rows per key and split the keys that hold too many of them.
-Null keys never match.
+no key can be hot then, and right sides arrive aggregated. The forms for events
+take any number of rows per key: a side Spark itself would broadcast is left to
+it, and beyond that size the keys that hold too many rows are split. Null keys
+never match.
 """
 
 from __future__ import annotations
@@ -22,14 +23,20 @@ def hot_keys(
     df: DataFrame, key: str, share: float = HOT_SHARE, rows: int = HOT_ROWS
 ) -> DataFrame:
     """Keys that hold too many rows, and into how many parts to split each: (key, parts)."""
+    limit = df.agg(F.greatest(F.lit(float(rows)), F.count(key) * F.lit(share)).alias("n")).scalar()
     sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n").alias("total")).scalar()
-    limit = F.greatest(F.lit(float(rows)), total * F.lit(share))
     return sizes.filter(F.col("n") > limit).select(
         key, F.ceil(F.col("n") / limit).cast("int").alias("parts")
     )
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Is the planner's size estimate of ``df`` below its own broadcast limit?"""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def _part(df: DataFrame, parts: Column) -> Column:
     """Which part of its key a row belongs to: settled by the row's own values, so that
     a task run again decides the same way."""
@@ -65,6 +72,8 @@ def attach_events(
     row goes to every part, and copies whose part holds nothing are dropped:
     a hot key fills at least one part.
     """
+    if fits_broadcast(right):
+        return left.join(right, key, "left")
     right = right.filter(F.col(key).isNotNull())
     hot = hot_keys(right, key, share, rows)
     joined = _copy(left, hot, key).join(
@@ -91,6 +100,8 @@ def events_with(
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join: {how}")
+    if fits_broadcast(right):
+        return left.join(right, key, how)
     hot = hot_keys(left, key, share, rows)
     copies = _copy(right.filter(F.col(key).isNotNull()), hot, key).drop("parts")
     return _split(left, hot, key).join(copies, [key, "_part"], how).drop("_part")
