@@ -296,14 +296,16 @@ def member_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reopened_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filed = si.filings(spark, sf_dir).seen(si.FEATURES).withColumnRenamed("year", "filed")
-    let = si.permits(spark, sf_dir).seen(si.FEATURES).withColumnRenamed("year", "let")
+    orders = si.orders(spark, sf_dir)
+    filed = si.filings(orders).seen(si.FEATURES).withColumnRenamed("year", "filed")
+    let = si.permits(orders).seen(si.FEATURES).withColumnRenamed("year", "let")
     return si.snake(joins.reopened(filed, let, fb.KEY, "filed", "let"))
 
 
 @query
 def foreclosed_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    still = fb.foreclosed(si.filings(spark, sf_dir), si.permits(spark, sf_dir), si.FEATURES)
+    orders = si.orders(spark, sf_dir)
+    still = fb.foreclosed(si.filings(orders), si.permits(orders), si.FEATURES)
     customers = si.properties(spark, sf_dir).select(fb.KEY)
     return si.snake(joins.flag_in(customers, still, fb.KEY, "foreclosed"))
 
@@ -313,7 +315,7 @@ def foreclosed_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def count_max_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = si.order_events(spark, sf_dir).seen(si.FEATURES)
+    seen = si.order_events(si.orders(spark, sf_dir)).seen(si.FEATURES)
     return si.snake(aggregates.count_and_last(seen, fb.KEY, "year", "n", "last_year"))
 
 
@@ -342,8 +344,8 @@ def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def last_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = si.order_events(spark, sf_dir, F.col("o_orderpriority") == si.URGENT)
-    seen = orders.seen(Span())
+    urgent = si.orders(spark, sf_dir).filter(F.col("o_orderpriority") == si.URGENT)
+    seen = si.order_events(urgent).seen(Span())
     year = F.col("year")
     return si.snake(
         aggregates.last_incident(
@@ -420,7 +422,7 @@ def fb_property_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fb_code_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return si.snake(fb.code_cases(si.order_events(spark, sf_dir), si.FEATURES, si.PRIORITIES))
+    return si.snake(fb.code_cases(si.order_events(si.orders(spark, sf_dir)), si.FEATURES, si.PRIORITIES))
 
 
 @query
@@ -430,18 +432,20 @@ def fb_crimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fb_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    disconnects = si.order_events(spark, sf_dir, F.col("o_orderstatus") == "F")
+    disconnects = si.disconnects(si.orders(spark, sf_dir))
     return si.snake(fb.utility_disconnects(disconnects, si.FEATURES, si.REF_YEAR))
 
 
 @query
 def fb_rental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return si.snake(fb.rental_registration(si.permits(spark, sf_dir), Span.up_to(1998), 1998))
+    permits = si.permits(si.orders(spark, sf_dir))
+    return si.snake(fb.rental_registration(permits, Span.up_to(1998), 1998))
 
 
 @query
 def fb_fire_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return si.snake(fb.fire_label(si.order_events(spark, sf_dir), si.LABELS, si.URGENT))
+    incidents = si.order_events(si.orders(spark, sf_dir))
+    return si.snake(fb.fire_label(incidents, si.LABELS, si.URGENT))
 
 
 @query
@@ -456,9 +460,8 @@ def fb_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fb_foreclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return si.snake(
-        fb.foreclosed(si.filings(spark, sf_dir), si.permits(spark, sf_dir), si.FEATURES)
-    )
+    orders = si.orders(spark, sf_dir)
+    return si.snake(fb.foreclosed(si.filings(orders), si.permits(orders), si.FEATURES))
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:

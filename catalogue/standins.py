@@ -65,11 +65,24 @@ def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_events(spark: SparkSession, sf_dir: str, condition: Column | None = None) -> Events:
-    orders = table(spark, sf_dir, "orders")
-    if condition is not None:
-        orders = orders.filter(condition)
-    return Events(orders, "o_custkey", "o_orderdate", "o_orderpriority")
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders")
+
+
+def order_events(rows: DataFrame) -> Events:
+    return Events(rows, "o_custkey", "o_orderdate", "o_orderpriority")
+
+
+def disconnects(rows: DataFrame) -> Events:
+    return order_events(rows.filter("o_orderstatus = 'F'"))
+
+
+def permits(rows: DataFrame) -> Events:
+    return order_events(rows.filter("o_orderstatus = 'O'"))
+
+
+def filings(rows: DataFrame) -> Events:
+    return order_events(rows.filter("o_totalprice > 400000"))
 
 
 def offense_events(spark: SparkSession, sf_dir: str) -> Events:
@@ -79,14 +92,6 @@ def offense_events(spark: SparkSession, sf_dir: str) -> Events:
     return Events(seen, "user_id", "offense_year", "event_type")
 
 
-def permits(spark: SparkSession, sf_dir: str) -> Events:
-    return order_events(spark, sf_dir, F.col("o_orderstatus") == "O")
-
-
-def filings(spark: SparkSession, sf_dir: str) -> Events:
-    return order_events(spark, sf_dir, F.col("o_totalprice") > 400000)
-
-
 def visits(spark: SparkSession, sf_dir: str) -> Events:
     lines = table(spark, sf_dir, "lineitem")
     return Events(lines, "l_orderkey", "l_shipdate", "l_returnflag")
@@ -104,16 +109,17 @@ def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> Sources:
+    rows = orders(spark, sf_dir)
     return Sources(
         properties=properties(spark, sf_dir),
-        code_cases=order_events(spark, sf_dir),
+        code_cases=order_events(rows),
         offenses=offense_events(spark, sf_dir),
-        utility_disconnects=order_events(spark, sf_dir, F.col("o_orderstatus") == "F"),
-        rentals=permits(spark, sf_dir),
-        incidents=order_events(spark, sf_dir),
+        utility_disconnects=disconnects(rows),
+        rentals=permits(rows),
+        incidents=order_events(rows),
         inspections=visits(spark, sf_dir),
         parcels=lots(spark, sf_dir),
-        foreclosures=filings(spark, sf_dir),
+        foreclosures=filings(rows),
         parcel_measures=("BuildVal",),
         case_types=PRIORITIES,
         fire_code=URGENT,

@@ -9,7 +9,7 @@ shuffle: the panel, the largest table here, never travels.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,118 +22,92 @@ from kerbstone.plans.snapshot import Sources
 
 YEARS = range(2011, 2022)
 
+COUNT = "count_if(year <= {y})"
+LATEST = "max(if(year <= {y}, year, null))"
 
-def _per_year(name: str, years: Sequence[int], measure: Callable[[int], Column]) -> list[Column]:
-    return [measure(y).alias(f"{name}_{y}") for y in years]
+
+def _per_year(measures: Mapping[str, str], years: Sequence[int]) -> list[Column]:
+    """The SQL measures for every year ``{y}``: columns ``<name>_<year>``."""
+    return [F.expr(sql.format(y=y)).alias(f"{n}_{y}") for n, sql in measures.items() for y in years]
 
 
 def _packed(name: str, years: Sequence[int]) -> Column:
-    return F.array(*[F.col(f"{name}_{y}") for y in years]).alias(name)
+    """The columns of one measure as an array, in year order."""
+    columns = ", ".join(f"`{name}_{y}`" for y in years)
+    return F.expr(f"array({columns})").alias(name)
 
 
-def _known(year: Column, as_of: int) -> Column:
-    return year <= as_of
+def _panel_of(df: DataFrame, years: Sequence[int], measures: Mapping[str, str]) -> DataFrame:
+    wide = df.groupBy(fb.KEY).agg(*_per_year(measures, years))
+    return wide.select(fb.KEY, *[_packed(name, years) for name in measures])
 
 
 def panel_base(sources: Sources, years: Sequence[int], built: str = "YEARBUILT") -> DataFrame:
     """(ADDRESS, built[], …[]): for each year the last row of those built by then."""
     df = sources.properties.withColumn(built, lenient_number(F.col(built)))
     unused = {fb.KEY, *sources.property_order, *fb.UNUSED_ADDRESS_COLUMNS}
-    values = [c for c in df.columns if c not in unused]
-    order = [F.col(c) for c in sources.property_order]
-    place = order[0] if len(order) == 1 else F.struct(*order)
-
-    def last(value: str) -> Callable[[int], Column]:
-        return lambda y: F.max_by(F.col(f"`{value}`"), F.when(F.col(built) <= y, place))
-
-    measures = [m for v in values for m in _per_year(v, years, last(v))]
-    wide = df.filter(F.col(built) <= max(years)).groupBy(fb.KEY).agg(*measures)
-    return wide.select(fb.KEY, *[_packed(v, years) for v in values])
+    order = ", ".join(f"`{c}`" for c in sources.property_order)
+    place = order if len(sources.property_order) == 1 else f"struct({order})"
+    last = {
+        c: f"max_by(`{c}`, if(`{built}` <= {{y}}, {place}, null))"
+        for c in df.columns
+        if c not in unused
+    }
+    return _panel_of(df.filter(F.col(built) <= max(years)), years, last)
 
 
 def panel_code_cases(sources: Sources, years: Sequence[int]) -> DataFrame:
-    """(ADDRESS, cases: {type: counts[]}, TOTAL_VIOLATIONS[]); at most one entry per
-    listed type, one for all others and one for cases without type."""
-    listed = list(fb.case_columns(sources.case_types))
+    """(ADDRESS, cases: {type: counts[]}, TOTAL_VIOLATIONS[], ANY_VIOLATIONS[]).
+
+    Counted per (key, type) first, types outside the list as one: that bounds
+    what is gathered per key by the length of the list.
+    """
     kind = F.col("kind")
-    slot = F.when(kind.isin(listed), kind).when(kind.isNotNull(), F.lit("other"))
-    seen = sources.code_cases.seen(Span.up_to(max(years))).select(
-        fb.KEY, "year", F.struct(kind.isin(listed).alias("listed"), slot.alias("name")).alias("slot")
+    listed = kind.isin(list(fb.case_columns(sources.case_types)))
+    typed = sources.code_cases.seen(Span.up_to(max(years))).select(
+        fb.KEY, "year", listed.alias("listed"), F.when(listed, kind).alias("kind")
     )
-    counts = seen.groupBy(fb.KEY, "slot").agg(
-        *_per_year("n", years, lambda y: F.count_if(_known(F.col("year"), y)))
-    )
-    typed = F.col("slot.name").isNotNull()
-    entry = F.struct(F.col("slot.name"), F.array(*[F.col(f"n_{y}") for y in years]))
+    counts = typed.groupBy(fb.KEY, "listed", "kind").agg(*_per_year({"n": COUNT}, years))
+    entry = F.struct("kind", _packed("n", years))
     wide = counts.groupBy(fb.KEY).agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("slot.listed"), entry))).alias("cases"),
-        *_per_year("total", years, lambda y: F.sum(F.when(typed, F.col(f"n_{y}")))),
-        *_per_year("any", years, lambda y: F.sum(F.col(f"n_{y}"))),
-    )
-    return wide.select(
-        fb.KEY,
-        "cases",
-        _packed("total", years).alias("TOTAL_VIOLATIONS"),
-        _packed("any", years).alias("ANY_VIOLATIONS"),
+        F.map_from_entries(F.collect_list(F.when(F.col("listed"), entry))).alias("cases"),
+        # Cases without a type have a null mark: they count as cases, not as violations.
+        *_per_year({"TOTAL_VIOLATIONS": "sum(if(listed is null, 0, n_{y}))"}, years),
+        *_per_year({"ANY_VIOLATIONS": "sum(n_{y})"}, years),
     )
-
-
-def _panel_of(
-    events: DataFrame, years: Sequence[int], measures: dict[str, Callable[[int], Column]]
-) -> DataFrame:
-    columns = [m for name, f in measures.items() for m in _per_year(name, years, f)]
-    wide = events.groupBy(fb.KEY).agg(*columns)
-    return wide.select(fb.KEY, *[_packed(name, years) for name in measures])
-
-
-def _count(y: int) -> Column:
-    return F.count_if(_known(F.col("year"), y))
-
-
-def _latest(y: int) -> Column:
-    return F.max(F.when(_known(F.col("year"), y), F.col("year")))
+    packed = [_packed(n, years) for n in ("TOTAL_VIOLATIONS", "ANY_VIOLATIONS")]
+    return wide.select(fb.KEY, "cases", *packed)
 
 
 def panel_crimes(sources: Sources, years: Sequence[int]) -> DataFrame:
     once = sources.offenses.distinct_seen(Span.up_to(max(years)))
-
-    def named(y: int) -> Column:
-        return F.count_if(_known(F.col("year"), y) & F.col("kind").isNotNull())
-
-    return _panel_of(once, years, {"CRIME_INCIDENT": named, "ANY_CRIME": _count})
+    named = "count_if(year <= {y} and kind is not null)"
+    return _panel_of(once, years, {"CRIME_INCIDENT": named, "ANY_CRIME": COUNT})
 
 
 def panel_utility(sources: Sources, years: Sequence[int]) -> DataFrame:
     seen = sources.utility_disconnects.seen(Span.up_to(max(years)))
-    return _panel_of(seen, years, {"Utility_discon_count": _count, "last_disconnect": _latest})
+    return _panel_of(seen, years, {"Utility_discon_count": COUNT, "last_disconnect": LATEST})
 
 
 def panel_permits(sources: Sources, years: Sequence[int]) -> DataFrame:
-    return _panel_of(sources.rentals.seen(Span.up_to(max(years))), years, {"last_permit": _latest})
+    return _panel_of(sources.rentals.seen(Span.up_to(max(years))), years, {"last_permit": LATEST})
 
 
 def panel_labels(
     sources: Sources, years: Sequence[int], horizon: int = 4, offset: int = 0
 ) -> DataFrame:
-    fires = sources.incidents.seen(Span(min(years) + offset, max(years) + horizon)).filter(
-        F.col("kind") == sources.fire_code
-    )
-
-    def hit(y: int) -> Column:
-        return F.max(F.col("year").between(y + offset, y + horizon).cast("int"))
-
+    window = Span(min(years) + offset, max(years) + horizon)
+    fires = sources.incidents.seen(window).filter(F.col("kind") == sources.fire_code)
+    hit = f"max(int(year between {{y}} + {offset} and {{y}} + {horizon}))"
     return _panel_of(fires, years, {"Incident": hit})
 
 
 def panel_inspections(sources: Sources, years: Sequence[int]) -> DataFrame:
     """Ready only if every visit so far found it so, hence the smallest of the 0/1 marks."""
-    ready = F.col("kind").eqNullSafe(F.lit(sources.ready_status)).cast("int")
-
-    def all_ready(y: int) -> Column:
-        return F.min(F.when(_known(F.col("year"), y), ready))
-
-    seen = sources.inspections.seen(Span.up_to(max(years)))
-    return _panel_of(seen, years, {"ready_anytime": all_ready})
+    ready = F.col("kind").eqNullSafe(F.lit(sources.ready_status)).cast("int").alias("ready")
+    seen = sources.inspections.seen(Span.up_to(max(years))).select(fb.KEY, "year", ready)
+    return _panel_of(seen, years, {"ready_anytime": "min(if(year <= {y}, ready, null))"})
 
 
 def panel_foreclosures(sources: Sources, years: Sequence[int]) -> DataFrame:
@@ -153,11 +127,10 @@ def as_of_panel(
     ``Incident`` looks at ``[year + label_start_offset, year + horizon]``;
     ``label_complete`` tells whether the incidents reach that far.
     """
-    years = list(years)
+    years = sorted(years)
     s = sources
     base = panel_base(s, years, built)
     carried = [c for c in base.columns if c not in (fb.KEY, built)]
-    parcels = fb.parcels(s.parcels, s.parcel_order, measures=s.parcel_measures)
     wide = base
     for part in (
         panel_code_cases(s, years),
@@ -166,52 +139,49 @@ def as_of_panel(
         panel_permits(s, years),
         panel_labels(s, years, horizon, label_start_offset),
         panel_inspections(s, years),
-        parcels,
+        fb.parcels(s.parcels, s.parcel_order, measures=s.parcel_measures),
         panel_foreclosures(s, years),
     ):
         wide = attach(wide, part, fb.KEY)
 
-    place = F.col("_place")
-    as_of = F.get(F.array(*[F.lit(y) for y in years]), place)
+    listed_years = ", ".join(map(str, years))
+    unfolded = wide.select("*", F.expr(f"posexplode(array({listed_years})) as (_place, as_of)"))
+    known = unfolded.filter(F.expr(f"get(`{built}`, _place) is not null"))
 
-    def at(name: str) -> Column:
-        return F.get(F.col(f"`{name}`"), place)
+    def count(array: str, since: int | None = None) -> str:
+        """The year's entry of an array; 0 without one, and before the source has data."""
+        entry = f"coalesce(get({array}, _place), 0)"
+        return entry if since is None else f"if(as_of >= {since}, {entry}, 0)"
 
-    def count(column: Column, since: int | None = None) -> Column:
-        filled = F.coalesce(column, F.lit(0))
-        return filled if since is None else F.when(as_of >= since, filled).otherwise(F.lit(0))
+    def case(value: str) -> str:
+        quoted = value.replace("\\", "\\\\").replace("'", "\\'")
+        return count(f"try_element_at(cases, '{quoted}')", s.cases_from)
 
-    last_seen = s.incidents.seen(Span()).agg(F.max("year").alias("last")).scalar()
-    cases = {
-        name: count(F.get(F.try_element_at("cases", F.lit(value)), place), s.cases_from)
-        for value, name in fb.case_columns(s.case_types).items()
-    }
-    first_foreclosed = F.col("first_foreclosed")
-    in_foreclosure = (first_foreclosed <= as_of) & ~fb.still_cleared(
-        first_foreclosed, at("last_permit")
-    )
+    permit = "get(last_permit, _place)"
+    reopened = f"coalesce({permit} > first_foreclosed, false)"
     columns = {
-        "as_of": as_of,
-        "Age": as_of - at(built),
-        **{c: at(c) for c in carried},
-        **cases,
-        "TOTAL_VIOLATIONS": count(at("TOTAL_VIOLATIONS"), s.cases_from),
-        "ANY_VIOLATIONS": (count(at("ANY_VIOLATIONS"), s.cases_from) > 0).cast("int"),
-        "CRIME_INCIDENT": count(at("CRIME_INCIDENT"), s.offenses_from),
-        "ANY_CRIME": (count(at("ANY_CRIME"), s.offenses_from) > 0).cast("int"),
-        "Utility_discon_count": count(at("Utility_discon_count")),
-        "Since_Last_disconnect": count(as_of - at("last_disconnect")),
-        "Any_disconnects": (count(at("Utility_discon_count")) > 0).cast("int"),
-        "Permit Duration": as_of - at("last_permit"),
-        "Rent_Reg": at("last_permit").isNotNull().cast("int"),
-        "Incident": count(at("Incident")),
-        "ready_anytime": count(at("ready_anytime"), s.inspections_from),
-        "ACTIVITY": F.coalesce("ACTIVITY", F.lit("0")),
-        **{m: F.coalesce(F.col(m), F.lit(0.0)) for m in s.parcel_measures},
-        "foreclosed": F.coalesce(in_foreclosure, F.lit(False)).cast("int"),
-        "label_complete": (as_of + horizon <= last_seen).cast("int"),
+        "Age": f"as_of - get(`{built}`, _place)",
+        **{c: f"get(`{c}`, _place)" for c in carried},
+        **{name: case(value) for value, name in fb.case_columns(s.case_types).items()},
+        "TOTAL_VIOLATIONS": count("TOTAL_VIOLATIONS", s.cases_from),
+        "ANY_VIOLATIONS": f"int({count('ANY_VIOLATIONS', s.cases_from)} > 0)",
+        "CRIME_INCIDENT": count("CRIME_INCIDENT", s.offenses_from),
+        "ANY_CRIME": f"int({count('ANY_CRIME', s.offenses_from)} > 0)",
+        "Utility_discon_count": count("Utility_discon_count"),
+        "Since_Last_disconnect": "coalesce(as_of - get(last_disconnect, _place), 0)",
+        "Any_disconnects": f"int({count('Utility_discon_count')} > 0)",
+        "Permit Duration": f"as_of - {permit}",
+        "Rent_Reg": f"int({permit} is not null)",
+        "Incident": count("Incident"),
+        "ready_anytime": count("ready_anytime", s.inspections_from),
+        "ACTIVITY": "coalesce(ACTIVITY, '0')",
+        **{m: f"coalesce(`{m}`, 0.0D)" for m in s.parcel_measures},
+        "foreclosed": f"int(coalesce(first_foreclosed <= as_of and not {reopened}, false))",
     }
-    unfolded = wide.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(len(years) - 1))))
-    return unfolded.filter(at(built).isNotNull()).select(
-        fb.KEY, *[c.alias(n) for n, c in columns.items()]
+    last_seen = s.incidents.seen(Span()).agg(F.max("year")).scalar()
+    return known.select(
+        fb.KEY,
+        "as_of",
+        *[F.expr(sql).alias(name) for name, sql in columns.items()],
+        (F.col("as_of") + horizon <= last_seen).cast("int").alias("label_complete"),
     )
