@@ -108,24 +108,27 @@ class Events:
 
     def seen(self, span: Span) -> DataFrame:
         """The events of ``span`` with a usable key, as (ADDRESS, year, kind)."""
-        df = self.frame.filter(has_key(self.frame, self.key) & in_span(self.frame, self.when, span))
+        return Events(self._inside(span), self.key, self.when, self.kind)._named()
+
+    def distinct_seen(self, span: Span) -> DataFrame:
+        """Like :meth:`seen`, equal (key, kind, time) rows counting once."""
+        parts = [f"`{c}`" for c in (self.key, self.kind, self.when) if c]
+        once = self._inside(span).select(*parts).distinct()
+        return Events(once, self.key, self.when, self.kind)._named()
+
+    def _inside(self, span: Span) -> DataFrame:
+        return self.frame.filter(
+            has_key(self.frame, self.key) & in_span(self.frame, self.when, span)
+        )
+
+    def _named(self) -> DataFrame:
         columns = [
             F.col(f"`{self.key}`").alias(KEY),
             year_column(self.frame, self.when).alias("year"),
         ]
         if self.kind:
             columns.append(F.col(f"`{self.kind}`").alias("kind"))
-        return df.select(*columns)
-
-    def distinct_seen(self, span: Span) -> DataFrame:
-        """Like :meth:`seen`, equal (key, kind, time) rows counting once."""
-        df = self.frame.filter(has_key(self.frame, self.key) & in_span(self.frame, self.when, span))
-        once = df.select(self.key, self.kind, self.when).distinct()
-        return once.select(
-            F.col(f"`{self.key}`").alias(KEY),
-            year_column(once, self.when).alias("year"),
-            F.col(f"`{self.kind}`").alias("kind"),
-        )
+        return self.frame.select(*columns)
 
 
 def case_columns(types: Sequence[str] | Mapping[str, str]) -> dict[str, str]:
@@ -146,10 +149,7 @@ def property_base(
     With ``built_by`` properties of unknown or later year are left out first.
     The columns of ``order`` are not passed on.
     """
-    unused = [c for c in UNUSED_ADDRESS_COLUMNS if c in properties.columns]
-    df = drop_columns(properties, unused).withColumn(built, lenient_number(F.col(built)))
-    if built_by is not None:
-        df = df.filter(F.col(built) <= built_by)
+    df = built_properties(properties, built, built_by)
     last = keep_last(df, key, order)
     passed_on = [c for c in last.columns if c not in (key, built, *order)]
     return last.select(
@@ -159,6 +159,13 @@ def property_base(
     )
 
 
+def built_properties(properties: DataFrame, built: str, built_by: int | None) -> DataFrame:
+    """Properties without the unused columns, their building year as a number."""
+    unused = [c for c in UNUSED_ADDRESS_COLUMNS if c in properties.columns]
+    df = drop_columns(properties, unused).withColumn(built, lenient_number(F.col(built)))
+    return df if built_by is None else df.filter(F.col(built) <= built_by)
+
+
 def code_cases(
     cases: Events, span: Span = FEATURE_SPAN, types: Sequence[str] | Mapping[str, str] = CASE_TYPES
 ) -> DataFrame:

@@ -8,10 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbstone.functions import land_use_category
 from kerbstone.operators.aggregates import RowTrace
 from kerbstone.operators.columns import fill_missing
-from kerbstone.operators.filters import Span
-from kerbstone.operators.joins import attach
+from kerbstone.operators.filters import Span, has_key
+from kerbstone.operators.joins import attach, attach_events
 from kerbstone.plans import features as fb
 
 
@@ -117,6 +118,89 @@ def feature_table(
     return fill_missing(df, fills(s.case_types, s.parcel_measures))
 
 
+def as_of_table(
+    sources: Sources,
+    as_of: int,
+    horizon: int = 4,
+    label_start_offset: int = 0,
+    one_to_many: bool = False,
+    built: str = "YEARBUILT",
+) -> DataFrame:
+    """The rows of one as-of year: what was known by then, labelled by what followed.
+
+    For many years use :func:`kerbstone.plans.panel.as_of_panel`, which reads each
+    source once. ``one_to_many`` keeps one row per combination of property row,
+    permit, fire, inspection state and parcel row of an address, instead of one
+    row per property; it is meant for comparisons, as it repeats properties.
+    """
+    s, known = sources, Span.up_to(as_of)
+    label_span = Span.label(as_of, horizon, label_start_offset)
+    if one_to_many:
+        rows = fb.built_properties(s.properties, built, as_of)
+        df = (
+            rows.withColumn("Age", F.lit(as_of) - F.col(built))
+            .drop(built, *s.property_order)
+            .distinct()
+        )
+    else:
+        df = fb.property_base(
+            s.properties, s.property_order, built=built, ref_year=as_of, built_by=as_of
+        )
+    parts = [fb.utility_disconnects(s.utility_disconnects, known, as_of)]
+    if as_of >= s.cases_from:
+        parts.append(fb.code_cases(s.code_cases, known, s.case_types))
+    if as_of >= s.offenses_from:
+        parts.append(fb.crimes(s.offenses, known, "CRIME_INCIDENT"))
+    parts.append(fb.foreclosed(s.foreclosures, s.rentals, known))
+    for part in parts:
+        df = attach(df, part, fb.KEY)
+
+    many = _rows_as_of if one_to_many else _single_as_of
+    for part in many(s, as_of, known, label_span):
+        df = (attach_events if one_to_many else attach)(df, part, fb.KEY)
+    values = {
+        ("CRIME_INCIDENT" if n == "CRIME_INCIDENTS" else n): v
+        for n, v in fills(s.case_types, s.parcel_measures).items()
+        if n != "Inspections_Count"
+    }
+    absent = {n: F.lit(v) for n, v in values.items() if n not in df.columns}
+    return fill_missing(df.withColumns(absent) if absent else df, values)
+
+
+def _single_as_of(s: Sources, as_of: int, known: Span, label_span: Span) -> list[DataFrame]:
+    """Sources that may hold several rows per key, reduced to one."""
+    parts = [
+        fb.rental_registration(s.rentals, known, as_of),
+        fb.fire_label(s.incidents, label_span, s.fire_code),
+        fb.parcels(s.parcels, s.parcel_order, measures=s.parcel_measures),
+    ]
+    if as_of >= s.inspections_from:
+        visits = fb.inspections(s.inspections, known, s.ready_status)
+        parts.append(visits.drop("Inspections_Count"))
+    return parts
+
+
+def _rows_as_of(s: Sources, as_of: int, known: Span, label_span: Span) -> list[DataFrame]:
+    """The same sources with all their rows."""
+    permits = s.rentals.distinct_seen(known)
+    fires = s.incidents.seen(label_span).filter(F.col("kind") == s.fire_code)
+    lots = s.parcels.filter(has_key(s.parcels, fb.KEY)).drop(*s.parcel_order)
+    parts = [
+        permits.select(
+            fb.KEY, F.lit(1).alias("Rent_Reg"), (as_of - F.col("year")).alias("Permit Duration")
+        ),
+        fires.select(fb.KEY, F.lit(1).alias("Incident")),
+        lots.select(
+            fb.KEY, land_use_category(F.col("ACTIVITY")).alias("ACTIVITY"), *s.parcel_measures
+        ).distinct(),
+    ]
+    if as_of >= s.inspections_from:
+        ready = F.col("kind").eqNullSafe(F.lit(s.ready_status)).cast("int")
+        states = s.inspections.seen(known).select(fb.KEY, ready.alias("ready_anytime"))
+        parts.append(states.distinct())
+    return parts
+
+
 def addressed(table: DataFrame) -> DataFrame:
     """Only properties that have an address."""
     return table.filter(F.col(fb.KEY).isNotNull())
