@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -9,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbstone.ml.encode import FEATURES, Inputs, feature_names, stages
@@ -132,30 +133,45 @@ def top_features(table: DataFrame, k: int = 20) -> DataFrame:
     return table.orderBy(F.col("feature_importance").desc(), "position").limit(k)
 
 
-def error_per_round(
-    model: PipelineModel, df: DataFrame, label: str, weighted_by: str | None = None
-) -> DataFrame:
+def _leaf_values(model: PipelineModel) -> list[list[float]]:
+    """For each tree the output of its leaves, left to right, times the tree's weight.
+
+    As large as the model, whatever the data.
+    """
+    trees = _trees(model)
+    return [
+        [weight * float(v) for v in re.findall(r"Predict: (\S+)", tree.toDebugString)]
+        for tree, weight in zip(trees.trees, trees.treeWeights, strict=True)
+    ]
+
+
+def error_per_round(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
     """(round, error): share of ``df`` misclassified by the first 1, 2, … trees.
 
-    Each row gets all trees' outputs once; the running sums are compared with
-    the label in a single aggregate.
+    The model names the leaf each row reaches in every tree. Adding up the
+    leaves' outputs round by round within the row tells in which rounds it is
+    misclassified; each task counts those before anything is shuffled.
     """
     trees = _trees(model)
     encoded = PipelineModel(model.stages[:-1]).transform(df).select(FEATURES, label)
-    outputs = []
-    for i, tree in enumerate(trees.trees):
-        encoded = tree.setPredictionCol(f"_tree_{i}").transform(encoded)
-        outputs.append(F.col(f"_tree_{i}") * F.lit(float(trees.treeWeights[i])))
-    running, wrong = F.lit(0.0), []
-    for i, output in enumerate(outputs):
-        running = running + output
-        guess = (running > 0).cast("int")
-        wrong.append(F.avg((guess != F.col(label)).cast("double")).alias(f"_round_{i}"))
-    rounds = [
-        F.struct(F.lit(i + 1).alias("round"), F.col(f"_round_{i}").alias("error"))
-        for i in range(len(outputs))
-    ]
-    return encoded.agg(*wrong).select(F.inline(F.array(*rounds)))
+    reached = trees.transform(encoded, {trees.leafCol: "_leaves"})
+    outputs = F.transform(
+        vector_to_array("_leaves"),
+        lambda leaf, tree: F.get(F.get(F.lit(_leaf_values(model)), tree), leaf.cast("int")),
+    )
+    start = F.struct(F.lit(0.0).alias("margin"), F.array().cast("array<boolean>").alias("wrong"))
+
+    def add(so_far: Column, output: Column) -> Column:
+        margin = so_far["margin"] + output
+        wrong = (margin > 0).cast("int") != F.col(label)
+        return F.struct(
+            margin.alias("margin"), F.array_append(so_far["wrong"], wrong).alias("wrong")
+        )
+
+    marks = reached.select(F.posexplode(F.aggregate(outputs, start, add)["wrong"]))
+    return marks.groupBy((F.col("pos") + 1).alias("round")).agg(
+        F.avg(F.col("col").cast("double")).alias("error")
+    )
 
 
 def best_rounds(errors: Sequence[float], patience: int = 10) -> int:

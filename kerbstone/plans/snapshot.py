@@ -12,7 +12,7 @@ from kerbstone.functions import land_use_category
 from kerbstone.operators.aggregates import RowTrace
 from kerbstone.operators.columns import fill_missing
 from kerbstone.operators.filters import Span, has_key
-from kerbstone.operators.joins import attach, attach_events
+from kerbstone.operators.joins import attach, attach_events, events_with
 from kerbstone.plans import features as fb
 
 
@@ -152,8 +152,9 @@ def as_of_table(
     if as_of >= s.offenses_from:
         parts.append(fb.crimes(s.offenses, known, "CRIME_INCIDENT"))
     parts.append(fb.foreclosed(s.foreclosures, s.rentals, known))
+    # With repeated properties an address, or none, may fill many rows of the left side.
     for part in parts:
-        df = attach(df, part, fb.KEY)
+        df = events_with(df, part, fb.KEY) if one_to_many else attach(df, part, fb.KEY)
 
     many = _rows_as_of if one_to_many else _single_as_of
     for part in many(s, as_of, known, label_span):
