@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -36,6 +36,12 @@ class Boosting:
     validation: str | None = None
     tolerance: float = 0.01
 
+    def with_weight(self, positive_weight: float | None) -> Boosting:
+        return replace(self, positive_weight=positive_weight)
+
+    def with_rounds(self, rounds: int) -> Boosting:
+        return replace(self, rounds=rounds)
+
 
 def weighted(df: DataFrame, label: str, positive_weight: float | None) -> DataFrame:
     """Add the weight column; the class ratio is two counts, read once."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,9 +46,14 @@ def with_file_order(df: DataFrame, name: str = "_ord") -> DataFrame:
     return df.withColumn(name, place)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write a table, replacing what was there. No row numbers are added."""
-    writer = df.write.mode("overwrite")
+def write_table(
+    df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()
+) -> None:
+    """Write a table, replacing what was there. No row numbers are added.
+
+    ``partition_by`` names columns of few values that later reads filter on.
+    """
+    writer = df.write.mode("overwrite").partitionBy(*partition_by)
     if fmt == "csv":
         writer.option("header", True).csv(path)
     elif fmt == "parquet":
