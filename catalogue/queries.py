@@ -570,7 +570,7 @@ def _model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, encode.In
 
 def _folded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, encode.Inputs]:
     table, inputs = _model_table(spark, sf_dir)
-    return settle(split.mark_folds(table, fb.KEY, "Incident")), inputs
+    return settle(split.mark_folds(table, fb.KEY, "Incident"), ["fold"]), inputs
 
 
 def _held_out(spark: SparkSession, sf_dir: str):

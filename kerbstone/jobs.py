@@ -93,7 +93,7 @@ def holdout(run: Run) -> None:
     marked = settle(split.mark_test(table, "_id", LABEL))
     train, test = marked.filter("is_test = 0"), marked.filter("is_test = 1")
 
-    folded = settle(split.mark_folds(train, "_id", LABEL))
+    folded = settle(split.mark_folds(train, "_id", LABEL), ["fold"])
     scored = settle(model.out_of_fold(folded, inputs, LABEL, boosting=boosting))
     run.write(evaluate.fold_metrics(scored, split.FOLDS, label=LABEL), "fold_metrics")
 
@@ -106,7 +106,7 @@ def crossval(run: Run, positive_weight: float = 1000.0) -> None:
     boosting = run.boosting.with_weight(positive_weight)
     table = _with_id(run.read(), fb.KEY)
     table, inputs = _model_table(table, ["_id", fb.KEY, LABEL, *COORDINATES])
-    folded = settle(split.mark_folds(table, "_id", LABEL))
+    folded = settle(split.mark_folds(table, "_id", LABEL), ["fold"])
     scored = settle(model.out_of_fold(folded, inputs, LABEL, boosting=boosting))
     run.write(evaluate.fold_metrics(scored, split.FOLDS, label=LABEL), "fold_metrics")
     _write_model(run, model.fit(folded, inputs, LABEL, boosting), folded, scored)
@@ -130,7 +130,7 @@ def rounds(run: Run) -> None:
     marked = settle(split.mark_test(table, "_id", LABEL))
     train, test = marked.filter("is_test = 0"), marked.filter("is_test = 1")
 
-    folded = settle(split.mark_folds(train, "_id", LABEL))
+    folded = settle(split.mark_folds(train, "_id", LABEL), ["fold"])
     best = model.cross_validated_rounds(folded, inputs, LABEL, boosting=run.boosting)
     fitted = model.fit(train, inputs, LABEL, run.boosting.with_rounds(best))
     model.save(fitted, run.path("panel_model"))

@@ -60,6 +60,20 @@ def fill_for_trees(df: DataFrame, inputs: Inputs, fill: float = 0.0) -> tuple[Da
     return filled, Inputs((*inputs.numbers, *markers), inputs.texts)
 
 
+# More values than this in a text column make it a key rather than a category.
+MOST_CATEGORIES = 10_000
+
+
+def check_categories(df: DataFrame, inputs: Inputs, most: int = MOST_CATEGORIES) -> None:
+    """Stop before the value list of a text column outgrows the driver."""
+    if not inputs.texts:
+        return
+    counts = df.agg(*[F.approx_count_distinct(f"`{t}`").alias(t) for t in inputs.texts]).first()
+    large = {t: n for t, n in counts.asDict().items() if n > most}
+    if large:
+        raise ValueError(f"too many different texts to one-hot: {large}")
+
+
 def stages(inputs: Inputs) -> list[Estimator | Transformer]:
     """Index and one-hot the texts, and assemble the vector.
 

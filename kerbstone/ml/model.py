@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbstone.ml.encode import FEATURES, Inputs, feature_names, stages
+from kerbstone.ml.encode import FEATURES, Inputs, check_categories, feature_names, stages
 from kerbstone.operators.aggregates import class_balance
 from kerbstone.operators.sets import union_by_name
 from kerbstone.session import checkpoint_folder
@@ -59,6 +59,7 @@ def fit(df: DataFrame, inputs: Inputs, label: str, boosting: Boosting = Boosting
     binned copy and cuts the lineage of its round state through checkpoints.
     """
     checkpoint_folder(df.sparkSession)
+    check_categories(df, inputs)
     trees = GBTClassifier(
         featuresCol=FEATURES,
         labelCol=label,

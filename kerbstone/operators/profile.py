@@ -4,48 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
-def _is_number(field: T.StructField) -> bool:
-    return isinstance(field.dataType, T.NumericType)
-
-
-def _measures(field: T.StructField, accuracy: int, exact: bool) -> dict[str, Column]:
-    """The measures of one column; None marks those that its type does not have."""
-    column = F.col(f"`{field.name}`")
-    number = column.cast("double") if _is_number(field) else None
-    text = column.cast("string") if number is None else None
-    measures = {
-        "rows": F.count(F.lit(1)),
-        "nulls": F.count_if(column.isNull()),
-        "distinct_values": None if exact else F.approx_count_distinct(column),
-        "min_number": None if number is None else F.min(number),
-        "max_number": None if number is None else F.max(number),
-        "mean": None if number is None else F.avg(number),
-        "stddev": None if number is None else F.stddev(number),
-        "quantiles": None if number is None else F.percentile_approx(number, QUANTILES, accuracy),
-        "min_text": None if text is None else F.min(text),
-        "max_text": None if text is None else F.max(text),
-    }
-    return measures
-
-
-# Types of the measures, for columns that lack one.
-_TYPES = {
-    "distinct_values": "bigint",
-    "min_number": "double",
-    "max_number": "double",
-    "mean": "double",
-    "stddev": "double",
-    "quantiles": "array<double>",
-    "min_text": "string",
-    "max_text": "string",
+# Measures of a column as SQL: those all columns have, and those of numbers and of other types.
+_ALWAYS = {
+    "rows": "count(*)",
+    "nulls": "count_if({c} is null)",
+    "distinct_values": "approx_count_distinct({c})",
 }
+_NUMBERS = {
+    "min_number": "min(double({c}))",
+    "max_number": "max(double({c}))",
+    "mean": "avg(double({c}))",
+    "stddev": "stddev(double({c}))",
+    "quantiles": "percentile_approx(double({c}), array({quantiles}), {accuracy})",
+}
+_TEXTS = {"min_text": "min(string({c}))", "max_text": "max(string({c}))"}
+
+
+def _absent(name: str) -> str:
+    kind = {"quantiles": "array<double>", "min_text": "string", "max_text": "string"}
+    return f"cast(null as {kind.get(name, 'double')})"
+
+
+def _measured(field: T.StructField, accuracy: int, exact: bool) -> str:
+    """One struct with all measures of a column, null where its type has no such measure."""
+    number = isinstance(field.dataType, T.NumericType)
+    measures = dict(_ALWAYS)
+    if exact:
+        del measures["distinct_values"]
+    measures |= _NUMBERS if number else {n: _absent(n) for n in _NUMBERS}
+    measures |= {n: _absent(n) for n in _TEXTS} if number else _TEXTS
+    parts = ", ".join(f"'{name}', {sql}" for name, sql in measures.items())
+    return f"named_struct({parts})".format(
+        c="`" + field.name.replace("`", "``") + "`",
+        quantiles=", ".join(f"{q}D" for q in QUANTILES),
+        accuracy=accuracy,
+    )
 
 
 def profile(df: DataFrame, accuracy: int = 10_000, exact: bool = False) -> DataFrame:
@@ -55,23 +55,25 @@ def profile(df: DataFrame, accuracy: int = 10_000, exact: bool = False) -> DataF
     single wide row is unfolded to a row per column. ``exact`` counts distinct
     values exactly instead, in a second pass.
     """
-    wide, entries = [], []
-    for i, field in enumerate(df.schema):
-        row = [F.lit(field.name).alias("column_name")]
-        for name, measure in _measures(field, accuracy, exact).items():
-            if measure is None:
-                row.append(F.lit(None).cast(_TYPES[name]).alias(name))
-            else:
-                wide.append(measure.alias(f"{name}_{i}"))
-                row.append(F.col(f"{name}_{i}").alias(name))
-        entries.append(F.struct(*row))
-    profiled = df.agg(*wide).select(F.inline(F.array(*entries)))
+    fields = list(df.schema)
+    wide = df.agg(
+        *[F.expr(_measured(f, accuracy, exact)).alias(f"c{i}") for i, f in enumerate(fields)]
+    )
+    named = F.array(
+        *[
+            F.struct(F.lit(f.name).alias("column_name"), F.col(f"c{i}").alias("m"))
+            for i, f in enumerate(fields)
+        ]
+    )
+    profiled = wide.select(F.inline(named)).select("column_name", "m.*")
     if not exact:
         return profiled
-    distinct = value_counts(df, df.columns).groupBy("column_name").agg(
-        F.count("value").alias("distinct_values")
+    distinct = (
+        value_counts(df, df.columns)
+        .groupBy("column_name")
+        .agg(F.count("value").alias("distinct_values"))
     )
-    return profiled.drop("distinct_values").join(distinct, "column_name", "left")
+    return profiled.join(distinct, "column_name", "left")
 
 
 def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,11 +34,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return posixpath.join(checkpoint_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder once and read it from there afterwards.
 
     For tables that several passes need (model rounds, folds): the work above
-    is not redone, and a lost executor costs a file read, not a recomputation.
+    is not redone, each pass reads only its columns, and a lost executor costs a
+    file read, not a recomputation.
     """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

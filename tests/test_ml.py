@@ -105,6 +105,13 @@ def test_unseen_texts_set_no_column(labelled, fitted):
         assert [row[0][p] for p in places] == [0.0] * 3
 
 
+def test_keys_are_not_taken_for_categories(spark):
+    df = spark.range(50).select(F.col("id").cast("string").alias("t"))
+    encode.check_categories(df, encode.Inputs((), ("t",)))
+    with pytest.raises(ValueError, match="t"):
+        encode.check_categories(df, encode.Inputs((), ("t",)), most=20)
+
+
 def test_importances_sum_to_one(fitted):
     trained, train, _ = fitted
     table = model.importances(trained, train)

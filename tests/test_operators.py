@@ -218,4 +218,6 @@ def test_profile(spark):
         assert found["n"]["mean"] == pytest.approx(5 / 3)
         assert found["n"]["quantiles"][2] == 2.0
         assert (found["t"]["min_text"], found["t"]["max_text"]) == ("a", "b")
-    assert rows(profile.top_values(df, ["n", "t"], 1)) == [("n", "2", 2, 1), ("t", "b", 2, 1)]
+    best = profile.top_values(df, ["n", "t"], 1)
+    assert rows(best) == [("n", "2", 2, 1), ("t", "b", 2, 1)]
+    assert "WindowGroupLimit" in plan(best)
