@@ -22,14 +22,27 @@ HOT_ROWS = 1_000_000
 def hot_keys(
     df: DataFrame, key: str, share: float = HOT_SHARE, rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Keys that hold too many rows, and into how many parts to split each: (key, parts)."""
-    limit = df.agg(F.greatest(F.lit(float(rows)), F.count(key) * F.lit(share)).alias("n")).scalar()
-    sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    """Keys that hold too many rows, null among them, and into how many parts to split
+    each: (key, parts)."""
+    count = F.count(F.lit(1))
+    limit = df.agg(F.greatest(F.lit(float(rows)), count * F.lit(share)).alias("n")).scalar()
+    sizes = df.groupBy(key).agg(count.alias("n"))
     return sizes.filter(F.col("n") > limit).select(
         key, F.ceil(F.col("n") / limit).cast("int").alias("parts")
     )
 
 
+def read_hot_keys(df: DataFrame, key: str, share: float, rows: int) -> DataFrame | None:
+    """The hot keys as a local table, or None without any.
+
+    One pass over the key column, at most 1 / ``share`` rows to the driver. Both sides
+    of a join then surely use the same list, and without hot keys the join stays plain.
+    """
+    hot = hot_keys(df, key, share, rows)
+    found = hot.collect()
+    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Is the planner's size estimate of ``df`` below its own broadcast limit?"""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
@@ -44,10 +57,9 @@ def _part(df: DataFrame, parts: Column) -> Column:
 
 
 def _split(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """Give each row of a hot key one part. Null keys match nothing, so they go anywhere."""
-    marked = df.join(F.broadcast(hot), key, "left")
-    parts = F.when(F.col(key).isNull(), F.lit(1024)).otherwise(F.coalesce("parts", F.lit(1)))
-    return marked.withColumn("_part", _part(df, parts)).drop("parts")
+    """Give each row of a hot key one part; nulls, which match nothing, included."""
+    marked = df.join(F.broadcast(hot), df[key].eqNullSafe(hot[key]), "left").drop(hot[key])
+    return marked.withColumn("_part", _part(df, F.coalesce("parts", F.lit(1)))).drop("parts")
 
 
 def _copy(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
@@ -75,7 +87,9 @@ def attach_events(
     if fits_broadcast(right):
         return left.join(right, key, "left")
     right = right.filter(F.col(key).isNotNull())
-    hot = hot_keys(right, key, share, rows)
+    hot = read_hot_keys(right, key, share, rows)
+    if hot is None:
+        return left.join(right, key, "left")
     joined = _copy(left, hot, key).join(
         _split(right, hot, key).withColumn("_matched", F.lit(True)), [key, "_part"], "left"
     )
@@ -102,7 +116,9 @@ def events_with(
         raise ValueError(f"unsupported join: {how}")
     if fits_broadcast(right):
         return left.join(right, key, how)
-    hot = hot_keys(left, key, share, rows)
+    hot = read_hot_keys(left, key, share, rows)
+    if hot is None:
+        return left.join(right, key, how)
     copies = _copy(right.filter(F.col(key).isNotNull()), hot, key).drop("parts")
     return _split(left, hot, key).join(copies, [key, "_part"], how).drop("_part")
 

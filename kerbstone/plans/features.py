@@ -108,27 +108,26 @@ class Events:
 
     def seen(self, span: Span) -> DataFrame:
         """The events of ``span`` with a usable key, as (ADDRESS, year, kind)."""
-        return Events(self._inside(span), self.key, self.when, self.kind)._named()
+        return self._inside(span).select(*self._named())
 
     def distinct_seen(self, span: Span) -> DataFrame:
         """Like :meth:`seen`, equal (key, kind, time) rows counting once."""
         parts = [f"`{c}`" for c in (self.key, self.kind, self.when) if c]
-        once = self._inside(span).select(*parts).distinct()
-        return Events(once, self.key, self.when, self.kind)._named()
+        return self._inside(span).select(*parts).distinct().select(*self._named())
 
     def _inside(self, span: Span) -> DataFrame:
         return self.frame.filter(
             has_key(self.frame, self.key) & in_span(self.frame, self.when, span)
         )
 
-    def _named(self) -> DataFrame:
+    def _named(self) -> list[Column]:
         columns = [
             F.col(f"`{self.key}`").alias(KEY),
             year_column(self.frame, self.when).alias("year"),
         ]
         if self.kind:
             columns.append(F.col(f"`{self.kind}`").alias("kind"))
-        return self.frame.select(*columns)
+        return columns
 
 
 def case_columns(types: Sequence[str] | Mapping[str, str]) -> dict[str, str]:

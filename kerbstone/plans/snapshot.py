@@ -13,6 +13,7 @@ from kerbstone.operators.aggregates import RowTrace
 from kerbstone.operators.columns import fill_missing
 from kerbstone.operators.filters import Span, has_key
 from kerbstone.operators.joins import attach, attach_events, events_with
+from kerbstone.operators.sets import union_by_name
 from kerbstone.plans import features as fb
 
 
@@ -135,13 +136,16 @@ def as_of_table(
     """
     s, known = sources, Span.up_to(as_of)
     label_span = Span.label(as_of, horizon, label_start_offset)
+    nowhere = None
     if one_to_many:
-        rows = fb.built_properties(s.properties, built, as_of)
-        df = (
-            rows.withColumn("Age", F.lit(as_of) - F.col(built))
+        rows = (
+            fb.built_properties(s.properties, built, as_of)
+            .withColumn("Age", F.lit(as_of) - F.col(built))
             .drop(built, *s.property_order)
             .distinct()
         )
+        # Rows without address match nothing, so they need not travel with the others.
+        df, nowhere = rows.filter(F.col(fb.KEY).isNotNull()), rows.filter(F.col(fb.KEY).isNull())
     else:
         df = fb.property_base(
             s.properties, s.property_order, built=built, ref_year=as_of, built_by=as_of
@@ -152,13 +156,15 @@ def as_of_table(
     if as_of >= s.offenses_from:
         parts.append(fb.crimes(s.offenses, known, "CRIME_INCIDENT"))
     parts.append(fb.foreclosed(s.foreclosures, s.rentals, known))
-    # With repeated properties an address, or none, may fill many rows of the left side.
+    # With repeated properties an address may fill many rows of the left side.
     for part in parts:
         df = events_with(df, part, fb.KEY) if one_to_many else attach(df, part, fb.KEY)
 
     many = _rows_as_of if one_to_many else _single_as_of
     for part in many(s, as_of, known, label_span):
         df = (attach_events if one_to_many else attach)(df, part, fb.KEY)
+    if nowhere is not None:
+        df = union_by_name(df, nowhere)
     values = {
         ("CRIME_INCIDENT" if n == "CRIME_INCIDENTS" else n): v
         for n, v in fills(s.case_types, s.parcel_measures).items()

@@ -137,6 +137,22 @@ def test_events_with_equals_the_plain_join(spark, hot, no_broadcast, how):
     assert rows(split.select(*plain.columns)) == rows(plain)
 
 
+def test_many_null_keys_are_split_as_well(spark, no_broadcast):
+    events = spark.range(200).selectExpr("if(id < 150, null, id % 5) as k", "id as e")
+    attributes = spark.range(4).selectExpr("id as k", "id * 10 as v")
+    assert rows(joins.hot_keys(events, "k", share=0.1, rows=50)) == [(None, 3)]
+    for how in ("left", "left_anti", "inner"):
+        split = joins.events_with(events, attributes, "k", how, share=0.1, rows=50)
+        plain = events.join(attributes, "k", how)
+        assert rows(split.select(*plain.columns)) == rows(plain)
+
+
+def test_without_hot_keys_the_join_stays_plain(spark, hot, no_broadcast):
+    left, right = hot
+    assert "_part" not in plan(joins.attach_events(left, right, "k"))
+    assert "_part" in plan(joins.attach_events(left, right, "k", share=0.1, rows=50))
+
+
 def test_small_sides_are_left_to_the_planner(spark, hot):
     small = spark.range(3).withColumnRenamed("id", "k")
     joined = joins.events_with(spark.range(9).withColumnRenamed("id", "k"), small, "k", "inner")
