@@ -22,6 +22,9 @@ from kerbstone.plans.snapshot import Sources
 
 YEARS = range(2011, 2022)
 
+# Columns for cases of a type outside the list, and for cases without type.
+OTHER, UNTYPED = "other_cases", "untyped_cases"
+
 COUNT = "count_if(year <= {y})"
 LATEST = "max(if(year <= {y}, year, null))"
 
@@ -57,26 +60,30 @@ def panel_base(sources: Sources, years: Sequence[int], built: str = "YEARBUILT")
 
 
 def panel_code_cases(sources: Sources, years: Sequence[int]) -> DataFrame:
-    """(ADDRESS, cases: {type: counts[]}, TOTAL_VIOLATIONS[], ANY_VIOLATIONS[]).
+    """(ADDRESS, <type>[], …, other_cases[], untyped_cases[]), null where a key has none.
 
-    Counted per (key, type) first, types outside the list as one: that bounds
+    Counted per key and type first, types outside the list as one: that bounds
     what is gathered per key by the length of the list.
     """
     kind = F.col("kind")
-    listed = kind.isin(list(fb.case_columns(sources.case_types)))
-    typed = sources.code_cases.seen(Span.up_to(max(years))).select(
-        fb.KEY, "year", listed.alias("listed"), F.when(listed, kind).alias("kind")
+    names = [*fb.case_columns(sources.case_types).values(), OTHER, UNTYPED]
+    slot = F
+    for number, value in enumerate(fb.case_columns(sources.case_types)):
+        slot = slot.when(kind == value, number)
+    slot = slot.when(kind.isNotNull(), names.index(OTHER)).otherwise(names.index(UNTYPED))
+
+    seen = sources.code_cases.seen(Span.up_to(max(years)))
+    counts = (
+        seen.select(fb.KEY, "year", slot.alias("slot"))
+        .groupBy(fb.KEY, "slot")
+        .agg(*_per_year({"n": COUNT}, years))
     )
-    counts = typed.groupBy(fb.KEY, "listed", "kind").agg(*_per_year({"n": COUNT}, years))
-    entry = F.struct("kind", _packed("n", years))
-    wide = counts.groupBy(fb.KEY).agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("listed"), entry))).alias("cases"),
-        # Cases without a type have a null mark: they count as cases, not as violations.
-        *_per_year({"TOTAL_VIOLATIONS": "sum(if(listed is null, 0, n_{y}))"}, years),
-        *_per_year({"ANY_VIOLATIONS": "sum(n_{y})"}, years),
+    entries = counts.select(fb.KEY, F.struct("slot", _packed("n", years)).alias("entry"))
+    cases = entries.groupBy(fb.KEY).agg(F.map_from_entries(F.collect_list("entry")).alias("cases"))
+    return cases.select(
+        fb.KEY,
+        *[F.expr(f"try_element_at(cases, {i})").alias(name) for i, name in enumerate(names)],
     )
-    packed = [_packed(n, years) for n in ("TOTAL_VIOLATIONS", "ANY_VIOLATIONS")]
-    return wide.select(fb.KEY, "cases", *packed)
 
 
 def panel_crimes(sources: Sources, years: Sequence[int]) -> DataFrame:
@@ -150,21 +157,19 @@ def as_of_panel(
 
     def count(array: str, since: int | None = None) -> str:
         """The year's entry of an array; 0 without one, and before the source has data."""
-        entry = f"coalesce(get({array}, _place), 0)"
+        entry = f"coalesce(get(`{array}`, _place), 0)"
         return entry if since is None else f"if(as_of >= {since}, {entry}, 0)"
 
-    def case(value: str) -> str:
-        quoted = value.replace("\\", "\\\\").replace("'", "\\'")
-        return count(f"try_element_at(cases, '{quoted}')", s.cases_from)
-
+    types = list(fb.case_columns(s.case_types).values())
+    violations = " + ".join(count(name, s.cases_from) for name in [*types, OTHER])
     permit = "get(last_permit, _place)"
     reopened = f"coalesce({permit} > first_foreclosed, false)"
     columns = {
         "Age": f"as_of - get(`{built}`, _place)",
         **{c: f"get(`{c}`, _place)" for c in carried},
-        **{name: case(value) for value, name in fb.case_columns(s.case_types).items()},
-        "TOTAL_VIOLATIONS": count("TOTAL_VIOLATIONS", s.cases_from),
-        "ANY_VIOLATIONS": f"int({count('ANY_VIOLATIONS', s.cases_from)} > 0)",
+        **{name: count(name, s.cases_from) for name in types},
+        "TOTAL_VIOLATIONS": violations,
+        "ANY_VIOLATIONS": f"int({violations} + {count(UNTYPED, s.cases_from)} > 0)",
         "CRIME_INCIDENT": count("CRIME_INCIDENT", s.offenses_from),
         "ANY_CRIME": f"int({count('ANY_CRIME', s.offenses_from)} > 0)",
         "Utility_discon_count": count("Utility_discon_count"),
