@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbstone.llm import chat, decontaminate, line_dedup, url_filter
+from kerbstone.llm import chat, decontaminate, langid, line_dedup, packing, url_filter
 from kerbstone.llm.common import table
 
 URL_RULES = (
@@ -37,6 +37,21 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file: part of an installed package, so at the same place on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
@@ -60,6 +75,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
+    "op3_pack": op3_pack,
+    "op9_language_id": op9_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op10_chat_format": op10_chat_format,
 }
