@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbstone.llm import chat, decontaminate, langid, line_dedup, packing, simhash, url_filter
+from kerbstone.llm import chat, decontaminate, langid, line_dedup, lm, packing, simhash, url_filter
 from kerbstone.llm.common import table
 
 URL_RULES = (
@@ -52,6 +52,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_pack": op3_pack,
     "op4_simhash": op4_simhash,
+    "op8_lm_score": op8_lm_score,
     "op9_language_id": op9_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op10_chat_format": op10_chat_format,
