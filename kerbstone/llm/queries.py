@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbstone.llm import chat, decontaminate, langid, line_dedup, lm, packing, simhash, url_filter
+from kerbstone.llm import chat, decontaminate, html_extract, langid, line_dedup, lm, packing, simhash, url_filter
 from kerbstone.llm.common import table
 
 URL_RULES = (
@@ -56,6 +56,10 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_pack": op3_pack,
     "op4_simhash": op4_simhash,
+    "op5_html_extract": op5_html_extract,
     "op8_lm_score": op8_lm_score,
     "op9_language_id": op9_language_id,
     "op7_line_dedup": op7_line_dedup,
