@@ -94,8 +94,25 @@ SELECT conv_id, count(*) AS n_turns,
 FROM safe GROUP BY conv_id
 """
 
+OP6 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(v.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM q JOIN v ON q.vec_id <> v.vec_id)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+WHERE n <= 20
+"""
+
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2,
+    "op6_topk": OP6,
     "op7_line_dedup": OP7,
     "op10_chat_format": OP10,
 }

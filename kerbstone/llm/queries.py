@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbstone.llm import chat, decontaminate, html_extract, langid, line_dedup, lm, packing, simhash, url_filter
+from kerbstone.llm import chat, decontaminate, html_extract, langid, line_dedup, lm, packing, simhash, topk, url_filter
 from kerbstone.llm.common import table
 
 URL_RULES = (
@@ -60,6 +60,10 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -90,6 +94,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack": op3_pack,
     "op4_simhash": op4_simhash,
     "op5_html_extract": op5_html_extract,
+    "op6_topk": op6_topk,
     "op8_lm_score": op8_lm_score,
     "op9_language_id": op9_language_id,
     "op7_line_dedup": op7_line_dedup,
