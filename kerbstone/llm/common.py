@@ -52,3 +52,9 @@ def id_text(doc_id: Column) -> Column:
 def id_bucket(doc_id: Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``."""
     return (F.crc32(id_text(doc_id).cast("binary")) % buckets).cast("int")
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(_row, _key): whole rows as structs, so that their columns can't clash with others."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(whole.alias("_row"), row_key(F.col("doc_id"), F.col("text")).alias("_key"))

@@ -24,8 +24,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbstone.llm.common import id_bucket
 
@@ -35,7 +36,7 @@ HELD_OUT = 1
 # Half for 2-grams, which are exact, half for hashed 3-grams.
 FEATURES = 1 << 17
 FLOOR = 1e-7
-SHARPNESS = 6.0
+SHARPNESS = 3.0
 AMBIGUOUS = 0.5
 _HALF = FEATURES // 2
 _SLICE = 1_000_000
@@ -215,36 +216,56 @@ def _predicting(shared):
             if model.languages and asked.any():
                 texts = batch.column("text").filter(pa.array(asked))
                 language[asked], score[asked] = decode(model, margins(model.weights, texts))
-            kept = [batch.column(n) for n in batch.schema.names if n not in ("text", "letters")]
             yield pa.RecordBatch.from_arrays(
-                [*kept, names.take(pa.array(language)), pa.array(score), pa.array(score < AMBIGUOUS)],
                 [
-                    *(n for n in batch.schema.names if n not in ("text", "letters")),
-                    "lang_pred",
-                    "score",
-                    "ambiguous",
+                    batch.column("kept"),
+                    names.take(pa.array(language)),
+                    pa.array(score),
+                    pa.array(score < AMBIGUOUS),
                 ],
+                ["kept", "lang_pred", "score", "ambiguous"],
             )
 
     return predict
 
 
 def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with (lang_pred, score, ambiguous), one row per document row."""
+    """(kept, lang_pred, score, ambiguous), one row per document row; ``kept`` is a struct of the
+    columns ``keep``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     asked = docs.select(
-        *keep,
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"),
         F.col("text").cast("binary").alias("text"),
         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"),
     )
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in asked.schema[: len(keep)])
-    return asked.mapInArrow(
-        _predicting(shared), kept + "lang_pred string, score double, ambiguous boolean"
+    schema = (
+        T.StructType([asked.schema["kept"]])
+        .add("lang_pred", "string")
+        .add("score", "double")
+        .add("ambiguous", "boolean")
     )
+    return asked.mapInArrow(_predicting(shared), schema)
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", "lang", _held_out().alias("held_out"))
+
+
+def _held_out() -> Column:
+    return id_bucket(F.col("doc_id"), FOLDS) == HELD_OUT
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, ambiguous), learning from the rows not held out."""
-    marked = docs.withColumn("held_out", id_bucket(F.col("doc_id"), FOLDS) == HELD_OUT)
+    marked = _marked(docs)
     model = train(marked.filter(~F.col("held_out")))
-    return predict(marked, model, ["doc_id", "held_out"])
+    found = predict(marked, model, ["doc_id", "held_out"])
+    return found.select("kept.*", "lang_pred", "score", "ambiguous")
+
+
+def drop_unidentified(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose language is ``und`` or ambiguous, as they are."""
+    model = train(_marked(docs).filter(~F.col("held_out")))
+    found = predict(docs, model, docs.columns)
+    rejected = (F.col("lang_pred") == UNKNOWN) | F.col("ambiguous")
+    return found.filter(~rejected).select("kept.*")

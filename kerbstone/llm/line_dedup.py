@@ -9,7 +9,8 @@ boilerplate line goes but the first of the corpus (smallest document id, then pl
 Defined results: lines end at line feeds and are compared without white space around them; blank
 lines stay; a null source is no site; a null text stays null; documents equal in id and text get equal
 results (so the first of them keeps its line in each repeat), and a null id counts as the largest. Text that loses
-nothing is returned byte for byte. Further columns stay as they are.
+nothing is returned byte for byte. Further columns
+stay as they are, but for ``n_lines`` and ``n_removed``, which are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbstone.llm.common import row_key, settled
+from kerbstone.llm.common import keyed_rows, row_key, settled
 
 MIN_SITES = 8
 LOG_REGISTERS = 12
@@ -93,18 +94,15 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         .agg(F.collect_set("at").alias("_going"))
         .withColumnRenamed("key", "_key")
     )
-    lines = _lines("text")
+    lines = _lines("_row.text")
     places = F.sequence(F.lit(0), F.size(lines) - 1)
     kept = F.transform(F.array_except(places, F.col("_going")), lambda i: F.get(lines, i))
     gone = F.coalesce(F.size("_going"), F.lit(0))
-    joined = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text"))).join(
-        going, "_key", "left"
-    )
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    text = F.when(F.col("_going").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    joined = keyed_rows(docs).join(going, "_key", "left")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    text = F.when(F.col("_going").isNull(), F.col("_row.text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *others,
-        text.alias("text"),
+        *[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in names],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("_going").isNull(), 0).otherwise(gone).cast("long").alias("n_removed"),
     )

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbstone.llm.common import row_key, settled
+from kerbstone.llm.common import keyed_rows, row_key, settled
 from kerbstone.llm.components import components
 
 SHINGLE = 3
@@ -318,11 +318,10 @@ def drop_near_copies(docs: DataFrame, most: int = MOST_IN_NODE) -> DataFrame:
     best = rooted.groupBy("root").agg(F.min(order)["key"].alias("_key"))
     copies = prints.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_copies"))
     kept = settled(best.select("_key").join(copies, "_key"), "kept-rows")
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text"))).join(kept, "_key")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = keyed_rows(docs).join(kept, "_key")
     if kept.filter("_copies > 1").isEmpty():
-        return keyed.select(*columns)
+        return keyed.select("_row.*")
     # Rows equal in id and text: any of them stands for all.
-    single = keyed.filter("_copies = 1").select(*columns)
-    repeated = keyed.filter("_copies > 1").dropDuplicates(["_key"]).select(*columns)
+    single = keyed.filter("_copies = 1").select("_row.*")
+    repeated = keyed.filter("_copies > 1").dropDuplicates(["_key"]).select("_row.*")
     return single.unionByName(repeated)
