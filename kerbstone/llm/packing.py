@@ -94,8 +94,9 @@ class WordTokens:
             word = chunk[:-1] if mark else chunk
             if word.isascii():
                 word = word.lower()
-            # Letters below U+0250 have no other normal form and no context of their own.
-            if word.isalpha() and len(word) <= 64 and (word.isascii() or max(word) < "ɐ"):
+            # Latin letters have no other normal form and stay letters in lower case, but for one.
+            latin = word.isascii() or (max(word) < "ɐ" and "İ" not in word)
+            if word.isalpha() and len(word) <= 64 and latin:
                 plain.append((chunk, word, mark))
             else:
                 self._add(chunk, self._encode(chunk))
