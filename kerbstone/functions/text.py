@@ -24,10 +24,12 @@ def lenient_number(text: Column) -> Column:
 def lenient_timestamp(text: Column, *formats: str) -> Column:
     """Timestamp in ``text``, trying each format in order; null where none fits.
 
-    Without formats only ISO text is read.
+    ISO text with fractions or a zone is read last; the zone is dropped, so the wall time
+    stays as written whatever the session's zone.
     """
-    tried = [F.try_to_timestamp(text, F.lit(f)) for f in formats] or [F.try_to_timestamp(text)]
-    return F.coalesce(*tried).cast("timestamp_ntz")
+    tried = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    iso = F.when(text.rlike(r"^\s*\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$"), text)
+    return F.coalesce(*tried, iso.try_cast("timestamp_ntz"))
 
 
 def strict_timestamp(text: Column, *formats: str) -> Column:

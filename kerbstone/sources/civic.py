@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from kerbstone.functions import lenient_timestamp, normalise_key, strict_timestamp
 from kerbstone.operators.columns import rename
-from kerbstone.sources.tables import read_csv, with_file_order
+from kerbstone.sources.tables import read_csv, read_parquet
 
 KEY = "ADDRESS"
 
@@ -82,11 +82,15 @@ def read_civic(
     for table, ddl in SCHEMAS.items():
         path = posixpath.join(folder, f"{table}.{fmt}")
         schema = T.StructType.fromDDL(ddl)
-        if fmt == "csv":
-            df = read_csv(spark, path, schema, others=table == "properties")
-        else:
-            df = spark.read.schema(schema).parquet(path)
-        if table in ("properties", "parcels"):
-            df = with_file_order(df)
+        # Further columns of the properties become features; the last row of an address counts
+        # among properties and parcels.
+        read = read_csv if fmt == "csv" else read_parquet
+        df = read(
+            spark,
+            path,
+            schema,
+            others=table == "properties",
+            order="_ord" if table in ("properties", "parcels") else None,
+        )
         tables[table] = clean(table, df, formats)
     return tables

@@ -3,33 +3,94 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Quotes inside quoted fields are doubled, as spreadsheets and most exports write them.
+_QUOTING = {"quote": '"', "escape": '"'}
+
+
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files under ``path`` by their header lines: one small read per file."""
+    listed = spark.read.format("binaryFile").load(path).select("path").collect()
+    files = sorted(r["path"] for r in listed)
+
+    def header(file: str) -> tuple[str, ...]:
+        return tuple(spark.read.options(header=True, **_QUOTING).csv(file).columns)
+
+    groups: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(8) as pool:
+        for file, names in zip(files, pool.map(inheritable_thread_target(spark)(header), files), strict=True):
+            groups.setdefault(names, []).append(file)
+    groups.pop((), None)
+    return groups
+
+
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType, others: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    others: bool = False,
+    multi_line: bool = False,
+    order: str | None = None,
 ) -> DataFrame:
-    """CSV with a header line and known types.
+    """CSV with header lines and known types.
 
-    Columns are matched to ``schema`` by their header names, whatever their
-    order; ``others`` keeps the columns outside the schema, as text. Unreadable
-    fields become null.
+    Columns are matched to ``schema`` by the header of each file, whatever their order;
+    ``others`` keeps the columns outside the schema, as text, null in files without
+    them. Unreadable fields become null. ``multi_line`` allows line breaks inside quotes;
+    a file is then read by one task, so it is off unless asked for. ``order`` adds a
+    column as :func:`with_file_order` does.
     """
-    header = spark.read.option("header", True).csv(path).columns
     types = {f.name: f for f in schema}
-    absent = [n for n in types if n not in header]
-    if absent:
-        raise ValueError(f"{path} lacks {absent}")
-    full = T.StructType([types.get(n, T.StructField(n, T.StringType())) for n in header])
-    table = spark.read.schema(full).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return table if others else table.select(*[F.col(f"`{n}`") for n in types])
+    parts = []
+    for header, files in _headers(spark, path).items():
+        absent = [n for n in types if n not in header]
+        if absent:
+            raise ValueError(f"{files[0]} lacks {absent}")
+        full = T.StructType([types.get(n, T.StructField(n, T.StringType())) for n in header])
+        reader = spark.read.schema(full).options(
+            header=True, mode="PERMISSIVE", multiLine=multi_line, **_QUOTING
+        )
+        part = reader.csv(files)
+        kept = list(header) if others else list(types)
+        if order:
+            part, kept = with_file_order(part, order), [*kept, order]
+        parts.append(part.select(*[F.col(f"`{n}`") for n in kept]))
+    if not parts:
+        raise ValueError(f"{path} holds no header line")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
 
+def read_parquet(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    others: bool = True,
+    order: str | None = None,
+) -> DataFrame:
+    """Parquet as it is, or with the columns of ``schema`` checked and cast to its types.
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    ``others`` keeps the columns outside the schema; ``order`` as in :func:`read_csv`.
+    """
+    table = spark.read.parquet(path)
+    types = {f.name: f.dataType for f in schema or ()}
+    absent = [n for n in types if n not in table.columns]
+    if absent:
+        raise ValueError(f"{path} lacks {absent}")
+    kept = table.columns if others else list(types)
+    columns = [
+        F.col(f"`{n}`").cast(types[n]).alias(n) if n in types else F.col(f"`{n}`") for n in kept
+    ]
+    if order:
+        table, columns = with_file_order(table, order), [*columns, F.col(order)]
+    return table.select(*columns)
 
 
 def with_file_order(df: DataFrame, name: str = "_ord") -> DataFrame:
@@ -55,7 +116,12 @@ def write_table(
     """
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(
+            header=True,
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+            **_QUOTING,
+        ).csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
     else:

@@ -1,4 +1,5 @@
 import civic
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,37 @@ def test_missing_csv_column_is_named(spark, tmp_path):
         raise AssertionError("no error")
 
 
+def test_quotes_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b\n"6"" pipe, old",x\n"two\nlines",y\n')
+    schema = T.StructType.fromDDL("a string, b string")
+    found = tables.read_csv(spark, str(path), schema, multi_line=True)
+    assert rows(found) == [('6" pipe, old', "x"), ("two\nlines", "y")]
+
+
+def test_headers_in_other_orders(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,x\n")
+    (folder / "2.csv").write_text("b,a,c\ny,2,more\n")
+    (folder / "3.csv").write_text("")
+    schema = T.StructType.fromDDL("a int, b string")
+    assert rows(tables.read_csv(spark, str(folder), schema)) == [(1, "x"), (2, "y")]
+    wide = tables.read_csv(spark, str(folder), schema, others=True, order="_ord")
+    assert wide.columns == ["a", "b", "_ord", "c"] or set(wide.columns) == {"a", "b", "c", "_ord"}
+    assert [r["a"] for r in wide.orderBy("_ord").collect()] == [1, 2]
+
+
+def test_parquet_columns_are_checked_and_cast(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("7", "x", 1)], "a string, b string, c int").write.parquet(path)
+    schema = T.StructType.fromDDL("a int, b string")
+    assert rows(tables.read_parquet(spark, path, schema)) == [(7, "x", 1)]
+    assert tables.read_parquet(spark, path, schema, others=False).columns == ["a", "b"]
+    with pytest.raises(ValueError, match="'z'"):
+        tables.read_parquet(spark, path, T.StructType.fromDDL("z int"))
+
+
 def test_round_trip_adds_no_row_numbers(spark, tmp_path):
     df = spark.createDataFrame([(1, "a b", 0.1), (2, None, None)], "i int, s string, d double")
     for fmt in ("parquet", "csv"):
@@ -48,8 +80,7 @@ def test_file_order_survives_small_blocks(spark, tmp_path):
     before = spark.conf.get(name)
     spark.conf.set(name, "1024")
     try:
-        df = tables.read_csv(spark, path, T.StructType.fromDDL("i int"))
-        ordered = tables.with_file_order(df)
+        ordered = tables.read_csv(spark, path, T.StructType.fromDDL("i int"), order="_ord")
         assert ordered.rdd.getNumPartitions() > 1
         assert [r[0] for r in ordered.orderBy("_ord").select("i").collect()] == list(range(5000))
     finally:
@@ -67,6 +98,7 @@ def test_civic_tables_in_both_formats(spark, tmp_path):
         raw.write.parquet(f"{folder}/{table}.parquet")
     parquet = read_civic(spark, folder, "parquet")
     for table in SCHEMAS:
+        assert parquet[table].columns == csv[table].columns
         names = [c for c in parquet[table].columns if c != "_ord"]
         quoted = [F.col(f"`{c}`") for c in names]
         assert rows(csv[table].select(*quoted)) == rows(parquet[table].select(*quoted))
