@@ -215,7 +215,7 @@ SELECT b.address, b.as_of, b.age, b.segment, b.lat, b.lon,
        CAST(coalesce(i.ready, 0) AS INTEGER) AS ready_anytime,
        coalesce(x.activity, '0') AS activity, coalesce(x.buildval, 0.0) AS buildval,
        CAST(z.address IS NOT NULL AS INTEGER) AS foreclosed,
-       CAST(b.as_of + 2 <= (SELECT max(y) FROM ev) AS INTEGER) AS label_complete
+       CAST(b.as_of + 2 <= 2000 AS INTEGER) AS label_complete
 FROM base b
 LEFT JOIN cases c ON b.address = c.address AND b.as_of = c.as_of
 LEFT JOIN crimes k ON b.address = k.address AND b.as_of = k.as_of
@@ -335,12 +335,15 @@ ORACLES: dict[str, str] = {
         SELECT c_custkey, c_acctbal, coalesce(n, 0) AS n_orders,
                CAST(n IS NOT NULL AS INTEGER) AS any_order
         FROM customer LEFT JOIN (SELECT o_custkey, count(o_orderkey) AS n FROM orders
-                                 WHERE o_totalprice > 450000 GROUP BY o_custkey)
+                                 GROUP BY o_custkey)
           ON c_custkey = o_custkey""",
     "feature_fanout": """
         SELECT c_custkey, c_mktsegment, o_orderkey, o_orderdate
-        FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 350000)
-          ON c_custkey = o_custkey""",
+        FROM customer LEFT JOIN orders ON c_custkey = o_custkey""",
+    "fanout_split": """
+        SELECT s.o_orderstatus, 1 AS known, o_orderkey
+        FROM (SELECT DISTINCT o_orderstatus FROM orders) s
+        LEFT JOIN orders o ON s.o_orderstatus = o.o_orderstatus""",
     "events_with_attributes": """
         SELECT l_orderkey, l_linenumber, l_suppkey, s_nationkey
         FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey""",
@@ -453,6 +456,9 @@ ORACLES: dict[str, str] = {
     "column_top_values": " UNION ALL ".join(
         _top(name) for name in ("o_custkey", "o_orderstatus", "o_orderpriority")
     ),
+    "csv_text_round_trip": """
+        SELECT doc_id, '"a", ""b""' || chr(10) || text AS text, lang FROM documents""",
+    "csv_mixed_headers": "SELECT c_custkey, c_name, c_acctbal FROM customer",
     "sink_round_trip": """
         SELECT *, 'parquet' AS fmt FROM customer UNION ALL SELECT *, 'csv' FROM customer""",
 }

@@ -247,7 +247,7 @@ def last_part_per_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = si.table(spark, sf_dir, "orders").filter(F.col("o_totalprice") > 450000)
+    orders = si.table(spark, sf_dir, "orders")
     return columns.with_flag(
         aggregates.count_per_key(orders, "o_custkey", "o_orderkey", "n_orders"), "any_order"
     ).withColumnRenamed("o_custkey", "c_custkey")
@@ -263,11 +263,19 @@ def feature_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feature_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = si.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    orders = si.table(spark, sf_dir, "orders").filter(F.col("o_totalprice") > 350000)
+    orders = si.table(spark, sf_dir, "orders")
     orders = orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
     return joins.attach_events(customers, orders, "c_custkey")
 
 
+@query
+def fanout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fan-out by order status, whose few keys hold far more rows than one part may."""
+    orders = si.table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey")
+    statuses = orders.select("o_orderstatus").distinct().withColumn("known", F.lit(1))
+    return joins.attach_events(statuses, orders, "o_orderstatus", part_rows=500)
+
+
 @query
 def events_with_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = si.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
@@ -476,7 +484,9 @@ def full_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def full_as_of_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return si.snake(as_of_panel(si.sources(spark, sf_dir), si.YEARS, si.HORIZON))
+    sources = si.sources(spark, sf_dir)
+    panel = as_of_panel(sources, si.YEARS, si.HORIZON, observed_until=si.OBSERVED_UNTIL)
+    return si.snake(panel)
 
 
 # Splits ----------------------------------------------------------------------
@@ -489,10 +499,8 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def shuffled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shuffled = split.shuffle_rows(si.table(spark, sf_dir, "customer"), "c_custkey")
-    return ranking.hash_rank(shuffled, "c_custkey", split.SEED, name="position").select(
-        "c_custkey", "position"
-    )
+    customers = si.table(spark, sf_dir, "customer").select("c_custkey")
+    return ranking.hash_rank(customers, "c_custkey", split.SEED, name="position")
 
 
 @query
@@ -555,6 +563,29 @@ def sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_by_name(*read)
 
 
+@query
+def csv_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks, commas and quotes, through a CSV file and back."""
+    documents = si.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit('"a", ""b""\n'), "text").alias("text"), "lang"
+    )
+    path = scratch_path(spark, "documents-csv")
+    tables.write_table(documents, path, "csv")
+    return tables.read_csv(spark, path, documents.schema, multi_line=True)
+
+
+@query
+def csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder of files whose columns come in different orders."""
+    customers = si.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    path = scratch_path(spark, "customers-mixed")
+    even = F.col("c_custkey") % 2 == 0
+    customers.filter(even).write.option("header", True).csv(path)
+    turned = customers.filter(~even).select("c_acctbal", "c_custkey", "c_name")
+    turned.write.mode("append").option("header", True).csv(path)
+    return tables.read_csv(spark, path, customers.schema)
+
+
 # Models ----------------------------------------------------------------------
 
 # Few and shallow trees: the queries show the steps, not the best model.

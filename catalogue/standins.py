@@ -20,6 +20,8 @@ LABELS = Span(1999, 2000)
 REF_YEAR = 2001
 YEARS = range(1995, 2002)
 HORIZON = 2
+# Orders end in August 2001.
+OBSERVED_UNTIL = 2000
 URGENT = "1-URGENT"
 # The last one occurs nowhere, and one priority of the data is not listed.
 PRIORITIES = {

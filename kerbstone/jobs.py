@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from kerbstone.ml import encode, evaluate, model, split
 from kerbstone.operators import ranking
-from kerbstone.operators.profile import profile
+from kerbstone.operators.aggregates import RowTrace
+from kerbstone.operators.profile import profile, top_values
 from kerbstone.plans import features as fb
 from kerbstone.plans import reports
-from kerbstone.plans.panel import as_of_panel
+from kerbstone.plans.panel import as_of_panel, last_whole_year
 from kerbstone.plans.snapshot import Sources, addressed, feature_table
 from kerbstone.session import settle
 from kerbstone.sources.civic import read_civic
@@ -59,16 +60,23 @@ class Run:
 
 
 def features(run: Run) -> None:
-    """The feature table of the fixed window, and its column profile."""
+    """The feature table of the fixed window, the row counts of its steps, its column
+    profile, and the most frequent values."""
     sources = Sources.civic(read_civic(run.spark, run.input, run.fmt))
-    run.write(addressed(feature_table(sources)), "features")
-    run.write(profile(run.spark.read.parquet(run.path("features"))), "features_profile")
+    trace = RowTrace()
+    run.write(addressed(feature_table(sources, trace=trace)), "features")
+    steps = run.spark.createDataFrame(trace.rows(), "step string, rows long, columns int")
+    run.write(steps, "features_steps")
+    written = run.spark.read.parquet(run.path("features"))
+    run.write(profile(written), "features_profile")
+    run.write(top_values(written, written.columns), "features_top_values")
 
 
 def panel(run: Run) -> None:
     """All as-of years, one folder per year."""
     sources = Sources.civic(read_civic(run.spark, run.input, run.fmt))
-    run.write(as_of_panel(sources), "panel", partition_by=["as_of"])
+    until = last_whole_year(sources.incidents)
+    run.write(as_of_panel(sources, observed_until=until), "panel", partition_by=["as_of"])
 
 
 def _model_table(table: DataFrame, without: Sequence[str]) -> tuple[DataFrame, encode.Inputs]:

@@ -1,10 +1,9 @@
 """Joins on a property key.
 
 ``attach`` and ``flag_in`` expect one row per key on the left, as feature tables have:
-no key can be hot then, and right sides arrive aggregated. The forms for events
-take any number of rows per key: a side Spark itself would broadcast is left to
-it, and beyond that size the keys that hold too many rows are split. Null keys
-never match.
+no key can be hot then, and right sides arrive aggregated. ``events_with`` has the many rows on
+the left, where AQE splits a hot key by itself; ``attach_events`` has them on the right of a left join, where
+it can't, so hot keys are split here. Null keys never match.
 """
 
 from __future__ import annotations
@@ -12,42 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than this share of the rows. There are at most
-# 1 / HOT_SHARE such keys, whatever the data, so their list may be broadcast.
-HOT_SHARE = 1e-4
-# Below this many rows one task copes with a key without help.
-HOT_ROWS = 1_000_000
+# So many rows of one key one task takes without help.
+PART_ROWS = 1_000_000
 
 
-def hot_keys(
-    df: DataFrame, key: str, share: float = HOT_SHARE, rows: int = HOT_ROWS
-) -> DataFrame:
-    """Keys that hold too many rows, null among them, and into how many parts to split
-    each: (key, parts)."""
-    count = F.count(F.lit(1))
-    limit = df.agg(F.greatest(F.lit(float(rows)), count * F.lit(share)).alias("n")).scalar()
-    sizes = df.groupBy(key).agg(count.alias("n"))
-    return sizes.filter(F.col("n") > limit).select(
-        key, F.ceil(F.col("n") / limit).cast("int").alias("parts")
+def hot_keys(df: DataFrame, key: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """(key, parts): keys with more than ``part_rows`` rows, and into how many parts of about
+    that size to split each. One pass over the key column; there are at most rows / ``part_rows``."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.filter(F.col("n") > part_rows).select(
+        key, F.ceil(F.col("n") / part_rows).cast("int").alias("parts")
     )
 
 
-def read_hot_keys(df: DataFrame, key: str, share: float, rows: int) -> DataFrame | None:
-    """The hot keys as a local table, or None without any.
-
-    One pass over the key column, at most 1 / ``share`` rows to the driver. Both sides
-    of a join then surely use the same list, and without hot keys the join stays plain.
-    """
-    hot = hot_keys(df, key, share, rows)
-    found = hot.collect()
-    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Is the planner's size estimate of ``df`` below its own broadcast limit?"""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
+def _parted(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """Add ``parts``, 1 for keys that aren't hot."""
+    return df.join(hot, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
 def _part(df: DataFrame, parts: Column) -> Column:
@@ -56,76 +35,48 @@ def _part(df: DataFrame, parts: Column) -> Column:
     return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), parts).cast("int")
 
 
-def _split(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """Give each row of a hot key one part; nulls, which match nothing, included."""
-    marked = df.join(F.broadcast(hot), df[key].eqNullSafe(hot[key]), "left").drop(hot[key])
-    return marked.withColumn("_part", _part(df, F.coalesce("parts", F.lit(1)))).drop("parts")
-
-
-def _copy(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """Repeat the row of a hot key for each of its parts."""
-    marked = df.join(F.broadcast(hot), key, "left").withColumn(
-        "parts", F.coalesce("parts", F.lit(1))
-    )
-    return marked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-
 def attach(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join to a table with one row per key."""
     return left.join(right, key, "left")
 
 
 def attach_events(
-    left: DataFrame, right: DataFrame, key: str, share: float = HOT_SHARE, rows: int = HOT_ROWS
+    left: DataFrame, right: DataFrame, key: str, part_rows: int = PART_ROWS
 ) -> DataFrame:
     """Left join that repeats each left row for all its rows on the right.
 
-    The left holds one row per key. Hot keys of the right are split; the left
-    row goes to every part, and copies whose part holds nothing are dropped:
-    a hot key fills at least one part.
+    Rows of a hot key of the right are split into parts of about ``part_rows``; its left rows go
+    to every part, and copies whose part holds nothing are dropped: a hot key fills at least
+    one part. All in one lazy plan: the planner sees to the small list of hot keys.
     """
-    if fits_broadcast(right):
-        return left.join(right, key, "left")
     right = right.filter(F.col(key).isNotNull())
-    hot = read_hot_keys(right, key, share, rows)
-    if hot is None:
-        return left.join(right, key, "left")
-    joined = _copy(left, hot, key).join(
-        _split(right, hot, key).withColumn("_matched", F.lit(True)), [key, "_part"], "left"
+    hot = hot_keys(right, key, part_rows)
+    split = _parted(right, hot, key).withColumn("_part", _part(right, F.col("parts")))
+    copies = _parted(left, hot, key).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    )
+    joined = copies.join(
+        split.drop("parts").withColumn("_matched", F.lit(True)), [key, "_part"], "left"
     )
     return joined.filter(F.col("_matched") | (F.col("parts") == 1)).drop(
         "_part", "parts", "_matched"
     )
 
 
-def events_with(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    how: str = "left",
-    share: float = HOT_SHARE,
-    rows: int = HOT_ROWS,
-) -> DataFrame:
+def events_with(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join events, any number per key, to a table with one row per key.
 
-    ``how`` is left, inner, left_semi or left_anti. Hot keys of the left are
-    split and the right row copied to each part, so every left row still meets
-    its match exactly once.
+    ``how`` is left, inner, left_semi or left_anti: in all of them AQE's skew join may split
+    the left side.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join: {how}")
-    if fits_broadcast(right):
-        return left.join(right, key, how)
-    hot = read_hot_keys(left, key, share, rows)
-    if hot is None:
-        return left.join(right, key, how)
-    copies = _copy(right.filter(F.col(key).isNotNull()), hot, key).drop("parts")
-    return _split(left, hot, key).join(copies, [key, "_part"], how).drop("_part")
+    return left.join(right, key, how)
 
 
-def not_in(df: DataFrame, keys: DataFrame, key: str, **hot: float) -> DataFrame:
+def not_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is absent from ``keys``."""
-    return events_with(df, keys.select(key).distinct(), key, "left_anti", **hot)
+    return events_with(df, keys.select(key).distinct(), key, "left_anti")
 
 
 def flag_in(df: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ _NUMBERS = {
     "stddev": "stddev(double({c}))",
     "quantiles": "percentile_approx(double({c}), array({quantiles}), {accuracy})",
 }
-_TEXTS = {"min_text": "min(string({c}))", "max_text": "max(string({c}))"}
+_TEXTS = {"min_text": "string(min({c}))", "max_text": "string(max({c}))"}
 
 
 def _absent(name: str) -> str:
@@ -53,7 +53,8 @@ def profile(df: DataFrame, accuracy: int = 10_000, exact: bool = False) -> DataF
 
     One pass with fixed-size sketches for distinct values and quantiles; its
     single wide row is unfolded to a row per column. ``exact`` counts distinct
-    values exactly instead, in a second pass.
+    values exactly instead, in a second pass that shuffles every different value of every column
+    as text. Quantiles stay sketches: exact ones would gather a column's values in one task.
     """
     fields = list(df.schema)
     wide = df.agg(

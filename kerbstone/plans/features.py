@@ -260,15 +260,20 @@ def parcels(
     )
 
 
+def first_foreclosures(filings: Events, span: Span = FEATURE_SPAN) -> DataFrame:
+    """Earliest foreclosure year per key."""
+    return filings.seen(span).groupBy(KEY).agg(F.min("year").alias("first_foreclosed"))
+
+
 def foreclosed(filings: Events, rentals: Events, span: Span = FEATURE_SPAN) -> DataFrame:
     """Keys with a foreclosure and no rental permit later than it.
 
     Any permit after any foreclosure clears the key; the earliest foreclosure
     and the latest permit decide that, so both sides join one row per key.
     """
-    first = filings.seen(span).groupBy(KEY).agg(F.min("year").alias("first_foreclosed"))
     return (
-        first.join(last_permits(rentals, span), KEY, "left")
+        first_foreclosures(filings, span)
+        .join(last_permits(rentals, span), KEY, "left")
         .filter(~still_cleared(F.col("first_foreclosed"), F.col("last_permit")))
         .select(KEY, F.lit(1).alias("foreclosed"))
     )

@@ -13,12 +13,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbstone.functions import lenient_number
 from kerbstone.operators.filters import Span
 from kerbstone.operators.joins import attach
 from kerbstone.plans import features as fb
-from kerbstone.plans.snapshot import Sources
+from kerbstone.plans.snapshot import Sources, addressed
 
 YEARS = range(2011, 2022)
 
@@ -45,17 +46,20 @@ def _panel_of(df: DataFrame, years: Sequence[int], measures: Mapping[str, str])
     return wide.select(fb.KEY, *[_packed(name, years) for name in measures])
 
 
+# Properties with a key, and the last row of each as of every year, in a struct.
+LAST = "last"
+
+
 def panel_base(sources: Sources, years: Sequence[int], built: str = "YEARBUILT") -> DataFrame:
-    """(ADDRESS, built[], …[]): for each year the last row of those built by then."""
-    df = sources.properties.withColumn(built, lenient_number(F.col(built)))
+    """(ADDRESS, last[]): for each year the last row of those built by then, as a struct.
+
+    Properties without address are not among them, here as in the feature table.
+    """
+    df = addressed(sources.properties).withColumn(built, lenient_number(F.col(built)))
     unused = {fb.KEY, *sources.property_order, *fb.UNUSED_ADDRESS_COLUMNS}
-    order = ", ".join(f"`{c}`" for c in sources.property_order)
-    place = order if len(sources.property_order) == 1 else f"struct({order})"
-    last = {
-        c: f"max_by(`{c}`, if(`{built}` <= {{y}}, {place}, null))"
-        for c in df.columns
-        if c not in unused
-    }
+    row = "struct(" + ", ".join(f"`{c}`" for c in df.columns if c not in unused) + ")"
+    place = "struct(" + ", ".join(f"`{c}`" for c in sources.property_order) + ")"
+    last = {LAST: f"max_by({row}, if(`{built}` <= {{y}}, {place}, null))"}
     return _panel_of(df.filter(F.col(built) <= max(years)), years, last)
 
 
@@ -128,16 +132,18 @@ def as_of_panel(
     horizon: int = 4,
     label_start_offset: int = 0,
     built: str = "YEARBUILT",
+    observed_until: int | None = None,
 ) -> DataFrame:
-    """One row per (property, as-of year) with features known by that year.
+    """One row per (property with an address, as-of year) with features known by that year.
 
-    ``Incident`` looks at ``[year + label_start_offset, year + horizon]``;
-    ``label_complete`` tells whether the incidents reach that far.
+    ``Incident`` looks at ``[year + label_start_offset, year + horizon]``. ``observed_until`` is
+    the last year the incidents cover whole (:func:`last_whole_year` finds it);
+    ``label_complete`` tells whether a label's years end by then, null without it.
     """
     years = sorted(years)
     s = sources
     base = panel_base(s, years, built)
-    carried = [c for c in base.columns if c not in (fb.KEY, built)]
+    carried = [c for c in base.schema[LAST].dataType.elementType.names if c != built]
     wide = base
     for part in (
         panel_code_cases(s, years),
@@ -153,7 +159,7 @@ def as_of_panel(
 
     listed_years = ", ".join(map(str, years))
     unfolded = wide.select("*", F.expr(f"posexplode(array({listed_years})) as (_place, as_of)"))
-    known = unfolded.filter(F.expr(f"get(`{built}`, _place) is not null"))
+    known = unfolded.filter(F.expr(f"get({LAST}, _place) is not null"))
 
     def count(array: str, since: int | None = None) -> str:
         """The year's entry of an array; 0 without one, and before the source has data."""
@@ -165,8 +171,8 @@ def as_of_panel(
     permit = "get(last_permit, _place)"
     reopened = f"coalesce({permit} > first_foreclosed, false)"
     columns = {
-        "Age": f"as_of - get(`{built}`, _place)",
-        **{c: f"get(`{c}`, _place)" for c in carried},
+        "Age": f"as_of - get({LAST}, _place).`{built}`",
+        **{c: f"get({LAST}, _place).`{c}`" for c in carried},
         **{name: count(name, s.cases_from) for name in types},
         "TOTAL_VIOLATIONS": violations,
         "ANY_VIOLATIONS": f"int({violations} + {count(UNTYPED, s.cases_from)} > 0)",
@@ -183,10 +189,22 @@ def as_of_panel(
         **{m: f"coalesce(`{m}`, 0.0D)" for m in s.parcel_measures},
         "foreclosed": f"int(coalesce(first_foreclosed <= as_of and not {reopened}, false))",
     }
-    last_seen = s.incidents.seen(Span()).agg(F.max("year")).scalar()
+    complete = F.col("as_of") + horizon <= F.lit(observed_until).cast("int")
     return known.select(
         fb.KEY,
         "as_of",
         *[F.expr(sql).alias(name) for name, sql in columns.items()],
-        (F.col("as_of") + horizon <= last_seen).cast("int").alias("label_complete"),
+        complete.cast("int").alias("label_complete"),
     )
+
+
+def last_whole_year(events: fb.Events) -> int | None:
+    """The last year the events may cover whole: that of the last event if it is on the last day of
+    its year, else the one before. For events with only a year it is the year before the last.
+
+    One number, from one pass over the time column.
+    """
+    when = F.col(f"`{events.when}`")
+    if isinstance(events.frame.schema[events.when].dataType, T.NumericType):
+        return events.frame.agg((F.max(when) - 1).alias("y")).first()["y"]
+    return events.frame.agg((F.year(F.date_add(F.max(when), 1)) - 1).alias("y")).first()["y"]

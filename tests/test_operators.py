@@ -105,13 +105,14 @@ def hot(spark):
 
 
 def test_hot_keys_are_found_and_counted_into_parts(spark, hot):
-    assert rows(joins.hot_keys(hot[1], "k", share=0.1, rows=50)) == [(0, 6)]
-    assert rows(joins.hot_keys(hot[1], "k", share=0.1, rows=1000)) == []
+    assert rows(joins.hot_keys(hot[1], "k", part_rows=50)) == [(0, 6)]
+    assert rows(joins.hot_keys(hot[1], "k")) == []
 
 
-def test_attach_events_equals_a_left_join(spark, hot, no_broadcast):
+@pytest.mark.parametrize("part_rows", [20, 50, 1000])
+def test_attach_events_equals_a_left_join(spark, hot, no_broadcast, part_rows):
     left, right = hot
-    joined = joins.attach_events(left, right, "k", share=0.1, rows=50)
+    joined = joins.attach_events(left, right, "k", part_rows)
     assert rows(joined.select("k", "p", "e")) == rows(
         left.join(right, "k", "left").select("k", "p", "e")
     )
@@ -121,42 +122,34 @@ def test_attach_events_spreads_the_hot_key(spark, hot, no_broadcast):
     left, right = hot
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = joins.attach_events(left, right, "k", share=0.1, rows=20)
+        joined = joins.attach_events(left, right, "k", part_rows=20)
         sizes = joined.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert max(r["count"] for r in sizes) < 250
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_events_with_equals_the_plain_join(spark, hot, no_broadcast, how):
-    attributes, events = hot
-    attributes = attributes.filter("k is null or k < 3").dropDuplicates(["k"])
-    split = joins.events_with(events, attributes, "k", how, share=0.1, rows=50)
-    plain = events.join(attributes, "k", how)
-    assert rows(split.select(*plain.columns)) == rows(plain)
+def test_plans_are_made_without_running_a_job(spark, hot, no_broadcast):
+    left, right = hot
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "no job expected")
+    try:
+        joins.attach_events(left, right, "k", part_rows=20)
+        joins.events_with(right, left.dropna(), "k")
+        assert not tracker.getJobIdsForGroup("planning")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_many_null_keys_are_split_as_well(spark, no_broadcast):
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_events_with_keeps_null_keys_apart(spark, how):
     events = spark.range(200).selectExpr("if(id < 150, null, id % 5) as k", "id as e")
     attributes = spark.range(4).selectExpr("id as k", "id * 10 as v")
-    assert rows(joins.hot_keys(events, "k", share=0.1, rows=50)) == [(None, 3)]
-    for how in ("left", "left_anti", "inner"):
-        split = joins.events_with(events, attributes, "k", how, share=0.1, rows=50)
-        plain = events.join(attributes, "k", how)
-        assert rows(split.select(*plain.columns)) == rows(plain)
-
-
-def test_without_hot_keys_the_join_stays_plain(spark, hot, no_broadcast):
-    left, right = hot
-    assert "_part" not in plan(joins.attach_events(left, right, "k"))
-    assert "_part" in plan(joins.attach_events(left, right, "k", share=0.1, rows=50))
-
-
-def test_small_sides_are_left_to_the_planner(spark, hot):
-    small = spark.range(3).withColumnRenamed("id", "k")
-    joined = joins.events_with(spark.range(9).withColumnRenamed("id", "k"), small, "k", "inner")
-    assert "BroadcastHashJoin" in plan(joined) and "_part" not in plan(joined)
+    found = joins.events_with(events, attributes, "k", how)
+    missing = found.filter("k is null").count()
+    assert missing == (150 if how in ("left", "left_anti") else 0)
+    with pytest.raises(ValueError):
+        joins.events_with(events, attributes, "k", "full")
 
 
 def test_not_in_and_flag_in(spark, hot):
