@@ -456,6 +456,45 @@ ORACLES: dict[str, str] = {
     "column_top_values": " UNION ALL ".join(
         _top(name) for name in ("o_custkey", "o_orderstatus", "o_orderpriority")
     ),
+    "oof_scores": f"""
+        SELECT address, CAST((row_number() OVER (PARTITION BY incident
+            ORDER BY md5('42:' || address)) - 1) % 5 AS INTEGER) AS fold,
+          incident AS "Incident", true AS in_range, true AS agrees FROM ({FEATURE_TABLE})""",
+    "holdout_scores": f"""
+        SELECT address, incident AS "Incident", true AS same, true AS in_range, true AS agrees
+        FROM (SELECT *, row_number() OVER (PARTITION BY incident ORDER BY md5('42:' || address))
+                AS rk, count(*) OVER (PARTITION BY incident) AS n FROM ({FEATURE_TABLE}))
+        WHERE rk <= ceil(n * 0.33::DOUBLE)""",
+    "iteration_error": """
+        SELECT part, true AS complete, true AS ends_right FROM (VALUES ('train'), ('test')) t(part)""",
+    "best_round_count": "SELECT true AS trains, true AS stops",
+    "feature_importance": "SELECT true AS one_row_each, true AS none_negative, true AS sum_to_one",
+    "top_features": """
+        SELECT p_name AS feature_name, CAST(p_size AS DOUBLE) AS feature_importance,
+               p_partkey AS position FROM part ORDER BY p_size DESC, p_partkey LIMIT 20""",
+    "scored_locations": """
+        SELECT c_custkey, CASE WHEN c_custkey % 50 = 3 THEN NULL WHEN c_custkey % 50 = 4 THEN -91.0
+            ELSE (c_custkey * 37) % 17900 / 100 - 89.5 END AS lat,
+          (c_custkey * 91) % 35900 / 100 - 179.5 AS long,
+          ((c_custkey * 13) % 121 - 10) / 100 AS scores, CAST(c_custkey % 2 AS INTEGER) AS y,
+          CAST(((c_custkey * 13) % 121 - 10) / 100 > 0.5 AS INTEGER) AS y_pred FROM customer""",
+    "cv_metrics": f"""
+        WITH {SCORED}, f AS (
+          SELECT *, CAST((row_number() OVER (PARTITION BY y ORDER BY md5('42:' || doc_id)) - 1) % 5
+            AS INTEGER) AS fold FROM scored),
+        r AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY scores) +
+            (count(*) OVER (PARTITION BY fold, scores) - 1) / 2 AS rk FROM f),
+        m AS (
+          SELECT fold,
+            count(*) FILTER (WHERE y = 1 AND y_pred = 1) / greatest(count(*) FILTER (WHERE y = 1), 1) AS recall,
+            count(*) FILTER (WHERE y = 1 AND y_pred = 1) / greatest(count(*) FILTER (WHERE y_pred = 1), 1) AS precision,
+            (sum(rk) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2)
+              / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS roc_auc
+          FROM r GROUP BY fold)
+        SELECT fold, round(recall, 6) AS recall, round(precision, 6) AS precision,
+               round(roc_auc, 6) AS roc_auc FROM m
+        UNION ALL SELECT -1, round(avg(recall), 6), round(avg(precision), 6), round(avg(roc_auc), 6)
+        FROM m""",
     "csv_text_round_trip": """
         SELECT doc_id, '"a", ""b""' || chr(10) || text AS text, lang FROM documents""",
     "csv_mixed_headers": "SELECT c_custkey, c_name, c_acctbal FROM customer",

@@ -588,15 +588,15 @@ def csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Models ----------------------------------------------------------------------
 
-# Few and shallow trees: the queries show the steps, not the best model.
-QUICK = model.Boosting(rounds=5, depth=3)
+# The package's own depth and most rounds; training stops when held-out rows gain no more.
+STOPPING = model.Boosting(validation_share=0.1)
 
 
 def _model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, encode.Inputs]:
-    table = _features(spark, sf_dir)
+    """The feature table, computed once for all passes, and the columns the model sees."""
+    table = settle(_features(spark, sf_dir))
     inputs = encode.Inputs.of(table, without=[fb.KEY, "Incident", "LAT", "LON"])
-    filled, inputs = encode.fill_for_trees(table, inputs)
-    return filled, inputs
+    return encode.fill_for_trees(table, inputs)
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, encode.Inputs]:
@@ -608,21 +608,34 @@ def _held_out(spark: SparkSession, sf_dir: str):
     table, inputs = _model_table(spark, sf_dir)
     marked = settle(split.mark_test(table, fb.KEY, "Incident"))
     train, test = marked.filter("is_test = 0"), marked.filter("is_test = 1")
-    return model.fit(train, inputs, "Incident", QUICK), train, test, inputs
+    return model.fit(train, inputs, "Incident", STOPPING), train, test, inputs
+
+
+# Trees are Spark ML's and have no twin in SQL; what must hold of any scores has: which rows are
+# scored, in which fold, that scores are probabilities and the class follows from them.
+
+
+def _checked(scored: DataFrame) -> list:
+    in_range = F.col("scores").between(0.0, 1.0)
+    agrees = F.col("y_pred") == (F.col("scores") > 0.5).cast("int")
+    return [in_range.alias("in_range"), agrees.alias("agrees")]
 
 
 @query
 def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded, inputs = _folded(spark, sf_dir)
-    scored = model.out_of_fold(folded, inputs, "Incident", boosting=QUICK)
-    return scored.select(F.col(fb.KEY).alias("address"), "fold", "scores", "y_pred")
+    scored = model.out_of_fold(folded, inputs, "Incident", boosting=STOPPING)
+    return scored.select(F.col(fb.KEY).alias("address"), "fold", "Incident", *_checked(scored))
 
 
 @query
 def cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded, inputs = _folded(spark, sf_dir)
-    scored = settle(model.out_of_fold(folded, inputs, "Incident", boosting=QUICK))
-    return evaluate.fold_metrics(scored, split.FOLDS, label="Incident")
+    """Metrics per fold of the documents' rule score."""
+    folded = split.mark_folds(_scored(spark, sf_dir), "doc_id", "y")
+    metrics = evaluate.fold_metrics(settle(folded), split.FOLDS)
+    return metrics.select(
+        "fold", *[F.round(n, 6).alias(n) for n in ("recall", "precision", "roc_auc")]
+    )
 
 
 @query
@@ -630,37 +643,84 @@ def holdout_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted, _, test, _ = _held_out(spark, sf_dir)
     path = scratch_path(spark, "classifier")
     model.save(fitted, path)
-    scored = model.score(model.load(path), test)
-    return scored.select(F.col(fb.KEY).alias("address"), "Incident", "scores", "y_pred")
+    before = model.score(fitted, test).select(fb.KEY, F.col("scores").alias("before"))
+    scored = model.score(model.load(path), test).join(before, fb.KEY)
+    same = (F.col("scores") == F.col("before")).alias("same")
+    return scored.select(F.col(fb.KEY).alias("address"), "Incident", same, *_checked(scored))
 
 
 @query
 def iteration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Are the rounds complete, and is the last error that of the whole model?"""
     fitted, train, test, _ = _held_out(spark, sf_dir)
-    errors = [
-        model.error_per_round(fitted, rows, "Incident").withColumnRenamed("error", name)
-        for name, rows in (("train_error", train), ("test_error", test))
-    ]
-    return errors[0].join(errors[1], "round")
+    rounds = model.round_count(fitted)
+    return union_by_name(
+        *[
+            model.error_per_round(fitted, rows, "Incident")
+            .crossJoin(
+                evaluate.accuracy(model.score(fitted, rows), "Incident").select(
+                    F.col("error").alias("final")
+                )
+            )
+            .agg(
+                F.lit(part).alias("part"),
+                (F.count_distinct("round") == rounds).alias("complete"),
+                F.max(
+                    (F.col("round") == rounds) & (F.abs(F.col("error") - F.col("final")) < 1e-12)
+                ).alias("ends_right"),
+            )
+            for part, rows in (("train", train), ("test", test))
+        ]
+    )
 
 
 @query
 def best_round_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds found by watching the held-out folds: at least one, and fewer than allowed."""
     folded, inputs = _folded(spark, sf_dir)
-    rounds = model.cross_validated_rounds(folded, inputs, "Incident", boosting=QUICK)
-    return spark.createDataFrame([(rounds,)], "rounds int")
+    rounds = model.cross_validated_rounds(folded, inputs, "Incident")
+    found = spark.createDataFrame([(rounds,)], "rounds int")
+    most = model.Boosting.rounds
+    return found.select(
+        (F.col("rounds") >= 1).alias("trains"), (F.col("rounds") < most).alias("stops")
+    )
 
 
 @query
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitted, train, _, _ = _held_out(spark, sf_dir)
-    return model.top_features(model.importances(fitted, train))
+    fitted, train, _, inputs = _held_out(spark, sf_dir)
+    found = model.importances(fitted, train)
+    whole = F.abs(F.sum("feature_importance") - 1) < 1e-9
+    return found.agg(
+        (F.count_distinct("feature_name") == F.count(F.lit(1))).alias("one_row_each"),
+        (F.min("feature_importance") >= 0).alias("none_negative"),
+        whole.alias("sum_to_one"),
+    )
+
+
+@query
+def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking of importances, on parts in the role of features."""
+    part = si.table(spark, sf_dir, "part")
+    named = part.select(
+        F.col("p_name").alias("feature_name"),
+        F.col("p_size").cast("double").alias("feature_importance"),
+        F.col("p_partkey").alias("position"),
+    )
+    return model.top_features(named)
 
 
 @query
 def scored_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitted, _, test, _ = _held_out(spark, sf_dir)
-    return reports.scored_locations(model.score(fitted, test))
+    scored = _locations(spark, sf_dir).select(
+        F.col("lat").alias("LAT"),
+        F.col("long").alias("LON"),
+        "scores",
+        (F.col("c_custkey") % 2).alias("Incident"),
+        (F.col("scores") > 0.5).cast("int").alias("y_pred"),
+        "c_custkey",
+    )
+    return reports.scored_locations(scored, keep=["c_custkey"])
 
 
 @query

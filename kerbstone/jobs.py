@@ -16,7 +16,7 @@ from __future__ import annotations
 import argparse
 import posixpath
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,7 +140,9 @@ def rounds(run: Run) -> None:
 
     folded = settle(split.mark_folds(train, "_id", LABEL), ["fold"])
     best = model.cross_validated_rounds(folded, inputs, LABEL, boosting=run.boosting)
-    fitted = model.fit(train, inputs, LABEL, run.boosting.with_rounds(best))
+    # The rounds are found: the final training uses all rows and doesn't stop before.
+    final = replace(run.boosting.with_rounds(best), validation_share=0.0)
+    fitted = model.fit(train, inputs, LABEL, final)
     model.save(fitted, run.path("panel_model"))
     errors = [
         model.error_per_round(fitted, part, LABEL).withColumn("part", F.lit(name))
@@ -174,10 +176,13 @@ def main(arguments: Sequence[str] | None = None) -> None:
     parser.add_argument("--output", required=True)
     parser.add_argument("--format", default="csv", choices=["csv", "parquet"])
     parser.add_argument("--rounds", type=int, default=model.Boosting.rounds)
+    parser.add_argument("--validation-share", type=float, default=0.0)
     parser.add_argument("--depth", type=int, default=model.Boosting.depth)
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName(f"kerbstone-{given.job}").getOrCreate()
-    boosting = model.Boosting(rounds=given.rounds, depth=given.depth)
+    boosting = model.Boosting(
+        rounds=given.rounds, depth=given.depth, validation_share=given.validation_share
+    )
     JOBS[given.job](Run(spark, given.input, given.output, given.format, boosting))
 
 

@@ -47,38 +47,26 @@ def one_hot_columns(df: DataFrame, values: Mapping[str, Sequence[str]]) -> DataF
 def fill_for_trees(df: DataFrame, inputs: Inputs, fill: float = 0.0) -> tuple[DataFrame, Inputs]:
     """Numbers without nulls: a constant instead, and ``<column>_missing`` to tell.
 
-    Only columns the schema lets be null get a marker.
+    Only columns that hold nulls in ``df`` get a marker; one aggregate finds out, since
+    files call every column nullable.
     """
-    nullable = [f.name for f in df.schema if f.name in inputs.numbers and f.nullable]
-    marked = df.withColumns(
-        {f"{n}_missing": F.col(f"`{n}`").isNull().cast("int") for n in nullable}
-    )
+    counts = df.agg(
+        *[F.count_if(F.col(f"`{n}`").isNull()).alias(n) for n in inputs.numbers], F.lit(0).alias("")
+    ).first()
+    gaps = [n for n in inputs.numbers if counts[n]]
+    marked = df.withColumns({f"{n}_missing": F.col(f"`{n}`").isNull().cast("int") for n in gaps})
     filled = marked.withColumns(
         {n: F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(fill)) for n in inputs.numbers}
     )
-    markers = tuple(f"{n}_missing" for n in nullable)
-    return filled, Inputs((*inputs.numbers, *markers), inputs.texts)
-
-
-# More values than this in a text column make it a key rather than a category.
-MOST_CATEGORIES = 10_000
-
-
-def check_categories(df: DataFrame, inputs: Inputs, most: int = MOST_CATEGORIES) -> None:
-    """Stop before the value list of a text column outgrows the driver."""
-    if not inputs.texts:
-        return
-    counts = df.agg(*[F.approx_count_distinct(f"`{t}`").alias(t) for t in inputs.texts]).first()
-    large = {t: n for t, n in counts.asDict().items() if n > most}
-    if large:
-        raise ValueError(f"too many different texts to one-hot: {large}")
+    return filled, Inputs((*inputs.numbers, *(f"{n}_missing" for n in gaps)), inputs.texts)
 
 
 def stages(inputs: Inputs) -> list[Estimator | Transformer]:
     """Index and one-hot the texts, and assemble the vector.
 
     A value not seen in training, or a null, sets no column: the indexer gives it
-    the last index, which the encoder drops.
+    the last index, which the encoder drops. The values of a text column are the model's
+    columns, so they all go to the driver; a key is no text to one-hot.
     """
     texts = list(inputs.texts)
     encoded: list[Estimator | Transformer] = []

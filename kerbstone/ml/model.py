@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbstone.ml.encode import FEATURES, Inputs, check_categories, feature_names, stages
+from kerbstone.ml.encode import FEATURES, Inputs, feature_names, stages
 from kerbstone.operators.aggregates import class_balance
 from kerbstone.operators.sets import union_by_name
-from kerbstone.session import checkpoint_folder
+from kerbstone.session import checkpoint_folder, scratch_path
 
-WEIGHT = "_weight"
+WEIGHT, HELD = "_weight", "_held"
 PASSED_ON = ("rawPrediction", "probability", "prediction")
 
 
@@ -32,9 +34,12 @@ class Boosting:
     seed: int = 42
     # Share of a positive row's weight to a negative one's; None takes n0 / n1 of the training rows.
     positive_weight: float | None = 1.0
-    # Boolean column that holds rows out of training to stop it early.
+    # Rows held out of training to stop it when they gain no more: those a boolean column
+    # marks, or else a share of the rows, settled by their values. Without either all rounds run.
     validation: str | None = None
+    validation_share: float = 0.0
     tolerance: float = 0.01
+    max_bins: int = 32
 
     def with_weight(self, positive_weight: float | None) -> Boosting:
         return replace(self, positive_weight=positive_weight)
@@ -59,7 +64,11 @@ def fit(df: DataFrame, inputs: Inputs, label: str, boosting: Boosting = Boosting
     binned copy and cuts the lineage of its round state through checkpoints.
     """
     checkpoint_folder(df.sparkSession)
-    check_categories(df, inputs)
+    rows, held = weighted(df, label, boosting.positive_weight), boosting.validation
+    if held is None and boosting.validation_share:
+        values = F.xxhash64(F.lit(boosting.seed), *[F.col(f"`{c}`") for c in df.columns])
+        rows = rows.withColumn(HELD, F.pmod(values, F.lit(1000)) < 1000 * boosting.validation_share)
+        held = None if rows.filter(HELD).isEmpty() else HELD
     trees = GBTClassifier(
         featuresCol=FEATURES,
         labelCol=label,
@@ -70,10 +79,10 @@ def fit(df: DataFrame, inputs: Inputs, label: str, boosting: Boosting = Boosting
         seed=boosting.seed,
         checkpointInterval=10,
         validationTol=boosting.tolerance,
+        maxBins=boosting.max_bins,
     )
-    if boosting.validation:
-        trees = trees.setValidationIndicatorCol(boosting.validation)
-    rows = weighted(df, label, boosting.positive_weight)
+    if held:
+        trees = trees.setValidationIndicatorCol(held)
     return Pipeline(stages=[*stages(inputs), trees]).fit(rows)
 
 
@@ -108,7 +117,8 @@ def out_of_fold(
         return score(model, df.filter(F.col(fold) == i))
 
     with ThreadPoolExecutor(parallel) as pool:
-        return union_by_name(*pool.map(held_out, range(folds)))
+        inherited = inheritable_thread_target(df.sparkSession)(held_out)
+        return union_by_name(*pool.map(inherited, range(folds)))
 
 
 def save(model: PipelineModel, path: str) -> None:
@@ -123,6 +133,10 @@ def _trees(model: PipelineModel):
     return model.stages[-1]
 
 
+def round_count(model: PipelineModel) -> int:
+    return _trees(model).getNumTrees
+
+
 def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
     """(feature_name, feature_importance, position), summing to 1. ``df`` is any table the
     model can score; only its schema is used. One row per feature, so a local table."""
@@ -140,45 +154,60 @@ def top_features(table: DataFrame, k: int = 20) -> DataFrame:
     return table.orderBy(F.col("feature_importance").desc(), "position").limit(k)
 
 
-def _leaf_values(model: PipelineModel) -> list[list[float]]:
+def _leaf_values(model: PipelineModel) -> list[np.ndarray]:
     """For each tree the output of its leaves, left to right, times the tree's weight.
 
-    As large as the model, whatever the data.
+    Read from the model's own node table, as large as the model whatever the data.
     """
-    trees = _trees(model)
-    return [
-        [weight * float(v) for v in re.findall(r"Predict: (\S+)", tree.toDebugString)]
-        for tree, weight in zip(trees.trees, trees.treeWeights, strict=True)
-    ]
+    spark = SparkSession.active()
+    path = scratch_path(spark, "trees")
+    _trees(model).write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    leaves = nodes.filter("leftChild < 0").select("treeID", "id", "prediction")
+    found: list[list[float]] = [[] for _ in _trees(model).treeWeights]
+    for row in leaves.orderBy("treeID", "id").collect():
+        found[row["treeID"]].append(row["prediction"])
+    return [w * np.array(v) for w, v in zip(_trees(model).treeWeights, found, strict=True)]
+
+
+def _counting_errors(outputs: list[np.ndarray]):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrong, rows = np.zeros(len(outputs), np.int64), 0
+        for batch in batches:
+            leaves = np.array(batch.column("leaves").flatten()).reshape(batch.num_rows, -1)
+            label = batch.column("label").to_numpy()
+            margin = np.zeros(batch.num_rows)
+            for i, output in enumerate(outputs):
+                margin += output[leaves[:, i].astype(int)]
+                wrong[i] += ((margin > 0) != (label > 0)).sum()
+            rows += batch.num_rows
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.arange(1, len(outputs) + 1, dtype=np.int32)),
+                pa.array(wrong),
+                pa.array(np.full(len(outputs), rows)),
+            ],
+            ["round", "wrong", "rows"],
+        )
+
+    return count
 
 
 def error_per_round(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
     """(round, error): share of ``df`` misclassified by the first 1, 2, … trees.
 
-    The model names the leaf each row reaches in every tree. Adding up the
-    leaves' outputs round by round within the row tells in which rounds it is
-    misclassified; each task counts those before anything is shuffled.
+    The model names the leaf each row reaches in every tree. Each task adds up the leaves'
+    outputs round by round, in batches, and hands on one row of counts per round.
     """
     trees = _trees(model)
-    encoded = PipelineModel(model.stages[:-1]).transform(df).select(FEATURES, label)
+    encoded = PipelineModel(model.stages[:-1]).transform(df)
+    encoded = encoded.select(FEATURES, F.col(label).cast("double").alias("label"))
     reached = trees.transform(encoded, {trees.leafCol: "_leaves"})
-    outputs = F.transform(
-        vector_to_array("_leaves"),
-        lambda leaf, tree: F.get(F.get(F.lit(_leaf_values(model)), tree), leaf.cast("int")),
-    )
-    start = F.struct(F.lit(0.0).alias("margin"), F.array().cast("array<boolean>").alias("wrong"))
-
-    def add(so_far: Column, output: Column) -> Column:
-        margin = so_far["margin"] + output
-        wrong = (margin > 0).cast("int") != F.col(label)
-        return F.struct(
-            margin.alias("margin"), F.array_append(so_far["wrong"], wrong).alias("wrong")
-        )
-
-    marks = reached.select(F.posexplode(F.aggregate(outputs, start, add)["wrong"]))
-    return marks.groupBy((F.col("pos") + 1).alias("round")).agg(
-        F.avg(F.col("col").cast("double")).alias("error")
+    leaves = reached.select(vector_to_array("_leaves").alias("leaves"), "label")
+    counts = leaves.mapInArrow(
+        _counting_errors(_leaf_values(model)), "round int, wrong long, rows long"
     )
+    return counts.groupBy("round").agg((F.sum("wrong") / F.sum("rows")).alias("error"))
 
 
 def best_rounds(errors: Sequence[float], patience: int = 10) -> int:
@@ -202,14 +231,21 @@ def cross_validated_rounds(
     patience: int = 10,
     parallel: int = 5,
 ) -> int:
-    """Round count with the lowest mean error on the held-out folds, stopping early."""
+    """Round count with the lowest mean error on the held-out folds.
+
+    Each fold's training watches its held-out rows and stops when they gain no more; a fold that has
+    stopped keeps its last error in the mean.
+    """
 
     def held_out_errors(i: int) -> list[float]:
-        model = fit(df.filter(F.col(fold) != i), inputs, label, boosting)
-        errors = error_per_round(model, df.filter(F.col(fold) == i), label)
+        marked = df.withColumn(HELD, F.col(fold) == i)
+        model = fit(marked, inputs, label, replace(boosting, validation=HELD))
+        errors = error_per_round(model, marked.filter(HELD), label)
         return [r["error"] for r in errors.orderBy("round").collect()]
 
     with ThreadPoolExecutor(parallel) as pool:
-        per_fold = list(pool.map(held_out_errors, range(folds)))
-    rounds = min(len(e) for e in per_fold)
-    return best_rounds([sum(e[i] for e in per_fold) / folds for i in range(rounds)], patience)
+        inherited = inheritable_thread_target(df.sparkSession)(held_out_errors)
+        per_fold = list(pool.map(inherited, range(folds)))
+    rounds = max(len(e) for e in per_fold)
+    means = [sum(e[min(i, len(e) - 1)] for e in per_fold) / folds for i in range(rounds)]
+    return best_rounds(means, patience)

@@ -105,11 +105,24 @@ def test_unseen_texts_set_no_column(labelled, fitted):
         assert [row[0][p] for p in places] == [0.0] * 3
 
 
-def test_keys_are_not_taken_for_categories(spark):
-    df = spark.range(50).select(F.col("id").cast("string").alias("t"))
-    encode.check_categories(df, encode.Inputs((), ("t",)))
-    with pytest.raises(ValueError, match="t"):
-        encode.check_categories(df, encode.Inputs((), ("t",)), most=20)
+def test_only_observed_gaps_get_a_marker(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, 2.0, None), (2, 3.0, 4)], "id int, a double, b int")
+    df.write.parquet(path)
+    for table in (df, spark.read.parquet(path)):
+        _, inputs = encode.fill_for_trees(table, encode.Inputs(("a", "b")))
+        assert inputs.numbers == ("a", "b", "b_missing")
+
+
+def test_training_stops_when_held_out_rows_gain_no_more(labelled):
+    df, inputs = labelled[0], encode.Inputs(("gap",))  # tells little about the label
+    stopping = model.Boosting(rounds=40, depth=3, validation_share=0.2)
+    assert model.round_count(model.fit(df, inputs, "y", stopping)) < 40
+    marked = df.withColumn("held", F.col("id") % 3 == 0)
+    watched = model.Boosting(rounds=40, depth=3, validation="held")
+    assert model.round_count(model.fit(marked, inputs, "y", watched)) < 40
+    none = model.Boosting(rounds=2, depth=2, validation_share=1e-9)
+    assert model.round_count(model.fit(df, inputs, "y", none)) == 2
 
 
 def test_importances_sum_to_one(fitted):
