@@ -226,6 +226,50 @@ LEFT JOIN label l ON b.address = l.address AND b.as_of = l.as_of
 LEFT JOIN closed z ON b.address = z.address AND b.as_of = z.as_of
 LEFT JOIN parcels x ON b.address = x.address"""
 
+# One as-of year, 1997, with the rows of permits, fires, inspection states and parcels as they are.
+AS_OF_ROWS = f"""
+WITH {EVENTS},
+base AS (SELECT DISTINCT c_custkey AS address, 1997 - {_built("c_custkey")} AS age,
+                c_mktsegment AS segment, CAST({LAT} AS DOUBLE) AS lat, CAST({LON} AS DOUBLE) AS lon
+         FROM customer WHERE {_built("c_custkey")} <= 1997),
+cases AS (SELECT address, {_matrix("kind")}, count(kind) AS total_violations FROM ev
+          WHERE y <= 1997 GROUP BY address),
+crimes AS (SELECT address, count(kind) AS crime_incident FROM offences WHERE y <= 1997
+           GROUP BY address),
+utility AS (SELECT address, count(*) AS discons, 1997 - max(y) AS since_last FROM ev
+            WHERE status = 'F' AND y <= 1997 GROUP BY address),
+filed AS (SELECT DISTINCT address FROM ev WHERE price > 400000 AND y <= 1997),
+reopened AS (SELECT DISTINCT f.address FROM ev f JOIN ev p ON f.address = p.address AND p.y > f.y
+             WHERE f.price > 400000 AND p.status = 'O' AND p.y <= 1997),
+closed AS (SELECT * FROM filed EXCEPT SELECT * FROM reopened),
+permits AS (SELECT address, 1997 - year(d) AS permit_duration FROM (
+              SELECT DISTINCT o_custkey AS address, o_orderpriority, o_orderdate AS d FROM orders
+              WHERE o_orderstatus = 'O' AND year(o_orderdate) <= 1997)),
+fires AS (SELECT address FROM ev WHERE kind = '1-URGENT' AND y BETWEEN 1997 AND 1999),
+states AS (SELECT DISTINCT address, CAST(kind IS NOT DISTINCT FROM 'R' AS INTEGER) AS ready
+           FROM visits WHERE y <= 1997),
+parcels AS (SELECT DISTINCT p_partkey // 2 AS address, {_land_use("p_size")} AS activity,
+                   p_retailprice AS buildval FROM part)
+SELECT b.*,
+       {", ".join(f"coalesce(c.{n}, 0) AS {n}" for n in PRIORITIES)},
+       coalesce(c.total_violations, 0) AS total_violations,
+       CAST(c.address IS NOT NULL AS INTEGER) AS any_violations,
+       coalesce(k.crime_incident, 0) AS crime_incident,
+       CAST(k.address IS NOT NULL AS INTEGER) AS any_crime,
+       coalesce(u.discons, 0) AS utility_discon_count,
+       CAST(coalesce(u.since_last, 0) AS INTEGER) AS since_last_disconnect,
+       CAST(u.address IS NOT NULL AS INTEGER) AS any_disconnects,
+       CAST(p.permit_duration AS INTEGER) AS permit_duration,
+       CAST(p.address IS NOT NULL AS INTEGER) AS rent_reg,
+       CAST(f.address IS NOT NULL AS INTEGER) AS incident,
+       coalesce(i.ready, 0) AS ready_anytime,
+       coalesce(x.activity, '0') AS activity, coalesce(x.buildval, 0.0) AS buildval,
+       CAST(z.address IS NOT NULL AS INTEGER) AS foreclosed
+FROM base b LEFT JOIN cases c USING (address) LEFT JOIN crimes k USING (address)
+LEFT JOIN utility u USING (address) LEFT JOIN closed z USING (address)
+LEFT JOIN permits p USING (address) LEFT JOIN fires f USING (address)
+LEFT JOIN states i USING (address) LEFT JOIN parcels x USING (address)"""
+
 TRACE_WIDTHS = {
     "properties": 5,
     "code_cases": 12,
@@ -415,6 +459,7 @@ ORACLES: dict[str, str] = {
     "fb_foreclosure": f"WITH {EVENTS} {FORECLOSED}",
     "full_feature_table": FEATURE_TABLE,
     "full_as_of_panel": PANEL,
+    "as_of_rows": AS_OF_ROWS,
     "stratified_split": """
         SELECT doc_id, quality, toxic, CAST(rk <= ceil(n * 0.33::DOUBLE) AS INTEGER) AS is_test
         FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5('42:' || doc_id)) AS rk,

@@ -19,7 +19,7 @@ from kerbstone.operators.sets import union_by_name
 from kerbstone.plans import features as fb
 from kerbstone.plans import reports
 from kerbstone.plans.panel import as_of_panel
-from kerbstone.plans.snapshot import addressed, feature_table
+from kerbstone.plans.snapshot import addressed, as_of_table, feature_table
 from kerbstone.session import scratch_path, settle
 from kerbstone.sources import tables
 
@@ -489,6 +489,13 @@ def full_as_of_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return si.snake(panel)
 
 
+@query
+def as_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One as-of year with a row per combination of permit, fire, inspection state and parcel."""
+    rows = as_of_table(si.sources(spark, sf_dir), 1997, si.HORIZON, one_to_many=True)
+    return si.snake(rows)
+
+
 # Splits ----------------------------------------------------------------------
 
 

@@ -29,7 +29,7 @@ from kerbstone.plans import features as fb
 from kerbstone.plans import reports
 from kerbstone.plans.panel import as_of_panel, last_whole_year
 from kerbstone.plans.snapshot import Sources, addressed, feature_table
-from kerbstone.session import settle
+from kerbstone.session import remove_scratch, settle
 from kerbstone.sources.civic import read_civic
 from kerbstone.sources.tables import write_table
 
@@ -183,7 +183,10 @@ def main(arguments: Sequence[str] | None = None) -> None:
     boosting = model.Boosting(
         rounds=given.rounds, depth=given.depth, validation_share=given.validation_share
     )
-    JOBS[given.job](Run(spark, given.input, given.output, given.format, boosting))
+    try:
+        JOBS[given.job](Run(spark, given.input, given.output, given.format, boosting))
+    finally:
+        remove_scratch()
 
 
 if __name__ == "__main__":

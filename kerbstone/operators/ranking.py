@@ -39,6 +39,10 @@ def hits_in_top_k(df: DataFrame, score: str, tie: str, hit: Column, k: int = 100
     return top.agg(F.count_if("_hit").alias("hits"))
 
 
+# A bucket table of at most this many narrow rows is broadcast; a larger one is joined as the planner
+# sees fit.
+BROADCAST_ROWS = 1_000_000
+
 # Hex digits of a row's hash that name its bucket: 65,536 buckets per class, which
 # bounds both the bucket table that is broadcast and, by 1/65,536 of the class, a bucket.
 BUCKET_DIGITS = 4
@@ -66,7 +70,8 @@ def hash_rank(
     """Exact rank 1..n of each row, within ``groups``, in the seeded random order.
 
     A plain window would put a whole group into one task. Here rows are ranked
-    inside hash buckets, and the rows in earlier buckets are added.
+    inside hash buckets, and the rows in earlier buckets are added. Rows of equal id share
+    a bucket, so ids should be (nearly) unique.
     """
     hashed = df.withColumn("_hash", seeded_hash(F.col(id_column), seed)).withColumn(
         "_bucket", F.substring("_hash", 1, BUCKET_DIGITS)
@@ -78,7 +83,9 @@ def hash_rank(
         *[F.col(c).alias(f"_of_{i}") for i, c in enumerate(by)], "before"
     )
     same = [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(by)]
-    return ranked.join(F.broadcast(ends), same).select(
+    # Without groups there are 65,536 buckets at most; with them it depends on the columns.
+    small = not groups or ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return ranked.join(F.broadcast(ends) if small else ends, same).select(
         *[F.col(f"`{c}`") for c in df.columns],
         (F.col("before") + F.col("_inside")).alias(name),
     )

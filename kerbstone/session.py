@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -29,9 +31,27 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+# What this process has written there.
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for a table or a model."""
-    return posixpath.join(checkpoint_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    path = posixpath.join(checkpoint_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    _written.append(path)
+    return path
+
+
+def remove_scratch() -> None:
+    """Remove what this process has written under the shared folder: for the end of a whole
+    run, when its results are stored elsewhere. What can't be reached is left."""
+    while _written:
+        path = _written.pop()
+        try:
+            files, inside = FileSystem.from_uri(path if "://" in path else f"file://{path}")
+            files.delete_dir(inside)
+        except (OSError, pa.ArrowException):
+            continue
 
 
 def settle(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:

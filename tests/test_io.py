@@ -1,10 +1,12 @@
+from pathlib import Path
+
 import civic
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbstone.session import checkpoint_folder, scratch_path, settle
+from kerbstone.session import checkpoint_folder, remove_scratch, scratch_path, settle
 from kerbstone.sources import tables
 from kerbstone.sources.civic import SCHEMAS, read_civic
 
@@ -111,3 +113,6 @@ def test_settled_tables_live_in_the_shared_folder(spark):
     settled = settle(spark.range(3).selectExpr("id % 2 as part", "id"), ["part"])
     assert rows(settled.select("part", "id")) == [(0, 0), (0, 2), (1, 1)]
     assert all(folder in file for file in settled.inputFiles())
+    assert Path(folder).exists() and any(Path(folder).iterdir())
+    remove_scratch()
+    assert not [p for p in Path(folder).iterdir() if p.name.startswith("table-")]

@@ -34,8 +34,11 @@ def test_civic_files_to_features_and_panel(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "features")).count() == 4
     profiled = spark.read.parquet(str(tmp_path / "features_profile"))
     assert "Right of Way " in {r["column_name"] for r in profiled.collect()}
+    steps = spark.read.parquet(str(tmp_path / "features_steps"))
+    assert {r["step"] for r in steps.collect()} >= {"properties", "parcels", "foreclosures"}
+    assert spark.read.parquet(str(tmp_path / "features_top_values")).count() > 0
     panel = spark.read.parquet(str(tmp_path / "panel"))
-    assert panel.filter("as_of = 2021").count() == 4
+    assert panel.filter("as_of = 2021").count() == 3
 
 
 def test_holdout_then_maps(spark, features, tmp_path):
