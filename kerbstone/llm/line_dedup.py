@@ -1,16 +1,21 @@
 """Cross-site boilerplate lines, found by the spread of each line over sites.
 
-The lines of all documents are hashed. Only a line with at least ``min_sites`` occurrences can be spread over so many
-sites, so plain counts leave few lines in question. For these a HyperLogLog sketch of the sites is built per
-hash, in parts that merge by aggregation. Lines whose estimate is well above the threshold are
-boilerplate, those well below are not, and those near it get an exact distinct count. Every occurrence of a
-boilerplate line goes but the first of the corpus (smallest document id, then place).
+The lines of all documents are hashed. Only a line with at least ``min_sites`` occurrences can be
+spread over so many sites, so plain counts leave few lines in question. For these a HyperLogLog
+sketch of the sites is built per hash, in parts that merge by aggregation. Lines whose estimate is
+well above the threshold are boilerplate, those well below are not, and those near it get an exact
+distinct count. Every occurrence of a boilerplate line goes but the first of the corpus (smallest
+document id, then place).
+
+A page that is copied to many sites is not boilerplate but a duplicate, left to other operators:
+documents that share their longest line count as one page, with the first of its sites in
+alphabetical order.
 
 Defined results: lines end at line feeds and are compared without white space around them; blank
-lines stay; a null source is no site; a null text stays null; documents equal in id and text get equal
-results (so the first of them keeps its line in each repeat), and a null id counts as the largest. Text that loses
-nothing is returned byte for byte. Further columns
-stay as they are, but for ``n_lines`` and ``n_removed``, which are replaced.
+lines stay; a null source is no site; a null text stays null; documents equal in id and text get
+equal results (so the first of them keeps its line in each repeat), and a null id counts as the
+largest. Text that loses nothing is returned byte for byte. Further columns stay as they are, but for
+``n_lines`` and ``n_removed``, which are replaced. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -30,16 +35,30 @@ def _lines(text: str) -> Column:
     return F.split(F.col(text), "\n")
 
 
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+
+
+def _hash(line: Column) -> Column:
+    return F.unhex(F.md5(line))
+
+
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, source, at, line): every line that isn't blank, as a hash."""
+    """(key, doc_id, source, page, at, line): every line that isn't blank, as a hash; ``page`` is
+    the hash of its document's longest line."""
+    lines = F.transform(_lines("text"), _bare)
+    sized = F.transform(
+        "_lines", lambda x: F.named_struct(F.lit("size"), F.length(x), F.lit("text"), x)
+    )
+    longest = F.array_max(sized)["text"]
     placed = docs.select(
         row_key(F.col("doc_id"), F.col("text")).alias("key"),
         "doc_id",
         "source",
-        F.posexplode(_lines("text")).alias("at", "_line"),
-    ).withColumn("_line", F.btrim(F.col("_line"), F.lit(" \t\r\x0b\x0c")))
-    return placed.filter(F.col("_line") != "").select(
-        "key", "doc_id", "source", "at", F.unhex(F.md5("_line")).alias("line")
+        lines.alias("_lines"),
+    ).select("key", "doc_id", "source", _hash(longest).alias("page"), F.posexplode("_lines"))
+    return placed.filter(F.col("col") != "").select(
+        "key", "doc_id", "source", "page", F.col("pos").alias("at"), _hash(F.col("col")).alias("line")
     )
 
 
@@ -54,12 +73,17 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         .select("line"),
         "frequent-lines",
     )
-    asked = lines.join(frequent, "line")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
+    pages = settled(
+        lines.join(frequent, "line")
+        .groupBy("line", "page")
+        .agg(F.min("source").alias("site"), F.min(first).alias("first")),
+        "line-pages",
+    )
+    sketch = F.hll_sketch_agg("site", F.lit(LOG_REGISTERS))
     sketched = settled(
-        asked.groupBy("line").agg(
-            F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(LOG_REGISTERS))).alias("sites"),
-            first.alias("first"),
+        pages.groupBy("line").agg(
+            F.hll_sketch_estimate(sketch).alias("sites"), F.min("first").alias("first")
         ),
         "line-spread",
     )
@@ -67,11 +91,11 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     far = sketched.filter(F.col("sites") > min_sites + slack).select("line", "first")
     near = sketched.filter(F.abs(F.col("sites") - min_sites) <= slack).select("line", "first")
     counted = (
-        lines.select("line", "source")
+        pages.select("line", "site")
         .join(near.select("line"), "line")
         .distinct()
         .groupBy("line")
-        .agg(F.count("source").alias("n"))
+        .agg(F.count("site").alias("n"))
         .filter(F.col("n") >= min_sites)
         .select("line")
     )

@@ -41,9 +41,11 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(
 l AS (
   SELECT r, doc_id, source, i, trim(ls[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t, ls[i] AS raw
   FROM (SELECT r, doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-wide AS (
-  SELECT t, min((coalesce(doc_id, 9223372036854775807), i)) AS first
-  FROM l WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 8),
+page AS (SELECT r, max((length(t), t)) AS page FROM l GROUP BY r),
+once AS (
+  SELECT t, page, min(source) AS site, min((coalesce(doc_id, 9223372036854775807), i)) AS first
+  FROM l JOIN page USING (r) WHERE t <> '' GROUP BY t, page),
+wide AS (SELECT t, min(first) AS first FROM once GROUP BY t HAVING count(DISTINCT site) >= 8),
 kept AS (
   SELECT r, string_agg(raw, chr(10) ORDER BY i) AS text, count(*) AS n
   FROM l LEFT JOIN wide USING (t)

@@ -14,14 +14,19 @@ from kerbstone.llm import decontaminate, line_dedup, simhash
 
 def cleaned_lines(rows, sites):
     """Brute force: rows of (doc_id, text, source)."""
-    spread, first = defaultdict(set), {}
+    bare = lambda line: line.strip(" \t\r\x0b\x0c")
+    found_on, first = defaultdict(dict), {}
     for doc_id, text, source in rows:
-        for at, line in enumerate((text or "").split("\n") if text is not None else []):
-            line = line.strip(" \t\r\x0b\x0c")
+        lines = [bare(line) for line in text.split("\n")] if text is not None else []
+        page = max(((len(x), x) for x in lines), default=None)
+        for at, line in enumerate(lines):
             if line:
-                spread[line].add(source)
+                known = found_on[line].get(page)
+                if known is None or (source is not None and source < known):
+                    found_on[line][page] = source
                 place = (doc_id is None, doc_id or 0, at)
                 first[line] = min(first.get(line, place), place)
+    spread = {line: set(pages.values()) for line, pages in found_on.items()}
     result = []
     for doc_id, text, _ in rows:
         if text is None:
@@ -30,7 +35,7 @@ def cleaned_lines(rows, sites):
         lines = text.split("\n")
         kept = []
         for at, raw in enumerate(lines):
-            line = raw.strip(" \t\r\x0b\x0c")
+            line = bare(raw)
             wide = line and len(spread[line] - {None}) >= sites
             if not wide or first[line] == (doc_id is None, doc_id or 0, at):
                 kept.append(raw)
@@ -44,11 +49,14 @@ def test_lines_against_brute_force(spark):
         lines = [f"own line {i}", "  common line", f"shared by some {i % 20}", "", "on three sites"]
         rows.append((i, "\n".join(lines[: 1 + i % 5 + (i % 3 == 0)]), None, f"s{i % 10}", 0))
     rows += [(500 + i, "rare pair\nx", None, f"s{i % 7}", 0) for i in range(20)]
+    rows += [(700 + i, "a page that\nis copied\nto all sites", None, f"s{i % 10}", 0) for i in range(40)]
     rows += AWKWARD
     found = line_dedup.drop_boilerplate(documents(spark, rows, True))
     assert "_key" in found.columns and found.columns.count("n_lines") == 1
     got = Counter(map(tuple, found.select("doc_id", "n_lines", "n_removed", "text").collect()))
     assert got == cleaned_lines([(r[0], r[1], r[3]) for r in rows], line_dedup.MIN_SITES)
+    assert sum(n for (doc_id, _, gone, _), n in got.items() if gone and (doc_id or 0) < 500) > 50
+    assert not any(gone for (doc_id, _, gone, _) in got if 700 <= (doc_id or 0) < 800)
 
 
 def test_no_lines(spark):
