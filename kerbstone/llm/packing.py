@@ -60,58 +60,78 @@ class WordTokens:
     def forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.chars = 0
-        self.starts = [0]
-        self.lengths = [0]
-        self.ids = np.zeros(1 << 16, "<u4")
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids = np.zeros(1 << 18, "<u4")
         self.used = 0
-
-    def _add(self, chunk: str, ids: np.ndarray) -> None:
+        for mark in ".,":
+            self._add([mark], *self._encoded([mark]))
+
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each chunk has."""
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        ids = [np.array(f.ids, "<u4") for f in found]
+        return np.concatenate(ids), np.array([len(i) for i in ids], np.int64)
+
+    def _words_encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, which the tokenizer takes as one unit each: then
+        many go in one text."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        lengths = np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+        if len(lengths) != len(words) or not lengths.all():
+            raise ValueError("a word is more than one unit to the tokenizer")
+        return np.array(found.ids, "<u4"), lengths
+
+    def _add(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.known)
+        while first + len(chunks) > len(self.starts):
+            self.starts, self.lengths = np.tile(self.starts, 2), np.tile(self.lengths, 2)
         if self.used + len(ids) > len(self.ids):
-            grown = np.zeros(2 * (self.used + len(ids)), "<u4")
-            grown[: self.used] = self.ids[: self.used]
-            self.ids = grown
+            self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.known[chunk] = len(self.starts)
-        self.starts.append(self.used)
-        self.lengths.append(len(ids))
+        at = slice(first, first + len(chunks))
+        self.starts[at] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[at] = lengths
+        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
         self.used += len(ids)
-        self.chars += len(chunk)
+        self.chars += sum(map(len, chunks))
 
-    def _encode(self, chunk: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4")
-
-    def _of(self, chunk: str) -> np.ndarray:
-        i = self.known[chunk]
-        return self.ids[self.starts[i] : self.starts[i] + self.lengths[i]]
+    def _gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known chunks in a row, and where each begins, and the end."""
+        lengths = self.lengths[places]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        source = np.repeat(self.starts[places] - ends[:-1], lengths) + np.arange(ends[-1])
+        return self.ids[source], ends
 
     def learn(self, chunks: list[str]) -> None:
-        known, plain = self.known, []
-        for mark in ".,":
-            if mark not in known:
-                self._add(mark, self._encode(mark))
+        """Take in chunks that are unknown, each once."""
+        known, other, words, marks, marked = self.known, [], {}, [], []
         for chunk in chunks:
             mark = chunk[-1] if chunk[-1] in ".," else ""
             word = chunk[:-1] if mark else chunk
             if word.isascii():
                 word = word.lower()
-            # Latin letters have no other normal form and stay letters in lower case, but for one.
-            latin = word.isascii() or (max(word) < "ɐ" and "İ" not in word)
-            if word.isalpha() and len(word) <= 64 and latin:
-                plain.append((chunk, word, mark))
+                latin = True
+            else:
+                # Latin letters have no other normal form and stay letters in lower case, but for one.
+                latin = max(word) < "ɐ" and "İ" not in word
+            if latin and len(word) <= 64 and word.isalpha():
+                words[word] = None
+                if word != chunk:
+                    marked.append((chunk, word))
+                    marks.append(mark)
             else:
-                self._add(chunk, self._encode(chunk))
-        fresh = list({word for _, word, _ in plain if word not in known})
-        for k in range(0, len(fresh), 1000):
-            words = fresh[k : k + 1000]
-            found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            cuts = np.flatnonzero(np.diff(np.array(found.word_ids))) + 1
-            for word, part in zip(words, np.split(ids, cuts), strict=True):
-                self._add(word, part)
-        for chunk, word, mark in plain:
-            if chunk not in known:
-                ids = self._of(word)
-                self._add(chunk, np.concatenate([ids, self._of(mark)]) if mark else ids)
+                other.append(chunk)
+        fresh = [word for word in words if word not in known]
+        for k in range(0, len(fresh), 2000):
+            self._add(fresh[k : k + 2000], *self._words_encoded(fresh[k : k + 2000]))
+        if other:
+            self._add(other, *self._encoded(other))
+        if marked:
+            places = np.empty(2 * len(marked), np.int64)
+            places[::2] = [known[word] for _, word in marked]
+            places[1::2] = [known[mark] for mark in marks]
+            ids, ends = self._gathered(places)
+            self._add([chunk for chunk, _ in marked], ids, np.diff(ends[::2]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids begin and end."""
@@ -125,17 +145,14 @@ class WordTokens:
         if unknown:
             self.learn(unknown)
         place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        which = place[words.indices.to_numpy()]
-        starts, lengths = np.array(self.starts)[which], np.array(self.lengths)[which]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        source = np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])
-        return self.ids[source], ends[bounds - bounds[0]]
+        ids, ends = self._gathered(place[words.indices.to_numpy()])
+        return ids, ends[bounds - bounds[0]]
 
 
 _TOKENIZERS: dict[str, WordTokens] = {}
 
 
-def _slices(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded amount of text, one text at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
     begin = 0
