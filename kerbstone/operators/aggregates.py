@@ -86,7 +86,8 @@ class RowTrace:
 
     def mark(self, df: DataFrame, step: str) -> DataFrame:
         seen = Observation(step)
-        self._steps.append((step, len(df.columns), seen))
+        width = sum(not c.startswith("_") for c in df.columns)  # helpers don't count
+        self._steps.append((step, width, seen))
         return df.observe(seen, F.count(F.lit(1)).alias("rows"))
 
     def rows(self) -> list[tuple[str, int, int]]:

@@ -108,18 +108,23 @@ def feature_table(
         "code_cases": fb.code_cases(s.code_cases, span, s.case_types),
         "offenses": fb.crimes(s.offenses, span),
         "utility_disconnects": fb.utility_disconnects(s.utility_disconnects, span, ref_year),
-        "rentals": fb.last_permits(s.rentals, span).withColumn("Rent_Reg", F.lit(1)),
+        "rentals": fb.last_permits(s.rentals, span).select(
+            fb.KEY, F.lit(1).alias("Rent_Reg"), F.col("last_permit").alias("_last_permit")
+        ),
         "incidents": fb.fire_label(s.incidents, label_span, s.fire_code),
         "inspections": fb.inspections(s.inspections, span, s.ready_status),
         "parcels": fb.parcels(s.parcels, s.parcel_order, measures=s.parcel_measures),
         "foreclosures": fb.first_foreclosures(s.foreclosures, span),
     }
     for name, part in parts.items():
-        df = step(attach(df, part, fb.KEY), name)
-    # The permits above also tell which foreclosures have been cleared since.
-    first, permit = F.col("first_foreclosed"), F.col("last_permit")
-    closed = first.isNotNull() & ~fb.still_cleared(first, permit)
-    df = df.withColumn("foreclosed", closed.cast("int")).drop("first_foreclosed", "last_permit")
+        df = attach(df, part, fb.KEY)
+        if name == "foreclosures":
+            # The permits above also tell which foreclosures have been cleared since.
+            first, permit = F.col("first_foreclosed"), F.col("_last_permit")
+            closed = first.isNotNull() & ~fb.still_cleared(first, permit)
+            df = df.withColumn("foreclosed", closed.cast("int"))
+            df = df.drop("first_foreclosed", "_last_permit")
+        df = step(df, name)
     return fill_missing(df, fills(s.case_types, s.parcel_measures))
 
 
