@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbstone.llm.common import id_bucket
+from kerbstone.llm.common import id_bucket, keyed_rows, row_key, settled
 
 UNKNOWN = "und"
 FOLDS = 3
@@ -264,8 +264,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language is ``und`` or ambiguous, as they are."""
+    """``docs`` without the rows whose language is ``und`` or ambiguous, as they are.
+
+    Only ids, by content, of rejected rows are written; the rows themselves don't pass through Python.
+    """
     model = train(_marked(docs).filter(~F.col("held_out")))
-    found = predict(docs, model, docs.columns)
-    rejected = (F.col("lang_pred") == UNKNOWN) | F.col("ambiguous")
-    return found.filter(~rejected).select("kept.*")
+    keyed = docs.select("text", row_key(F.col("doc_id"), F.col("text")).alias("_key"))
+    found = predict(keyed, model, ["_key"])
+    unsure = (F.col("lang_pred") == UNKNOWN) | F.col("ambiguous")
+    rejected = settled(found.filter(unsure).select("kept._key").distinct(), "rejected")
+    return keyed_rows(docs).join(rejected, "_key", "left_anti").select("_row.*")
