@@ -48,7 +48,7 @@ class WordTokens:
     either side, so ``word``, ``Word,`` and ``word.`` share one encoding.
     """
 
-    MOST_CHUNKS = 800_000
+    MOST_CHUNKS = 500_000
     MOST_CHARS = 32_000_000
 
     def __init__(self, path: str) -> None:
@@ -152,7 +152,7 @@ class WordTokens:
 _TOKENIZERS: dict[str, WordTokens] = {}
 
 
-def _slices(batch: pa.RecordBatch, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded amount of text, one text at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
     begin = 0
