@@ -46,19 +46,19 @@ def _hash(line: Column) -> Column:
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """(key, doc_id, source, page, at, line): every line that isn't blank, as a hash; ``page`` is
     the hash of its document's longest line."""
-    lines = F.transform(_lines("text"), _bare)
     sized = F.transform(
-        "_lines", lambda x: F.named_struct(F.lit("size"), F.length(x), F.lit("text"), x)
+        _lines("text"),
+        lambda x: F.named_struct(F.lit("size"), F.length(_bare(x)), F.lit("text"), _bare(x)),
     )
-    longest = F.array_max(sized)["text"]
     placed = docs.select(
         row_key(F.col("doc_id"), F.col("text")).alias("key"),
         "doc_id",
         "source",
-        lines.alias("_lines"),
-    ).select("key", "doc_id", "source", _hash(longest).alias("page"), F.posexplode("_lines"))
-    return placed.filter(F.col("col") != "").select(
-        "key", "doc_id", "source", "page", F.col("pos").alias("at"), _hash(F.col("col")).alias("line")
+        _hash(F.array_max(sized)["text"]).alias("page"),
+        F.posexplode(_lines("text")).alias("at", "_line"),
+    ).withColumn("_line", _bare(F.col("_line")))
+    return placed.filter(F.col("_line") != "").select(
+        "key", "doc_id", "source", "page", "at", _hash(F.col("_line")).alias("line")
     )
 
 
