@@ -39,7 +39,7 @@ FLOOR = 1e-7
 SHARPNESS = 3.0
 AMBIGUOUS = 0.5
 _HALF = FEATURES // 2
-_SLICE = 1_000_000
+_SLICE = 250_000
 
 
 def code_matrix(languages: int, seed: int = 7) -> np.ndarray:
