@@ -8,8 +8,8 @@ distinct count. Every occurrence of a boilerplate line goes but the first of the
 document id, then place).
 
 A page that is copied to many sites is not boilerplate but a duplicate, left to other operators:
-documents that share their longest line count as one page, with the first of its sites in
-alphabetical order.
+documents of the same whole text count as one page, with the first of its sites in alphabetical
+order.
 
 Defined results: lines end at line feeds and are compared without white space around them; blank
 lines stay; a null source is no site; a null text stays null; documents equal in id and text get
@@ -45,16 +45,12 @@ def _hash(line: Column) -> Column:
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """(key, doc_id, source, page, at, line): every line that isn't blank, as a hash; ``page`` is
-    the hash of its document's longest line."""
-    sized = F.transform(
-        _lines("text"),
-        lambda x: F.named_struct(F.lit("size"), F.length(_bare(x)), F.lit("text"), _bare(x)),
-    )
+    the hash of its document's whole text."""
     placed = docs.select(
         row_key(F.col("doc_id"), F.col("text")).alias("key"),
         "doc_id",
         "source",
-        _hash(F.array_max(sized)["text"]).alias("page"),
+        _hash(F.col("text")).alias("page"),
         F.posexplode(_lines("text")).alias("at", "_line"),
     ).withColumn("_line", _bare(F.col("_line")))
     return placed.filter(F.col("_line") != "").select(

@@ -59,6 +59,17 @@ def test_lines_against_brute_force(spark):
     assert not any(gone for (doc_id, _, gone, _) in got if 700 <= (doc_id or 0) < 800)
 
 
+def removed(found):
+    return {r.doc_id: r.n_removed for r in found.select("doc_id", "n_removed").collect()}
+
+
+def test_boilerplate_that_is_the_longest_line(spark):
+    notice = "we use cookies " * 60
+    rows = [(i, f"own {i}\n{notice}\nshort", None, f"s{i:02}", 0) for i in range(12)]
+    gone = removed(line_dedup.drop_boilerplate(documents(spark, rows)))
+    assert gone == {i: 2 if i else 0 for i in range(12)}
+
+
 def test_no_lines(spark):
     assert line_dedup.drop_boilerplate(documents(spark, [])).count() == 0
 
