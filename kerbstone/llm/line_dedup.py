@@ -7,9 +7,9 @@ well above the threshold are boilerplate, those well below are not, and those ne
 distinct count. Every occurrence of a boilerplate line goes but the first of the corpus (smallest
 document id, then place).
 
-A page that is copied to many sites is not boilerplate but a duplicate, left to other operators:
-documents of the same whole text count as one page, with the first of its sites in alphabetical
-order.
+A page that is copied to many sites is not boilerplate but a duplicate, left to other operators: a
+line that stands in no other text than that of one page stays. From the second text on, all sites
+of a line count, those of copies included.
 
 Defined results: lines end at line feeds and are compared without white space around them; blank
 lines stay; a null source is no site; a null text stays null; documents equal in id and text get
@@ -59,26 +59,31 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(line, first_id, first_at) of the lines on ``min_sites`` sites or more."""
+    """(line, first_id, first_at) of the lines on ``min_sites`` sites or more, in two texts or more."""
     lines = hashed_lines(docs)
     # Necessary, and countable with nothing but a partial aggregate per task.
     frequent = settled(
         lines.groupBy("line")
-        .agg(F.count("source").alias("n"), F.min("source").alias("a"), F.max("source").alias("b"))
+        .agg(
+            F.count("source").alias("n"),
+            F.min("source").alias("a"),
+            F.max("source").alias("b"),
+            F.min("page").alias("c"),
+            F.max("page").alias("d"),
+        )
         .filter((F.col("n") >= min_sites) & ((F.col("a") != F.col("b")) | F.lit(min_sites <= 1)))
+        .filter(F.col("c") != F.col("d"))
         .select("line"),
         "frequent-lines",
     )
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
-    pages = settled(
-        lines.join(frequent, "line")
-        .groupBy("line", "page")
-        .agg(F.min("source").alias("site"), F.min(first).alias("first")),
-        "line-pages",
+    sites = settled(
+        lines.join(frequent, "line").groupBy("line", "source").agg(F.min(first).alias("first")),
+        "line-sites",
     )
-    sketch = F.hll_sketch_agg("site", F.lit(LOG_REGISTERS))
+    sketch = F.hll_sketch_agg("source", F.lit(LOG_REGISTERS))
     sketched = settled(
-        pages.groupBy("line").agg(
+        sites.groupBy("line").agg(
             F.hll_sketch_estimate(sketch).alias("sites"), F.min("first").alias("first")
         ),
         "line-spread",
@@ -87,11 +92,10 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     far = sketched.filter(F.col("sites") > min_sites + slack).select("line", "first")
     near = sketched.filter(F.abs(F.col("sites") - min_sites) <= slack).select("line", "first")
     counted = (
-        pages.select("line", "site")
+        sites.select("line", "source")
         .join(near.select("line"), "line")
-        .distinct()
         .groupBy("line")
-        .agg(F.count("site").alias("n"))
+        .agg(F.count("source").alias("n"))
         .filter(F.col("n") >= min_sites)
         .select("line")
     )

@@ -70,6 +70,13 @@ def test_boilerplate_that_is_the_longest_line(spark):
     assert gone == {i: 2 if i else 0 for i in range(12)}
 
 
+def test_every_site_of_a_line_counts(spark):
+    rows = [(100 * i + j, f"page {i}\non all sites", None, f"s{j:02}", 0) for i in range(3) for j in range(9)]
+    rows += [(900 + j, "only\none page", None, f"s{j:02}", 0) for j in range(9)]
+    gone = removed(line_dedup.drop_boilerplate(documents(spark, rows)))
+    assert gone == {i: int(0 < i < 900) for i in gone} and len(gone) == len(rows)
+
+
 def test_no_lines(spark):
     assert line_dedup.drop_boilerplate(documents(spark, [])).count() == 0
 
