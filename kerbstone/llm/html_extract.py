@@ -35,7 +35,11 @@ BOILER_WORDS = frozenset(
     " social related recommended newsletter subscribe signup login search widget pagination pager".split()
 )
 CONTENT_WORDS = frozenset("article content story post entry".split())
+KNOWN_WORDS = BOILER_WORDS | CONTENT_WORDS
 HEADER = "header"
+HEADER_NAMES = frozenset("header site-header page-header".split())
+# Names here tell of the whole page's layout.
+ROOT_TAGS = frozenset("html body".split())
 HIDDEN_TAGS = frozenset("script style title textarea template iframe svg math object".split())
 INLINE_TAGS = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp"
@@ -76,13 +80,22 @@ class _Open:
     nearest: str
 
 
+def _names_boilerplate(token: str) -> bool:
+    parts = _WORD.findall(token)
+    return bool(parts) and parts[0] in BOILER_WORDS and KNOWN_WORDS.issuperset(parts)
+
+
 def _opened(tag: str, attributes: str, above: _Open, number: int) -> _Open:
-    words = set()
-    if "=" in attributes:
+    tokens, words = set(), set()
+    if "=" in attributes and tag not in ROOT_TAGS:
         for found in _NAMES.findall(attributes):
-            words.update(_WORD.findall("".join(found).lower()))
-    header = (tag == HEADER or HEADER in words) and not above.content
-    boiler = above.boiler or header or tag in BOILER_TAGS or not words.isdisjoint(BOILER_WORDS)
+            tokens.update("".join(found).lower().split())
+        words.update(w for token in tokens for w in _WORD.findall(token))
+    header = (tag == HEADER or not HEADER_NAMES.isdisjoint(tokens)) and not above.content
+    # A wrapper that only names a boilerplate part, such as has-sidebar, is none itself.
+    named = not words.isdisjoint(BOILER_WORDS) and any(_names_boilerplate(t) for t in tokens)
+    inherited = above.boiler and tag not in CONTENT_TAGS
+    boiler = inherited or header or tag in BOILER_TAGS or named
     content = above.content or tag in CONTENT_TAGS or not words.isdisjoint(CONTENT_WORDS)
     if tag in INLINE_TAGS:
         return _Open(tag, boiler, content, above.container, above.outer, above.nearest)
@@ -226,7 +239,8 @@ def train(pages: DataFrame) -> dict[str, float]:
 
 # --- cut ------------------------------------------------------------------------------------
 
-BOILER_COST, CONTENT_GAIN, MOST_ODDS = 8.0, 4.0, 3.0
+# With the best odds and its edges a marked block can still be content.
+BOILER_COST, CONTENT_GAIN, MOST_ODDS = 4.0, 4.0, 3.0
 ADJACENT, TOGETHER, APART = 0.6, 0.8, 0.15
 
 

@@ -123,6 +123,20 @@ def test_a_page_with_everything():
     assert text == "A title & more First boldly written line. Second <one> 1 < 2. Quoted"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='has-sidebar'><main>{}</main>",
+        "<body class='no-sidebar comments-open'><article>{}</article>",
+        "<div class='content-sidebar-wrap'><main>{}</main></div>",
+        "<div id='search-results-article'><p>{}</p></div>",
+        "<form><main>{}</main></form>",
+    ],
+)
+def test_names_on_wrappers_are_no_veto(page):
+    assert html_extract.main_text(page.format("The text."), {}) == "The text."
+
+
 def test_without_marked_regions_the_classifier_decides():
     odds = {"length 8": 2.0, "tag p": 1.0, "linked 4": -4.0, "linked 0": 0.3, "tag li": -1.0}
     long = "word " * 30
