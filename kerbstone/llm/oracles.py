@@ -112,9 +112,30 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM (
 WHERE n <= 20
 """
 
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS o,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+win AS (
+  SELECT r, o, i, array_to_string(w[i : i + 12], ' ') AS s
+  FROM (SELECT r, o, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+least AS (SELECT s, min(o) AS o FROM win GROUP BY s HAVING min(o) < max(o)),
+hit AS (SELECT win.r, win.i FROM win JOIN least ON win.s = least.s WHERE win.o > least.o),
+gone AS (SELECT DISTINCT r, i + k AS i FROM hit, (SELECT unnest(range(0, 13)) AS k)),
+pos AS (SELECT r, i, w[i] AS x FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+kept AS (
+  SELECT pos.r, string_agg(x, ' ' ORDER BY pos.i) AS t, count(*) AS n
+  FROM pos LEFT JOIN gone ON pos.r = gone.r AND pos.i = gone.i WHERE gone.r IS NULL GROUP BY pos.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2,
     "op6_topk": OP6,
     "op7_line_dedup": OP7,
     "op10_chat_format": OP10,
+    "op12_substring_dedup": OP12,
 }

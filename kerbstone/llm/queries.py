@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbstone.llm import chat, decontaminate, html_extract, langid, line_dedup, lm, packing, simhash, topk, url_filter
+from kerbstone.llm import (
+    chat,
+    decontaminate,
+    html_extract,
+    langid,
+    line_dedup,
+    lm,
+    packing,
+    simhash,
+    substring_dedup,
+    topk,
+    url_filter,
+)
 from kerbstone.llm.common import table
 
 URL_RULES = (
@@ -88,6 +100,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(hostile)))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return kept.select("doc_id", "n_words", "n_removed", digest)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
@@ -99,4 +117,5 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op10_chat_format": op10_chat_format,
+    "op12_substring_dedup": op12_substring_dedup,
 }
