@@ -54,6 +54,13 @@ def id_bucket(doc_id: Column, buckets: int) -> Column:
     return (F.crc32(id_text(doc_id).cast("binary")) % buckets).cast("int")
 
 
+def usable(vector: Column, width: int | None = None) -> Column:
+    """Whether a vector is there, with finite components only (and the given length)."""
+    bad = F.exists(vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    right = F.size(vector) == width if width else F.size(vector) > 0
+    return F.coalesce(vector.isNotNull() & right & ~bad, F.lit(False))
+
+
 def keyed_rows(docs: DataFrame) -> DataFrame:
     """(_row, _key): whole rows as structs, so that their columns can't clash with others."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -132,10 +132,52 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (r)
 """
 
+
+
+def _op11_round(k: int) -> str:
+    """Assignment to the centroids c{k}, and the centroids c{k + 1} that follow from it."""
+    return f"""
+a{k} AS MATERIALIZED (
+  SELECT r, x, c FROM (
+    SELECT r, x, c, row_number() OVER (PARTITION BY r ORDER BY xx - 2 * list_dot_product(x, m) + mm, c) AS p
+    FROM v, c{k}) WHERE p = 1),
+s{k} AS MATERIALIZED (
+  SELECT c, d, CAST(sum(CAST(x[d] AS BIGINT)) AS BIGINT) AS s, count(*) AS n
+  FROM a{k}, (SELECT unnest(range(1, 65)) AS d) GROUP BY c, d),
+n{k} AS MATERIALIZED (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY d) AS m FROM s{k} GROUP BY c),
+c{k + 1} AS MATERIALIZED (
+  SELECT c, m, list_dot_product(m, m) AS mm
+  FROM (SELECT c{k}.c AS c, coalesce(n{k}.m, c{k}.m) AS m FROM c{k} LEFT JOIN n{k} ON c{k}.c = n{k}.c)),"""
+
+
+OP11 = f"""
+WITH v AS MATERIALIZED (
+  SELECT r, vec_id, x, list_dot_product(x, x) AS xx FROM (
+    SELECT row_number() OVER () AS r, vec_id,
+      list_transform(embedding, lambda e: floor(1024 * CAST(e AS DOUBLE))) AS x
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) = 64
+      AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS c, x AS m, xx AS mm
+  FROM (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x, xx FROM v ORDER BY h, x LIMIT 8)),
+{"".join(_op11_round(k) for k in range(10))}
+z AS MATERIALIZED (
+  SELECT vec_id, c, CAST(q AS BIGINT) AS q, m FROM (
+    SELECT vec_id, c, m, q, row_number() OVER (PARTITION BY r ORDER BY q, c) AS p
+    FROM (SELECT r, vec_id, c, m, xx - 2 * list_dot_product(x, m) + mm AS q FROM v, c10)) WHERE p = 1)
+SELECT vec_id, c AS cluster, q AS distance,
+  CAST(sum(q) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(q) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(m, lambda e: CAST(e AS BIGINT)), ',')) AS centroid_sha256
+FROM z
+"""
+
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2,
     "op6_topk": OP6,
     "op7_line_dedup": OP7,
     "op10_chat_format": OP10,
+    "op11_centroids": OP11,
     "op12_substring_dedup": OP12,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbstone.llm import (
+    centroids,
     chat,
     decontaminate,
     html_extract,
@@ -19,6 +20,7 @@ from kerbstone.llm import (
     substring_dedup,
     topk,
     url_filter,
+    whitening,
 )
 from kerbstone.llm.common import table
 
@@ -100,12 +102,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(hostile)))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     return kept.select("doc_id", "n_words", "n_removed", digest)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
@@ -117,5 +127,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_centroids": op11_centroids,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_whitening": op13_whitening,
 }
