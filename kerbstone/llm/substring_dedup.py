@@ -36,7 +36,7 @@ WINDOW = 13
 ROUNDS = ("run", "pair", "pair")
 # Text of a slice that is parsed at once, and of a bucket, in bytes.
 SLICE = 1_500_000
-BUCKET_TEXT = 16_000_000
+BUCKET_TEXT = 4_000_000
 NULL_ID = (1 << 63) - 1
 
 _U = np.uint64
@@ -253,7 +253,8 @@ def _slice_rows(parts: list[tuple[int, int, int, bytes]], size: int, buckets: in
     sent = np.flatnonzero(~known)
     # Windows of one occurrence of a symbol go as one entry with a mask of offsets.
     bucket = (name[sent] % _U(buckets)).astype(np.int64)
-    sent = sent[np.lexsort((offset[sent], place[sent], name[sent], bucket))]
+    # In the order of the texts, so that neighbours have their documents in common.
+    sent = sent[np.lexsort((offset[sent], name[sent], place[sent], bucket))]
     entry_name, entry_place = name[sent], place[sent]
     new = np.ones(len(sent), bool)
     new[1:] = (entry_name[1:] != entry_name[:-1]) | (entry_place[1:] != entry_place[:-1])
@@ -266,7 +267,7 @@ def _slice_rows(parts: list[tuple[int, int, int, bytes]], size: int, buckets: in
         "docs": doc[first],
         "tags": tag[first],
         "at": (place + shift)[first].astype("<u4"),
-        "mask": masks.astype("<u4"),
+        "mask": masks.astype("<u2"),
     }
     edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(first))
     sums = np.append(heads, len(sent))
@@ -312,8 +313,7 @@ _MARKS = "doc long, tag long, starts binary"
 
 def repeated(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, tag, start) of the windows that start in a smaller document too, from entries."""
-    mask = columns["mask"].astype(np.int64)
-    bits = (mask[:, None] >> np.arange(32)) & 1
+    bits = np.unpackbits(columns["mask"].view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
     entry, offset = np.nonzero(bits)
     doc = columns["docs"][entry]
     name = columns["name"][entry] + offset.astype(_U) * _STEP
@@ -323,7 +323,7 @@ def repeated(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np
     return doc[found], columns["tags"][entry], columns["at"][entry].astype(np.int64) - offset[found]
 
 
-_TYPES = {"name": "<u8", "docs": "<i8", "tags": "<i8", "at": "<u4", "mask": "<u4", "check": "<u8"}
+_TYPES = {"name": "<u8", "docs": "<i8", "tags": "<i8", "at": "<u4", "mask": "<u2", "check": "<u8"}
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,8 +365,8 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc, tag, starts): parts of the list of repeated windows of each text; ``doc`` is the id, or
     :data:`NULL_ID`, and ``tag`` stands for the text."""
-    if not 2 <= size <= 32:
-        raise ValueError("windows have 2 to 32 words")
+    if not 2 <= size <= 16:
+        raise ValueError("windows have 2 to 16 words")
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"),
         F.col("text").cast("binary").alias("text"),

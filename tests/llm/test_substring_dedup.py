@@ -75,7 +75,7 @@ def test_equals_plain_search(spark, seed):
     assert found(spark, rows) == wanted
 
 
-@pytest.mark.parametrize("size", [2, 5, 32])
+@pytest.mark.parametrize("size", [2, 5, 16])
 def test_other_window_sizes(spark, size):
     rows = hard_texts(7)[:60]
     assert found(spark, rows, size) == simple(rows, size)
