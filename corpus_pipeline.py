@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbstone.llm import decontaminate, langid, line_dedup, minhash, packing
+from kerbstone.llm import decontaminate, langid, line_dedup, packing, simhash
 from kerbstone.llm.common import settled, table
 from kerbstone.llm.queries import tokenizer_path
 
@@ -27,8 +27,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the least id."""
-    return minhash.drop_near_copies(docs)
+    """One document of each group of near copies stays: that of the least id. Near are fingerprints of three-word
+    shingles that differ in three bits or fewer, linked through others where need be."""
+    return simhash.drop_near_copies(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
