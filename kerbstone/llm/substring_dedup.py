@@ -191,8 +191,8 @@ _PARSED = StructType(
 
 
 def text_tag(text: bytes) -> int:
-    """Stands for a text among documents of one id."""
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+    """Stands for a text among documents of one id, in 32 bits."""
+    return xxhash.xxh3_64_intdigest(text) & 0xFFFFFFFF
 
 
 def text_parts(text: bytes, size: int = WINDOW, limit: int = SLICE) -> Iterator[tuple[int, bytes]]:
@@ -265,7 +265,7 @@ def _slice_rows(parts: list[tuple[int, int, int, bytes]], size: int, buckets: in
     columns = {
         "name": name[first],
         "docs": doc[first],
-        "tags": tag[first],
+        "tags": tag[first].astype("<u4"),
         "at": (place + shift)[first].astype("<u4"),
         "mask": masks.astype("<u2"),
     }
@@ -323,7 +323,7 @@ def repeated(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np
     return doc[found], columns["tags"][entry], columns["at"][entry].astype(np.int64) - offset[found]
 
 
-_TYPES = {"name": "<u8", "docs": "<i8", "tags": "<i8", "at": "<u4", "mask": "<u2", "check": "<u8"}
+_TYPES = {"name": "<u8", "docs": "<i8", "tags": "<u4", "at": "<u4", "mask": "<u2", "check": "<u8"}
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,6 +406,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(text: bytes, starts: np.ndarray, size: int) -> tuple[bytes, int, int]:
     """The kept words, the number of words, the number of removed ones."""
     words = text.split()
+    starts = starts[starts + size <= len(words)]
     if not len(starts):
         return b" ".join(words), len(words), 0
     edges = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + size, minlength=len(words) + 1)
