@@ -7,10 +7,6 @@ well above the threshold are boilerplate, those well below are not, and those ne
 distinct count. Every occurrence of a boilerplate line goes but the first of the corpus (smallest
 document id, then place).
 
-A page that is copied to many sites is not boilerplate but a duplicate, left to other operators: a
-line that stands in no other text than that of one page stays. From the second text on, all sites
-of a line count, those of copies included.
-
 Defined results: lines end at line feeds and are compared without white space around them; blank
 lines stay; a null source is no site; a null text stays null; documents equal in id and text get
 equal results (so the first of them keeps its line in each repeat), and a null id counts as the
@@ -44,22 +40,20 @@ def _hash(line: Column) -> Column:
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, source, page, at, line): every line that isn't blank, as a hash; ``page`` is
-    the hash of its document's whole text."""
+    """(key, doc_id, source, at, line): every line that isn't blank, as a hash."""
     placed = docs.select(
         row_key(F.col("doc_id"), F.col("text")).alias("key"),
         "doc_id",
         "source",
-        _hash(F.col("text")).alias("page"),
         F.posexplode(_lines("text")).alias("at", "_line"),
     ).withColumn("_line", _bare(F.col("_line")))
     return placed.filter(F.col("_line") != "").select(
-        "key", "doc_id", "source", "page", "at", _hash(F.col("_line")).alias("line")
+        "key", "doc_id", "source", "at", _hash(F.col("_line")).alias("line")
     )
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(line, first_id, first_at) of the lines on ``min_sites`` sites or more, in two texts or more."""
+    """(line, first_id, first_at) of the lines on ``min_sites`` sites or more."""
     lines = hashed_lines(docs)
     # Necessary, and countable with nothing but a partial aggregate per task.
     frequent = settled(
@@ -68,11 +62,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
             F.count("source").alias("n"),
             F.min("source").alias("a"),
             F.max("source").alias("b"),
-            F.min("page").alias("c"),
-            F.max("page").alias("d"),
         )
         .filter((F.col("n") >= min_sites) & ((F.col("a") != F.col("b")) | F.lit(min_sites <= 1)))
-        .filter(F.col("c") != F.col("d"))
         .select("line"),
         "frequent-lines",
     )
