@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,26 +72,29 @@ def clean(table: str, df: DataFrame, formats: tuple[str, ...] = TIME_FORMATS) ->
 
 
 def read_civic(
-    spark: SparkSession, folder: str, fmt: str = "csv", formats: tuple[str, ...] = TIME_FORMATS
+    spark: SparkSession,
+    folder: str,
+    fmt: str = "csv",
+    formats: tuple[str, ...] = TIME_FORMATS,
+    only: Sequence[str] = tuple(SCHEMAS),
 ) -> dict[str, DataFrame]:
-    """All nine tables from ``folder/<table>.<fmt>``, cleaned.
+    """All nine tables, or ``only`` some, from ``folder/<table>.<fmt>``, cleaned.
 
     Properties and parcels also get ``_ord``, their place in the file, because
     the last row of an address counts there.
     """
     tables = {}
-    for table, ddl in SCHEMAS.items():
+    for table in only:
+        ddl = SCHEMAS[table]
         path = posixpath.join(folder, f"{table}.{fmt}")
         schema = T.StructType.fromDDL(ddl)
-        # Further columns of the properties become features; the last row of an address counts
-        # among properties and parcels.
-        read = read_csv if fmt == "csv" else read_parquet
-        df = read(
-            spark,
-            path,
-            schema,
-            others=table == "properties",
-            order="_ord" if table in ("properties", "parcels") else None,
-        )
+        # Further columns of the properties become features, with the types of their values; the
+        # last row of an address counts among properties and parcels.
+        others = table == "properties"
+        order = "_ord" if table in ("properties", "parcels") else None
+        if fmt == "csv":
+            df = read_csv(spark, path, schema, others=others, order=order, infer=others)
+        else:
+            df = read_parquet(spark, path, schema, others=others, order=order)
         tables[table] = clean(table, df, formats)
     return tables

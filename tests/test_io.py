@@ -6,6 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kerbstone import session
 from kerbstone.session import checkpoint_folder, remove_scratch, scratch_path, settle
 from kerbstone.sources import tables
 from kerbstone.sources.civic import SCHEMAS, read_civic
@@ -95,7 +96,11 @@ def test_civic_tables_in_both_formats(spark, tmp_path):
     assert set(csv) == set(SCHEMAS)
     for table, ddl in SCHEMAS.items():
         raw = tables.read_csv(
-            spark, f"{folder}/{table}.csv", T.StructType.fromDDL(ddl), others=table == "properties"
+            spark,
+            f"{folder}/{table}.csv",
+            T.StructType.fromDDL(ddl),
+            others=table == "properties",
+            infer=table == "properties",
         )
         raw.write.parquet(f"{folder}/{table}.parquet")
     parquet = read_civic(spark, folder, "parquet")
@@ -113,6 +118,76 @@ def test_settled_tables_live_in_the_shared_folder(spark):
     settled = settle(spark.range(3).selectExpr("id % 2 as part", "id"), ["part"])
     assert rows(settled.select("part", "id")) == [(0, 0), (0, 2), (1, 1)]
     assert all(folder in file for file in settled.inputFiles())
-    assert Path(folder).exists() and any(Path(folder).iterdir())
+    # Others may use the folder too: what this process has written goes.
+    written = [Path(p.removeprefix("file://")) for p in session._written]
+    assert any(p.exists() for p in written)
     remove_scratch()
-    assert not [p for p in Path(folder).iterdir() if p.name.startswith("table-")]
+    assert not any(p.exists() for p in written)
+
+
+def test_types_of_unlisted_columns_are_narrowed(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    head = "a,none,whole,wide,part,flag,mixed,late,text\n"
+    (folder / "1.csv").write_text(head + "1,,7,1,1.5,true,1,5,x\n2,NA, -8 ,99999999999999999999,2,FALSE,true,6,NA\n")
+    (folder / "2.csv").write_text(head + "3,n/a,,3,1e3,,2,7,z\n" + "4,,9,4,.5,True,3,8,1\n" * 500 + "5,,1,1,1,true,1,n7,q\n")
+    schema = T.StructType.fromDDL("a int")
+    found = tables.read_csv(spark, str(folder), schema, others=True, infer=True)
+    assert {f.name: f.dataType.simpleString() for f in found.schema} == {
+        "a": "int", "none": "double", "whole": "bigint", "wide": "double", "part": "double", "flag": "boolean",
+        "mixed": "string", "late": "string", "text": "string",
+    }
+    first = found.filter("a <= 3").orderBy("a").collect()
+    assert [r["whole"] for r in first] == [7, -8, None]
+    assert [r["wide"] for r in first] == [1.0, 1e20, 3.0]
+    assert [r["part"] for r in first] == [1.5, 2.0, 1000.0]
+    assert [r["flag"] for r in first] == [True, False, None]
+    assert [r["mixed"] for r in first] == ["1", "true", "2"]
+    assert [r["text"] for r in first] == ["x", None, "z"]
+    plain = tables.read_csv(spark, str(folder))
+    assert plain.schema["a"].dataType == T.LongType() and plain.count() == 504
+    # Values that only look like numbers of a programming language are text.
+    (tmp_path / "odd.csv").write_text("a,b,c\n1d,0x10,1_000\n2f,Infinity,1\n")
+    assert {f.dataType.simpleString() for f in tables.read_csv(spark, str(tmp_path / "odd.csv")).schema} == {"string"}
+
+
+def test_headers_of_many_files_take_one_job(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(300):
+        names = "a,b" if i % 3 else '"b",c,a'
+        row = f"{i},x" if i % 3 else f"x,more,{i}"
+        (folder / f"{i:03}.csv").write_text(f"\n{names}\r\n" + f"{row}\r\n" * (i % 5))
+    (folder / "empty.csv").write_text("")
+    status = spark.sparkContext.statusTracker()
+    group = "headers-of-many-files"
+    spark.sparkContext.setJobGroup(group, "")
+    found = tables._headers(spark, str(folder))
+    jobs = len(status.getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    assert {k: len(v) for k, v in found.items()} == {("b", "c", "a"): 100, ("a", "b"): 200}
+    assert jobs <= 4
+    wanted = sorted(i for i in range(300) for _ in range(i % 5))
+    table = tables.read_csv(spark, str(folder), T.StructType.fromDDL("a int, b string"))
+    assert sorted(r["a"] for r in table.collect()) == wanted
+
+
+def test_same_city_from_csv_and_parquet_has_the_same_types(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    civic.write(tmp_path / "csv")
+    extra = spark.read.option("header", True).csv(str(tmp_path / "csv" / "properties.csv"))
+    extra = extra.withColumns({"ROOMS": F.lit(5).cast("long"), "SHARE": F.lit(0.5), "ZONE": F.lit("R1")})
+    columns = "ADDRESS string, YEARBUILT string, LAT double, LON double, ROOMS long, SHARE double, ZONE string"
+    both = {}
+    for fmt in ("csv", "parquet"):
+        path = str(tmp_path / f"p.{fmt}")
+        typed = extra.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(columns)])
+        tables.write_table(typed, path, fmt)
+        schema = T.StructType.fromDDL(SCHEMAS["properties"])
+        if fmt == "csv":
+            both[fmt] = tables.read_csv(spark, path, schema, others=True, infer=True)
+        else:
+            both[fmt] = tables.read_parquet(spark, path, schema)
+    kinds = [{f.name: f.dataType for f in both[fmt].schema} for fmt in both]
+    assert kinds[0] == kinds[1]
+    assert rows(both["csv"].select(*sorted(kinds[0]))) == rows(both["parquet"].select(*sorted(kinds[0])))
