@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbstone.session import settle
+
 
 def top_k(df: DataFrame, score: str, tie: str, k: int = 20) -> DataFrame:
     """The k rows with the highest score; ``tie`` (unique, ascending) decides equals.
@@ -16,29 +18,57 @@ def top_k(df: DataFrame, score: str, tie: str, k: int = 20) -> DataFrame:
     return df.orderBy(F.col(score).desc_nulls_last(), F.col(tie).asc()).limit(k)
 
 
-def running_hits(df: DataFrame, score: str, tie: str, hit: Column, k: int = 20) -> DataFrame:
-    """Rank 1..k by score with the number of hits so far: (rank, cumulative_hits).
+def in_ranges(df: DataFrame, order: Sequence[Column], sums: Mapping[str, str] = {}) -> DataFrame:
+    """Add ``_number``, the place 1..n in ``order``, and running sums: column names by their new names.
 
-    The window sees the k rows of the top list only.
+    Rows are laid out in ranges of the order and written once to the shared folder. Places and sums are counted within each
+    range; those of earlier ranges, one small row each, are added. No task sees more than its range.
     """
-    down = Window.orderBy(F.col(score).desc_nulls_last(), F.col(tie).asc())
-    top = top_k(df.withColumn("_hit", hit.cast("int")), score, tie, k)
-    return top.select(
-        F.row_number().over(down).alias("rank"),
-        F.sum(F.coalesce("_hit", F.lit(0)))
-        .over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        .alias("cumulative_hits"),
-        score,
-        tie,
+    laid = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    # A row per range that holds any.
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = laid.groupBy("_part").agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()]
+    )
+    before = totals.select(
+        F.col("_part").alias("_of"),
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in totals.columns if c != "_part"],
+    )
+    down = Window.partitionBy("_part").orderBy(*order)
+    sofar = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return laid.join(F.broadcast(before), F.col("_part") == F.col("_of")).select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        (F.col("_rows") + F.row_number().over(down)).cast("long").alias("_number"),
+        *[(F.col(f"_sum_{n}") + F.sum(c).over(sofar)).alias(n) for n, c in sums.items()],
     )
 
 
+def running_hits(
+    df: DataFrame, score: str, tie: str, hit: Column, k: int | None = 20
+) -> DataFrame:
+    """Rank 1..k by score with the number of hits so far: (rank, cumulative_hits, score, tie).
+
+    ``k`` may be any number, None for all rows.
+    """
+    order = [F.col(score).desc_nulls_last(), F.col(tie).asc()]
+    rows = df.select(score, tie, F.coalesce(hit.cast("long"), F.lit(0)).alias("_hit"))
+    if k is not None and k <= FEW:
+        rows = top_k(rows, score, tie, k)
+    ranked = in_ranges(rows, order, {"cumulative_hits": "_hit"})
+    ranked = ranked.select(F.col("_number").alias("rank"), "cumulative_hits", score, tie)
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+
+
 def hits_in_top_k(df: DataFrame, score: str, tie: str, hit: Column, k: int = 100) -> DataFrame:
     """One row: how many of the k best scored rows are hits."""
     top = top_k(df.withColumn("_hit", hit), score, tie, k)
     return top.agg(F.count_if("_hit").alias("hits"))
 
 
+# Up to so many rows Spark's own top-k is the shorter way: it keeps k rows per task.
+FEW = 10_000
+
+
 # A bucket table of at most this many narrow rows is broadcast; a larger one is joined as the planner
 # sees fit.
 BROADCAST_ROWS = 1_000_000

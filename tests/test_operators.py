@@ -1,3 +1,6 @@
+import bisect
+import math
+import random
 from datetime import datetime
 
 import pytest
@@ -230,3 +233,74 @@ def test_profile(spark):
     best = profile.top_values(df, ["n", "t"], 1)
     assert rows(best) == [("n", "2", 2, 1), ("t", "b", 2, 1)]
     assert "WindowGroupLimit" in plan(best)
+
+
+def test_running_hits_of_any_number(spark):
+    df = spark.createDataFrame([(i, (i * 37 % 50) / 10 if i % 9 else None, i % 3) for i in range(400)], "id int, s double, y int")
+    ordered = sorted(df.collect(), key=lambda r: (r["s"] is None, -(r["s"] or 0), r["id"]))
+    hits, wanted = 0, []
+    for rank, r in enumerate(ordered, 1):
+        hits += r["y"] == 1
+        wanted.append((rank, hits, r["s"], r["id"]))
+    for k in (None, 350, 7):
+        few, ranking.FEW = ranking.FEW, 10
+        try:
+            found = ranking.running_hits(df.repartition(6), "s", "id", F.col("y") == 1, k)
+        finally:
+            ranking.FEW = few
+        assert sorted(tuple(r) for r in found.collect()) == wanted[:k]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan.replace("_part", "")[: plan.index("cumulative_hits")] or k
+    assert ranking.running_hits(df.limit(0), "s", "id", F.col("y") == 1, None).count() == 0
+
+
+def quantile(values, share):
+    values = sorted(values)
+    at = (len(values) - 1) * share
+    low = math.floor(at)
+    high = min(low + 1, len(values) - 1)
+    return values[low] + (values[high] - values[low]) * (at - low)
+
+
+@pytest.mark.parametrize("direct", [100_000, 50, 1])
+def test_exact_quantiles(spark, direct):
+    rng = random.Random(4)
+    columns = {
+        "even": [rng.random() for _ in range(5000)],
+        "tail": [math.exp(rng.gauss(0, 60)) * rng.choice([1, -1]) for _ in range(5000)],
+        "hot": [rng.choice([0.0, 0.0, 0.0, 1.0, rng.random()]) for _ in range(5000)],
+        "two": [rng.choice([1.0, 2.0]) for _ in range(5000)],
+        "gaps": [None if rng.random() < 0.5 else rng.choice([float("nan"), rng.gauss(0, 1)]) for _ in range(5000)],
+        "none": [None] * 5000,
+    }
+    kinds = ", ".join(f"{n} double" for n in columns)
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), kinds).repartition(5)
+    shares = [0.0, 0.001, 0.25, 0.5, 0.9, 1.0]
+    found = profile.exact_quantiles(df, list(columns), shares, direct)
+    for name, values in columns.items():
+        known = [v for v in values if v is not None and v == v]
+        assert found[name] == pytest.approx([quantile(known, s) for s in shares] if known else [], rel=1e-12)
+
+
+def test_exact_quantiles_of_tiny_columns(spark):
+    df = spark.createDataFrame([(1, 2.0), (None, 4.0)], "a int, b double")
+    assert profile.exact_quantiles(df, ["a", "b"], [0.25, 0.5]) == {"a": [1.0, 1.0], "b": [2.5, 3.0]}
+    assert profile.exact_quantiles(df.limit(0), ["a", "b"]) == {"a": [], "b": []}
+    assert profile.exact_quantiles(df, []) == {}
+
+
+def test_sketches_keep_their_bounds(spark):
+    rng = random.Random(9)
+    values = [rng.gauss(0, 1) for _ in range(40_000)]
+    df = spark.createDataFrame([(v, i % 7000, None if i % 2 else "x") for i, v in enumerate(values)], "v double, k int, t string")
+    df = df.withColumn("none", F.lit(None).cast("double")).repartition(8)
+    found = {r["column_name"]: r for r in profile.profile(df).collect()}
+    ordered = sorted(values)
+    for share, value in zip(profile.QUANTILES, found["v"]["quantiles"], strict=True):
+        rank = bisect.bisect_left(ordered, value) / len(ordered)
+        assert abs(rank - share) < 0.01
+    assert found["v"]["min_number"] == ordered[0] and found["v"]["max_number"] == ordered[-1]
+    assert abs(found["v"]["distinct_values"] - 40_000) < 5 * 0.016 * 40_000
+    assert abs(found["k"]["distinct_values"] - 7000) < 5 * 0.016 * 7000
+    assert (found["t"]["nulls"], found["t"]["distinct_values"], found["t"]["max_text"]) == (20_000, 1, "x")
+    assert found["none"]["quantiles"] is None and found["none"]["distinct_values"] == 0
