@@ -103,7 +103,7 @@ def holdout(run: Run) -> None:
 
     folded = settle(split.mark_folds(train, "_id", LABEL), ["fold"])
     scored = settle(model.out_of_fold(folded, inputs, LABEL, boosting=boosting))
-    run.write(evaluate.fold_metrics(scored, split.FOLDS, label=LABEL), "fold_metrics")
+    run.write(evaluate.fold_metrics(scored, label=LABEL), "fold_metrics")
 
     fitted = model.fit(train, inputs, LABEL, boosting)
     _write_model(run, fitted, train, model.score(fitted, test))
@@ -116,7 +116,7 @@ def crossval(run: Run, positive_weight: float = 1000.0) -> None:
     table, inputs = _model_table(table, ["_id", fb.KEY, LABEL, *COORDINATES])
     folded = settle(split.mark_folds(table, "_id", LABEL), ["fold"])
     scored = settle(model.out_of_fold(folded, inputs, LABEL, boosting=boosting))
-    run.write(evaluate.fold_metrics(scored, split.FOLDS, label=LABEL), "fold_metrics")
+    run.write(evaluate.fold_metrics(scored, label=LABEL), "fold_metrics")
     _write_model(run, model.fit(folded, inputs, LABEL, boosting), folded, scored)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
@@ -12,7 +12,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbstone.ml.encode import FEATURES, Inputs, feature_names, stages
@@ -221,6 +221,54 @@ def best_rounds(errors: Sequence[float], patience: int = 10) -> int:
     return best + 1
 
 
+def rounds_in_blocks(
+    errors_of: Callable[[int], list[float]], most: int, patience: int = 10, block: int = 16
+) -> tuple[int, list[float]]:
+    """(best round, errors): train as many rounds as it takes to see ``patience`` rounds without gain.
+
+    ``errors_of(n)`` trains n rounds and gives the held-out error after each. The first n trees
+    of a longer run are those of a shorter one, so the number is doubled until the errors tell; in all that is at most
+    twice the work of the last run.
+    """
+    n = min(block, most)
+    while True:
+        errors = errors_of(n)
+        best = best_rounds(errors, patience)
+        if best + patience <= len(errors) or n >= most:
+            return best, errors
+        n = min(2 * n, most)
+
+
+def _errors(model: PipelineModel, df: DataFrame, label: str) -> list[float]:
+    return [r["error"] for r in error_per_round(model, df, label).orderBy("round").collect()]
+
+
+def _unstopped(boosting: Boosting, rounds: int) -> Boosting:
+    return replace(boosting, rounds=rounds, validation=None, validation_share=0.0)
+
+
+def fit_with_patience(
+    train: DataFrame,
+    held: DataFrame,
+    inputs: Inputs,
+    label: str,
+    boosting: Boosting = Boosting(),
+    patience: int = 10,
+) -> tuple[PipelineModel, list[float]]:
+    """The model of the best round, when ``patience`` further rounds didn't lower the error on ``held``;
+    and the errors of all rounds trained."""
+    models: dict[int, PipelineModel] = {}
+
+    def errors_of(rounds: int) -> list[float]:
+        models[rounds] = fit(train, inputs, label, _unstopped(boosting, rounds))
+        return _errors(models[rounds], held, label)
+
+    best, errors = rounds_in_blocks(errors_of, boosting.rounds, patience)
+    if best not in models:
+        models[best] = fit(train, inputs, label, _unstopped(boosting, best))
+    return models[best], errors
+
+
 def cross_validated_rounds(
     df: DataFrame,
     inputs: Inputs,
@@ -231,21 +279,27 @@ def cross_validated_rounds(
     patience: int = 10,
     parallel: int = 5,
 ) -> int:
-    """Round count with the lowest mean error on the held-out folds.
-
-    Each fold's training watches its held-out rows and stops when they gain no more; a fold that has
-    stopped keeps its last error in the mean.
-    """
-
-    def held_out_errors(i: int) -> list[float]:
-        marked = df.withColumn(HELD, F.col(fold) == i)
-        model = fit(marked, inputs, label, replace(boosting, validation=HELD))
-        errors = error_per_round(model, marked.filter(HELD), label)
-        return [r["error"] for r in errors.orderBy("round").collect()]
-
-    with ThreadPoolExecutor(parallel) as pool:
-        inherited = inheritable_thread_target(df.sparkSession)(held_out_errors)
-        per_fold = list(pool.map(inherited, range(folds)))
-    rounds = max(len(e) for e in per_fold)
-    means = [sum(e[min(i, len(e) - 1)] for e in per_fold) / folds for i in range(rounds)]
-    return best_rounds(means, patience)
+    """The round with the lowest mean error on the held-out folds, before ``patience`` rounds without gain."""
+
+    def mean_errors(rounds: int) -> list[float]:
+        def held_out_errors(i: int) -> list[float]:
+            model = fit(df.filter(F.col(fold) != i), inputs, label, _unstopped(boosting, rounds))
+            return _errors(model, df.filter(F.col(fold) == i), label)
+
+        with ThreadPoolExecutor(parallel) as pool:
+            inherited = inheritable_thread_target(df.sparkSession)(held_out_errors)
+            return [sum(e) / folds for e in zip(*pool.map(inherited, range(folds)), strict=True)]
+
+    return rounds_in_blocks(mean_errors, boosting.rounds, patience)[0]
+
+
+def chosen_round(errors: DataFrame, patience: int = 10) -> DataFrame:
+    """(round, error, chosen) of a table of errors, a row per round: marks the round that training with
+    ``patience`` ends with."""
+    upto = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    best = errors.withColumn("_best", F.min(F.struct("error", "round")).over(upto)["round"])
+    rounds = F.struct("round", "_best")
+    stopped = F.min(F.when(F.col("round") - F.col("_best") >= patience, rounds))["_best"]
+    end = best.agg(F.coalesce(stopped, F.max(rounds)["_best"]).alias("_chosen"))
+    marked = best.crossJoin(F.broadcast(end))  # one row
+    return marked.select("round", "error", (F.col("round") == F.col("_chosen")).alias("chosen"))

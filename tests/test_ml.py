@@ -1,7 +1,10 @@
 import math
+import random
+from dataclasses import replace
 
 import pytest
 from conftest import rows
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from kerbstone.ml import encode, evaluate, model, split
@@ -159,7 +162,7 @@ def test_out_of_fold_scores_cover_every_row(labelled):
     folded = split.mark_folds(df, "id", "y").cache()
     scored = model.out_of_fold(folded, inputs, "y", boosting=BOOSTING).cache()
     assert rows(scored.select("id")) == rows(df.select("id"))
-    metrics = {r["fold"]: r for r in evaluate.fold_metrics(scored, 5, label="y").collect()}
+    metrics = {r["fold"]: r for r in evaluate.fold_metrics(scored, label="y").collect()}
     assert set(metrics) == {-1, 0, 1, 2, 3, 4}
     assert metrics[-1]["roc_auc"] == pytest.approx(
         sum(metrics[i]["roc_auc"] for i in range(5)) / 5
@@ -191,13 +194,135 @@ def test_metrics_name_the_cells_right(spark):
     assert rows(evaluate.recall_precision(nothing)) == [(0.0, 0.0)]
 
 
+@pytest.mark.parametrize("ranges", [1, 7, 4096])
+def test_roc_auc_of_all_groups_at_once(spark, monkeypatch, ranges):
+    monkeypatch.setattr(evaluate, "RANGES", ranges)
+    rng = random.Random(3)
+    points = [(g, rng.randrange(2), rng.choice([rng.random(), 0.5, -3.0])) for g in range(3) for _ in range(120)]
+    points += [(None, 0, 0.1), (None, 1, 0.9), (None, 1, None), (7, 1, 0.2), (8, 0, 0.4), (8, None, 0.4)]
+    df = spark.createDataFrame(points, "fold int, y int, scores double")
+    wanted = {}
+    for g in {p[0] for p in points}:
+        ones = [s for f, y, s in points if f == g and y == 1 and s is not None]
+        noughts = [s for f, y, s in points if f == g and y == 0]
+        pairs = [(p > n) + 0.5 * (p == n) for p in ones for n in noughts]
+        wanted[g] = pytest.approx(sum(pairs) / len(pairs)) if pairs else None
+    assert dict(rows(evaluate.roc_auc(df, ["fold"]))) == wanted
+
+
+def test_jobs_of_fold_metrics_do_not_grow_with_folds(spark):
+    df = spark.range(2000).select((F.col("id") % 2).alias("y"), (F.col("id") % 97 / 97).alias("scores"), "id")
+    df = df.withColumn("y_pred", (F.col("scores") > 0.5).cast("int"))
+    jobs = []
+    for folds in (2, 40):
+        spark.sparkContext.setJobGroup(f"folds-{folds}", "")
+        found = evaluate.fold_metrics(df.withColumn("fold", (F.col("id") % folds).cast("int"))).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"folds-{folds}")))
+        assert sorted(r["fold"] for r in found) == list(range(-1, folds))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[1] <= jobs[0] + 2
+
+
+def dense(vector):
+    return vector.toArray().tolist()
+
+
+def test_dictionary_vectors_equal_indexed_ones(spark):
+    rng = random.Random(5)
+    values = ["b", "a", "ä", "Z", "a b", None]
+    data = [(i, float(i % 5), rng.choice(values), rng.choice(["x", "y", None])) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, n double, t string, u string").repartition(4)
+    train = df.filter("id % 4 > 0 and (t <> 'Z' or t is null)")
+    inputs = encode.Inputs(("n",), ("t", "u"))
+    wanted = Pipeline(stages=encode.stages(inputs)).fit(train).transform(df)
+    known = [encode.dictionary(train, c) for c in ("t", "u")]
+    found = encode.vectors(df, ["n"], known)
+    assert {r["id"]: dense(r["features"]) for r in found.collect()} == {
+        r["id"]: dense(r["features"]) for r in wanted.collect()
+    }
+    names = dict(rows(encode.place_names(spark, ["n"], known)))
+    assert [names[i] for i in range(len(names))] == encode.feature_names(wanted)
+
+
+def test_trees_on_a_column_of_many_values(spark, no_broadcast):
+    df = spark.range(30_000).select(
+        "id", (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 3).cast("double").alias("n"),
+        F.concat(F.lit("k"), F.when(F.col("id") % 3 == 1, 0).otherwise(F.col("id")).cast("string")).alias("key"),
+    )
+    known = encode.dictionary(df, "key")
+    assert known.size == df.select("key").distinct().count()
+    ready = encode.vectors(df, ["n"], [known])
+    first = ready.filter("id < 3").orderBy("id").collect()
+    assert all(len(r["features"]) == 1 + known.size and len(r["features"].indices) == 2 for r in first)
+    # The vector feeds a model as it is.
+    few = encode.vectors(df, ["n"], [])
+    trained = model.fit(few, encode.Inputs((), ready=True), "y", model.Boosting(rounds=1, depth=1))
+    assert evaluate.accuracy(model.score(trained, few), "y").first()["accuracy"] > 0.6
+
+
+def test_patience_and_tolerance_differ(spark):
+    """Tolerance goes on while the loss falls, though no row changes its side; patience sees that none does."""
+    i = F.col("id")
+    df = spark.range(600).select(
+        i, (i % 2).cast("double").alias("a"), (i % 3).cast("double").alias("b"), (i % 5).cast("double").alias("c"),
+        ((i % 2 + i % 3 + i % 5) >= 4).cast("int").alias("y"),
+    )
+    inputs = encode.Inputs(("a", "b", "c"))
+    boosting = model.Boosting(rounds=40, depth=1, step=0.1, tolerance=0.01)
+    train, held = df.filter("id < 400"), df.filter("id >= 400")
+    tolerant = model.fit(df.withColumn("held", i >= 400), inputs, "y", replace(boosting, validation="held"))
+    patient, errors = model.fit_with_patience(train, held, inputs, "y", boosting)
+    rounds = model.round_count(patient)
+    assert rounds == model.best_rounds(errors, 10) != model.round_count(tolerant)
+    assert errors[rounds - 1] == min(errors[: rounds + 10])
+    assert evaluate.accuracy(model.score(patient, held), "y").first()["error"] == pytest.approx(errors[rounds - 1])
+
+
+def test_blocks_grow_until_the_errors_tell():
+    asked = []
+
+    def errors_of(n):
+        asked.append(n)
+        return [1 / (1 + min(r, 25)) for r in range(n)]
+
+    assert model.rounds_in_blocks(errors_of, 100)[0] == 26
+    assert asked == [16, 32, 64]
+    assert model.rounds_in_blocks(lambda n: [1 / (1 + r) for r in range(n)], 40)[0] == 40
+
+
+@pytest.mark.parametrize("errors", [[0.5, 0.4, 0.4, 0.3], [0.5, 0.4, 0.4, 0.4, 0.1], [0.2], [0.3, 0.3, 0.3]])
+@pytest.mark.parametrize("patience", [1, 2, 10])
+def test_chosen_round_equals_the_plain_rule(spark, errors, patience):
+    df = spark.createDataFrame([(i + 1, e) for i, e in enumerate(errors)], "round int, error double")
+    chosen = [r["round"] for r in model.chosen_round(df, patience).collect() if r["chosen"]]
+    assert chosen == [model.best_rounds(errors, patience)]
+
+
+def test_clusters_do_not_depend_on_the_layout(spark):
+    rng = random.Random(2)
+    points = [(round(rng.gauss(10 * (i % 4), 1), 6), round(rng.gauss(-80, 2), 6)) for i in range(500)]
+    points += [points[0]] * 200 + [(None, 1.0), (1.0, None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id int, lat double, long double")
+    found = [reports.with_clusters(d, 4).select("id", "cluster") for d in (df.repartition(1), df.repartition(9, "lat"))]
+    assert rows(found[0]) == rows(found[1])
+    centres = reports.cluster_centres(df, 4)
+    for r in reports.with_clusters(df, 4).collect():
+        if r["lat"] is None or r["long"] is None:
+            assert r["cluster"] is None
+            continue
+        place = (round(r["lat"] * 10**6), round(r["long"] * 10**6))
+        squares = [(place[0] - a) ** 2 + (place[1] - b) ** 2 for a, b in centres]
+        assert r["cluster"] == squares.index(min(squares))
+    assert reports.with_clusters(df.limit(0)).count() == 0
+
+
 def test_roc_auc_by_counting_pairs(spark):
     points = [(i % 2, (i * 37 % 11) / 10) for i in range(40)]
     df = spark.createDataFrame(points, "y int, scores double")
     pairs = [
         (p > n) + 0.5 * (p == n) for y, p in points if y for z, n in points if not z
     ]
-    assert evaluate.roc_auc(df) == pytest.approx(sum(pairs) / len(pairs))
+    assert evaluate.roc_auc(df).first()[0] == pytest.approx(sum(pairs) / len(pairs))
 
 
 def test_reports(fitted):
