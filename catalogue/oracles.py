@@ -293,10 +293,98 @@ def _profiled(name: str, number: bool) -> str:
 SELECT '{name}' AS column_name, count(*) AS "rows", count(*) - count({name}) AS nulls,
        count(DISTINCT {name}) AS distinct_values, min({value}) AS min_number,
        max({value}) AS max_number, round(avg({value}), 4) AS mean,
-       round(stddev_samp({value}), 4) AS stddev, min({text}) AS min_text, max({text}) AS max_text
+       round(stddev_samp({value}), 4) AS stddev, min({text}) AS min_text, max({text}) AS max_text,
+       {", ".join(f"round(quantile_cont({value}, {q}), 4) AS q{round(100 * q):02}" for q in (0.05, 0.25, 0.5, 0.75, 0.95))}
 FROM orders"""
 
 
+def _stumps(groups: str, rounds: int, step: float = 0.3) -> str:
+    """Boosted trees of one split each, as a chain of tables ending in ``scored``.
+
+    ``groups`` has (g, o_orderkey, y, fold, prio, month, fifth, train): one model per g, trained on the rows marked.
+    A round fits the gradient of the logistic loss: the split with the largest gain of squares, means as outputs.
+    """
+    parts = [f"g0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS m FROM ({groups}))"]
+    for t in range(rounds):
+        sign = "(2 * y - 1)"
+        rest = f"{sign}::DOUBLE" if t == 0 else f"4.0::DOUBLE * {sign} / (1 + exp(2 * {sign} * m))"
+        weight = 1.0 if t == 0 else step
+        parts.append(f"""
+l{t} AS (SELECT g, f, v, sum(r) AS s, count(*) AS n FROM (
+  SELECT g, {rest} AS r, unnest(['prio', 'month', 'fifth']) AS f, unnest([prio, month, fifth]) AS v
+  FROM g{t} WHERE train) GROUP BY g, f, v),
+p{t} AS (SELECT g, f, v, sum(s) OVER w AS sl, sum(n) OVER w AS nl,
+  sum(s) OVER (PARTITION BY g, f) AS st, sum(n) OVER (PARTITION BY g, f) AS nt
+  FROM l{t} WINDOW w AS (PARTITION BY g, f ORDER BY v)),
+b{t} AS MATERIALIZED (SELECT g, f, v, sl / nl AS a, (st - sl) / (nt - nl) AS b FROM (
+  SELECT *, row_number() OVER (PARTITION BY g
+    ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC, f, v) AS k
+  FROM p{t} WHERE nl < nt) WHERE k = 1),
+g{t + 1} AS MATERIALIZED (SELECT x.g, o_orderkey, y, fold, prio, month, fifth, train,
+  m + {weight}::DOUBLE * CASE WHEN CASE f WHEN 'prio' THEN prio WHEN 'month' THEN month ELSE fifth END <= v
+    THEN a ELSE b END AS m
+  FROM g{t} AS x JOIN b{t} ON x.g = b{t}.g)""")
+    return ", ".join(parts)
+
+
+GRADED = """
+SELECT o_orderkey, prio, month, fifth, CAST(o_orderkey % 5 AS INTEGER) AS fold,
+       CAST(2 * prio + month + 3 * fifth + o_orderkey % 7 > 22 AS INTEGER) AS y
+FROM (SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS prio,
+             CAST(month(o_orderdate) AS DOUBLE) AS month, CAST(o_custkey % 5 AS DOUBLE) AS fifth FROM orders)"""
+
+
+def _errors_of(rounds: int) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {t} AS \"round\", round(avg(CAST((m > 0) <> (y > 0) AS DOUBLE)), 9) AS error FROM g{t} WHERE NOT train"
+        for t in range(1, rounds + 1)
+    )
+
+
+# Recall, precision and rank sum of (fold, y, y_pred, scores), and their means.
+FOLD_METRICS = """
+r AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY scores) +
+    (count(*) OVER (PARTITION BY fold, scores) - 1) / 2 AS rk FROM f),
+m AS (
+  SELECT fold,
+    count(*) FILTER (WHERE y = 1 AND y_pred = 1) / greatest(count(*) FILTER (WHERE y = 1), 1) AS recall,
+    count(*) FILTER (WHERE y = 1 AND y_pred = 1) / greatest(count(*) FILTER (WHERE y_pred = 1), 1) AS precision,
+    (sum(rk) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2)
+      / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS roc_auc
+  FROM r GROUP BY fold)
+SELECT fold, round(recall, 6) AS recall, round(precision, 6) AS precision,
+       round(roc_auc, 6) AS roc_auc FROM m
+UNION ALL SELECT -1, round(avg(recall), 6), round(avg(precision), 6), round(avg(roc_auc), 6)
+FROM m"""
+
+
+def _centre_round(t: int) -> str:
+    floor = "CAST(({s} - (({s} % n) + n) % n) // n AS BIGINT)".format
+    return f"""
+a{t} AS MATERIALIZED (SELECT lat, lon, n, i FROM (
+  SELECT q.lat, q.lon, q.n, c.i, row_number() OVER (PARTITION BY q.lat, q.lon ORDER BY
+    (q.lat - c.lat) * (q.lat - c.lat) + (q.lon - c.lon) * (q.lon - c.lon), c.i) AS k
+  FROM q, c{t} AS c) WHERE k = 1),
+c{t + 1} AS MATERIALIZED (
+  SELECT c.i, coalesce({floor(s="x")}, c.lat) AS lat, coalesce({floor(s="y")}, c.lon) AS lon
+  FROM c{t} AS c LEFT JOIN (SELECT i, CAST(sum(lat * n) AS BIGINT) AS x, CAST(sum(lon * n) AS BIGINT) AS y,
+    CAST(sum(n) AS BIGINT) AS n FROM a{t} GROUP BY i) AS s ON s.i = c.i),"""
+
+
+GEO_CLUSTERS = f"""
+WITH {LOCATIONS}, clean AS ({CLEAN}),
+z AS (SELECT *, CAST(round(lat * 1000000) AS BIGINT) AS za, CAST(round("long" * 1000000) AS BIGINT) AS zb FROM clean),
+q AS MATERIALIZED (SELECT za AS lat, zb AS lon, count(*) AS n FROM z GROUP BY za, zb),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, lat, lon) - 1 AS i, lat, lon FROM (
+  SELECT md5('42:' || lat || ':' || lon) AS h, lat, lon FROM q ORDER BY h, lat, lon LIMIT 10)),
+{"".join(_centre_round(t) for t in range(12))}
+near AS (SELECT lat, lon, i FROM (
+  SELECT q.lat, q.lon, c.i, row_number() OVER (PARTITION BY q.lat, q.lon ORDER BY
+    (q.lat - c.lat) * (q.lat - c.lat) + (q.lon - c.lon) * (q.lon - c.lon), c.i) AS k FROM q, c12 AS c) WHERE k = 1)
+SELECT z.c_custkey, z.lat, z."long", z.scores, CAST(near.i AS INTEGER) AS cluster
+FROM z JOIN near ON z.za = near.lat AND z.zb = near.lon"""
+
+
 def _top(name: str) -> str:
     return f"""
 SELECT '{name}' AS column_name, value, n, CAST(rk AS INTEGER) AS "rank" FROM (
@@ -434,7 +522,7 @@ ORACLES: dict[str, str] = {
         WITH {SCORED}, ranked AS (
           SELECT doc_id, scores, y, row_number() OVER (ORDER BY scores DESC, doc_id) AS rk
           FROM scored)
-        SELECT CAST(a.rk AS INTEGER) AS "rank", a.scores, a.doc_id,
+        SELECT CAST(a.rk AS BIGINT) AS "rank", a.scores, a.doc_id,
                CAST((SELECT count(*) FROM ranked b WHERE b.rk <= a.rk AND b.y = 1) AS BIGINT)
                  AS cumulative_hits
         FROM ranked a WHERE a.rk <= 20""",
@@ -527,19 +615,59 @@ ORACLES: dict[str, str] = {
         WITH {SCORED}, f AS (
           SELECT *, CAST((row_number() OVER (PARTITION BY y ORDER BY md5('42:' || doc_id)) - 1) % 5
             AS INTEGER) AS fold FROM scored),
-        r AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY scores) +
-            (count(*) OVER (PARTITION BY fold, scores) - 1) / 2 AS rk FROM f),
-        m AS (
-          SELECT fold,
-            count(*) FILTER (WHERE y = 1 AND y_pred = 1) / greatest(count(*) FILTER (WHERE y = 1), 1) AS recall,
-            count(*) FILTER (WHERE y = 1 AND y_pred = 1) / greatest(count(*) FILTER (WHERE y_pred = 1), 1) AS precision,
-            (sum(rk) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2)
-              / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS roc_auc
-          FROM r GROUP BY fold)
-        SELECT fold, round(recall, 6) AS recall, round(precision, 6) AS precision,
-               round(roc_auc, 6) AS roc_auc FROM m
-        UNION ALL SELECT -1, round(avg(recall), 6), round(avg(precision), 6), round(avg(roc_auc), 6)
-        FROM m""",
+        {FOLD_METRICS}""",
+    "boosted_scores": f"""
+        WITH {_stumps(f"SELECT 0 AS g, *, true AS train FROM ({GRADED})", 6)}
+        SELECT o_orderkey, round(1 / (1 + exp(-2 * m)), 6) AS scores, CAST(m > 0 AS INTEGER) AS y_pred FROM g6""",
+    "boosted_round_errors": f"""
+        WITH {_stumps(f"SELECT 0 AS g, *, fold <> 0 AS train FROM ({GRADED})", 10)},
+        e AS (SELECT CAST("round" AS INTEGER) AS "round", error FROM ({_errors_of(10)})),
+        u AS (SELECT a."round", a.error, (SELECT min(b."round") FROM e AS b WHERE b."round" <= a."round"
+            AND b.error = (SELECT min(c.error) FROM e AS c WHERE c."round" <= a."round")) AS best FROM e AS a),
+        d AS (SELECT coalesce((SELECT best FROM u WHERE "round" - best >= 2 ORDER BY "round" LIMIT 1),
+            (SELECT best FROM u ORDER BY "round" DESC LIMIT 1)) AS best)
+        SELECT u."round", u.error, u."round" = d.best AS chosen FROM u, d""",
+    "boosted_fold_metrics": f"""
+        WITH {_stumps(f"SELECT g, o.*, o.fold <> g AS train FROM ({GRADED}) AS o, (SELECT unnest(range(5)) AS g)", 6)},
+        f AS (SELECT fold, y, CAST(m > 0 AS INTEGER) AS y_pred, m AS scores FROM g6 WHERE NOT train),
+        {FOLD_METRICS}""",
+    "dictionary_places": """
+        SELECT 0 AS position, 'c_acctbal' AS name
+        UNION ALL SELECT CAST(row_number() OVER (ORDER BY v) AS INTEGER), 'c_mktsegment_' || v
+        FROM (SELECT DISTINCT c_mktsegment AS v FROM customer WHERE c_mktsegment IS NOT NULL)
+        UNION ALL SELECT CAST(row_number() OVER (ORDER BY v)
+          + (SELECT count(DISTINCT c_mktsegment) FROM customer) AS INTEGER), 'c_name_' || v
+        FROM (SELECT DISTINCT c_name AS v FROM customer WHERE c_name IS NOT NULL)""",
+    "dictionary_vectors": """
+        WITH k AS (SELECT * FROM part WHERE p_partkey % 20 < 3),
+        b AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM (SELECT DISTINCT p_brand AS v FROM k)),
+        t AS (SELECT v, row_number() OVER (ORDER BY v) + (SELECT count(*) FROM b) AS i
+              FROM (SELECT DISTINCT p_type AS v FROM k))
+        SELECT p_partkey, CAST(p_size AS DOUBLE) AS "first",
+          CAST(1 + (SELECT count(*) FROM b) + (SELECT count(*) FROM t) AS INTEGER) AS width,
+          concat_ws(',', CAST(b.i AS VARCHAR), CAST(t.i AS VARCHAR)) AS places
+        FROM part LEFT JOIN b ON p_brand = b.v LEFT JOIN t ON p_type = t.v""",
+    "geo_clusters": GEO_CLUSTERS,
+    "running_hits_all": """
+        SELECT row_number() OVER w AS "rank",
+          CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END)
+            OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative_hits,
+          o_totalprice, o_orderkey
+        FROM orders WINDOW w AS (ORDER BY o_totalprice DESC, o_orderkey)""",
+    "csv_inferred_types": """
+        SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size,
+          p_retailprice, NULL::DOUBLE AS nothing, p_partkey % 2 = 0 AS even,
+          CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE 'true' END AS mixed,
+          CASE WHEN p_partkey = 77 THEN 'n77' ELSE CAST(p_partkey AS VARCHAR) END AS late,
+          CAST(p_partkey AS DOUBLE) / 2 AS halves,
+          CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_partkey AS BIGINT) END AS gaps
+        FROM part""",
+    "civic_properties": f"""
+        WITH p AS (SELECT upper(CAST(c_custkey AS VARCHAR) || 'mainst') AS "ADDRESS",
+          CASE WHEN c_custkey % 10 = 7 THEN 'n/a' ELSE CAST(c_custkey % 17 + 1985 AS VARCHAR) END AS "YEARBUILT",
+          CAST({LAT} AS DOUBLE) AS "LAT", CAST({LON} AS DOUBLE) AS "LON", CAST(c_nationkey AS BIGINT) AS "ZONE",
+          c_acctbal AS "TAX", c_mktsegment AS "SEGMENT" FROM customer)
+        SELECT *, 'csv' AS fmt FROM p UNION ALL SELECT *, 'parquet' FROM p""",
     "csv_text_round_trip": """
         SELECT doc_id, '"a", ""b""' || chr(10) || text AS text, lang FROM documents""",
     "csv_mixed_headers": "SELECT c_custkey, c_name, c_acctbal FROM customer",

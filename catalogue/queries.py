@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,7 @@ from kerbstone.plans.panel import as_of_panel
 from kerbstone.plans.snapshot import addressed, as_of_table, feature_table
 from kerbstone.session import scratch_path, settle
 from kerbstone.sources import tables
+from kerbstone.sources.civic import read_civic
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -394,6 +396,14 @@ def running_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.running_hits(_scored(spark, sf_dir), "scores", "doc_id", F.col("y") == 1, 20)
 
 
+@query
+def running_hits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders ranked by price, with the number of urgent ones so far."""
+    orders = si.table(spark, sf_dir, "orders")
+    urgent = F.col("o_orderpriority") == si.URGENT
+    return ranking.running_hits(orders, "o_totalprice", "o_orderkey", urgent, None)
+
+
 @query
 def hits_in_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = (F.col("y") == 1) & (F.col("y_pred") == 1)
@@ -536,9 +546,10 @@ def recall_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiled = profiles.profile(si.table(spark, sf_dir, "orders"), exact=True)
-    return profiled.drop("quantiles").withColumns(
-        {name: F.round(name, 4) for name in ("mean", "stddev")}
-    )
+    shares = {f"q{round(100 * q):02}": F.round(F.get("quantiles", F.lit(i)), 4) for i, q in enumerate(profiles.QUANTILES)}
+    return profiled.withColumns(
+        {name: F.round(name, 4) for name in ("mean", "stddev")} | shares
+    ).drop("quantiles")
 
 
 @query
@@ -593,6 +604,49 @@ def csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_csv(spark, path, customers.schema)
 
 
+@query
+def csv_inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts from CSV without a schema: a column without values, a mixed one, and one that is a number
+    in all rows but one."""
+    part = si.table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    written = part.withColumns(
+        {
+            "nothing": F.lit(None).cast("string"),
+            "even": key % 2 == 0,
+            "mixed": F.when(key % 2 == 0, key.cast("string")).otherwise("true"),
+            "late": F.when(key == 77, F.lit("n77")).otherwise(key.cast("string")),
+            "halves": (key / 2).cast("double"),
+            "gaps": F.when(key % 3 == 0, F.lit("NA")).otherwise(key.cast("string")),
+        }
+    )
+    path = scratch_path(spark, "parts-csv")
+    tables.write_table(written, path, "csv")
+    return tables.read_csv(spark, path)
+
+
+@query
+def civic_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a file of properties with further columns, read as the civic tables are."""
+    read = []
+    for fmt in ("csv", "parquet"):
+        folder = scratch_path(spark, f"civic-{fmt}")
+        key = F.col("c_custkey")
+        rows = si.table(spark, sf_dir, "customer").select(
+            F.concat(key.cast("string"), F.lit(" main st")).alias("ADDRESS"),
+            si.built_text(key).alias("YEARBUILT"),
+            si.lat_of(key).alias("LAT"),
+            si.lon_of(key).alias("LON"),
+            F.col("c_nationkey").cast("long").alias("ZONE"),
+            F.col("c_acctbal").alias("TAX"),
+            F.col("c_mktsegment").alias("SEGMENT"),
+        )
+        tables.write_table(rows, f"{folder}/properties.{fmt}", fmt)
+        back = read_civic(spark, folder, fmt, only=["properties"])["properties"]
+        read.append(columns.with_flag(back.drop("_ord"), "fmt", fmt))
+    return read[0].unionByName(read[1])
+
+
 # Models ----------------------------------------------------------------------
 
 # The package's own depth and most rounds; training stops when held-out rows gain no more.
@@ -639,7 +693,7 @@ def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics per fold of the documents' rule score."""
     folded = split.mark_folds(_scored(spark, sf_dir), "doc_id", "y")
-    metrics = evaluate.fold_metrics(settle(folded), split.FOLDS)
+    metrics = evaluate.fold_metrics(settle(folded))
     return metrics.select(
         "fold", *[F.round(n, 6).alias(n) for n in ("recall", "precision", "roc_auc")]
     )
@@ -683,7 +737,7 @@ def iteration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def best_round_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rounds found by watching the held-out folds: at least one, and fewer than allowed."""
+    """Rounds found by cross-validation: at least one, and fewer than allowed."""
     folded, inputs = _folded(spark, sf_dir)
     rounds = model.cross_validated_rounds(folded, inputs, "Incident")
     found = spark.createDataFrame([(rounds,)], "rounds int")
@@ -693,6 +747,76 @@ def best_round_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A model small enough to be trained in SQL as well: its twins work out the trees, scores, errors and
+# metrics from the table alone.
+STUMPS = model.Boosting(rounds=6, depth=1)
+STUMP_INPUTS = encode.Inputs(("prio", "month", "fifth"))
+
+
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prio, month = F.substring("o_orderpriority", 1, 1).cast("int"), F.month("o_orderdate")
+    fifth, noise = F.col("o_custkey") % 5, F.col("o_orderkey") % 7
+    return si.table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        prio.cast("double").alias("prio"),
+        month.cast("double").alias("month"),
+        fifth.cast("double").alias("fifth"),
+        (2 * prio + month + 3 * fifth + noise > 22).cast("int").alias("y"),
+        (F.col("o_orderkey") % 5).cast("int").alias("fold"),
+    )
+
+
+@query
+def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = settle(_graded(spark, sf_dir))
+    fitted = model.fit(rows, STUMP_INPUTS, "y", STUMPS)
+    return model.score(fitted, rows).select("o_orderkey", F.round("scores", 6).alias("scores"), "y_pred")
+
+
+@query
+def boosted_round_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of each round on rows held out, and the round that two rounds without gain lead back to."""
+    rows = settle(_graded(spark, sf_dir))
+    fitted = model.fit(rows.filter("fold <> 0"), STUMP_INPUTS, "y", STUMPS.with_rounds(10))
+    errors = model.error_per_round(fitted, rows.filter("fold = 0"), "y")
+    return model.chosen_round(errors, patience=2).withColumn("error", F.round("error", 9))
+
+
+@query
+def boosted_fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, precision and area under the curve of models trained on the other folds."""
+    rows = settle(_graded(spark, sf_dir), ["fold"])
+    scored = settle(model.out_of_fold(rows, STUMP_INPUTS, "y", boosting=STUMPS))
+    metrics = evaluate.fold_metrics(scored)
+    return metrics.select(
+        "fold", *[F.round(n, 6).alias(n) for n in ("recall", "precision", "roc_auc")]
+    )
+
+
+@query
+def dictionary_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the feature vector of a number, a column of few and one of very many values."""
+    customers = si.table(spark, sf_dir, "customer")
+    known = [encode.dictionary(customers, c) for c in ("c_mktsegment", "c_name")]
+    return encode.place_names(spark, ["c_acctbal"], known)
+
+
+@query
+def dictionary_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with the vector of their size, brand and type; brands are known from a part of the table."""
+    part = si.table(spark, sf_dir, "part")
+    known = [encode.dictionary(part.filter("p_partkey % 20 < 3"), c) for c in ("p_brand", "p_type")]
+    encoded = encode.vectors(part, ["p_size"], known)
+    values = vector_to_array(F.col(encode.FEATURES))
+    set_ = F.filter(F.sequence(F.lit(1), F.size(values) - 1), lambda i: F.get(values, i) == 1.0)
+    return encoded.select(
+        "p_partkey",
+        F.get(values, F.lit(0)).alias("first"),
+        F.size(values).alias("width"),
+        F.array_join(set_.cast("array<string>"), ",").alias("places"),
+    )
+
+
 @query
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted, train, _, inputs = _held_out(spark, sf_dir)
@@ -732,4 +856,4 @@ def scored_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def geo_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.with_clusters(reports.clean_locations(_locations(spark, sf_dir)))
+    return reports.with_clusters(reports.clean_locations(_locations(spark, sf_dir)), rounds=12)
