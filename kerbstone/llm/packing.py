@@ -20,6 +20,7 @@ their own. No documents give no pieces. Null ids are kept. Other columns are ign
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
@@ -40,119 +41,132 @@ GROUPS = 1024
 # --- tokenizing -----------------------------------------------------------------------------
 
 
+# Words of ASCII or further Latin letters, of bounded length, with a stop or comma or without. Lower
+# case changes none of these letters into another kind, but for the dotted capital I.
+_ASCII = r"^[A-Za-z]{1,64}[.,]?$"
+_LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,64}[.,]?$"
+
+
+def _spans(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _gathered(ids: np.ndarray, starts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the given places in a row, and where each begins, and the end."""
+    lengths = np.diff(starts)[places]
+    ends = _spans(lengths)
+    return ids[np.repeat(starts[places] - ends[:-1], lengths) + np.arange(ends[-1])], ends
+
+
 class WordTokens:
-    """Ids of white-space separated chunks, remembered up to a bound.
+    """Ids of white-space separated chunks, remembered up to a bound in bytes.
 
     Only for tokenizers that drop white space and never join across it: then the ids of a text are
     those of its chunks in a row. Letters followed by one stop or comma are two tokens' worth on
-    either side, so ``word``, ``Word,`` and ``word.`` share one encoding.
+    either side, so ``word``, ``Word,`` and ``word.`` share one encoding. What is remembered lies in Arrow and numpy
+    arrays, some 30 bytes a word, and is looked up a slice at a time.
     """
 
-    MOST_CHUNKS = 500_000
-    MOST_CHARS = 32_000_000
+    MOST_BYTES = 24_000_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.whole = Tokenizer.from_file(path)
+        # Lower-case ASCII letters pass the normalizer and the splitting of words as they are.
+        self.plain = Tokenizer(self.whole.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        for token, place in self.whole.get_vocab().items():
+            self.ends[place] = token.endswith("</w>")
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.chars = 0
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, "<u4")
-        self.used = 0
-        for mark in ".,":
-            self._add([mark], *self._encoded([mark]))
-
-    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.known = pa.array(["", ".", ","])
+        ids, lengths = self._chunk_ids(["", ".", ","])
+        self.ids, self.starts = ids, _spans(lengths)
+
+    def _chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each chunk has."""
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        ids = [np.array(f.ids, "<u4") for f in found]
-        return np.concatenate(ids), np.array([len(i) for i in ids], np.int64)
-
-    def _words_encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words of letters, which the tokenizer takes as one unit each: then
-        many go in one text."""
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        lengths = np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
-        if len(lengths) != len(words) or not lengths.all():
+        return self._few_at_once(self.whole, chunks, 2000)
+
+    @staticmethod
+    def _few_at_once(tokenizer, texts: list[str], few: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, whose full encodings are much larger than their ids."""
+        parts, lengths = [np.empty(0, "<u4")], []
+        for k in range(0, len(texts), few):
+            found = [f.ids for f in tokenizer.encode_batch_fast(texts[k : k + few], add_special_tokens=False)]
+            lengths += map(len, found)
+            parts.append(np.fromiter(itertools.chain.from_iterable(found), "<u4", sum(map(len, found))))
+        return np.concatenate(parts), np.array(lengths, np.int64)
+
+    def _word_ids(self, words: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, many of which go in one text: each is one unit to the
+        tokenizer, and the last token of a unit is marked."""
+        texts = [" ".join(words.slice(k, 500).to_pylist()) for k in range(0, len(words), 500)]
+        ids, _ = self._few_at_once(tokenizer, texts, 8)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words) or (len(ids) and last[-1] != len(ids) - 1):
             raise ValueError("a word is more than one unit to the tokenizer")
-        return np.array(found.ids, "<u4"), lengths
-
-    def _add(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        first = len(self.known)
-        while first + len(chunks) > len(self.starts):
-            self.starts, self.lengths = np.tile(self.starts, 2), np.tile(self.lengths, 2)
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
-        self.ids[self.used : self.used + len(ids)] = ids
-        at = slice(first, first + len(chunks))
-        self.starts[at] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[at] = lengths
-        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
-        self.used += len(ids)
-        self.chars += sum(map(len, chunks))
-
-    def _gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of known chunks in a row, and where each begins, and the end."""
-        lengths = self.lengths[places]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        source = np.repeat(self.starts[places] - ends[:-1], lengths) + np.arange(ends[-1])
-        return self.ids[source], ends
-
-    def learn(self, chunks: list[str]) -> None:
-        """Take in chunks that are unknown, each once."""
-        known, other, words, marks, marked = self.known, [], {}, [], []
-        for chunk in chunks:
-            mark = chunk[-1] if chunk[-1] in ".," else ""
-            word = chunk[:-1] if mark else chunk
-            if word.isascii():
-                word = word.lower()
-                latin = True
-            else:
-                # Latin letters have no other normal form and stay letters in lower case, but for one.
-                latin = max(word) < "ɐ" and "İ" not in word
-            if latin and len(word) <= 64 and word.isalpha():
-                words[word] = None
-                if word != chunk:
-                    marked.append((chunk, word))
-                    marks.append(mark)
-            else:
-                other.append(chunk)
-        fresh = [word for word in words if word not in known]
-        for k in range(0, len(fresh), 2000):
-            self._add(fresh[k : k + 2000], *self._words_encoded(fresh[k : k + 2000]))
-        if other:
-            self._add(other, *self._encoded(other))
-        if marked:
-            places = np.empty(2 * len(marked), np.int64)
-            places[::2] = [known[word] for _, word in marked]
-            places[1::2] = [known[mark] for mark in marks]
-            ids, ends = self._gathered(places)
-            self._add([chunk for chunk, _ in marked], ids, np.diff(ends[::2]))
+        return ids, np.diff(last, prepend=-1)
+
+    def learn(self, units: pa.Array) -> None:
+        """Take in units that are unknown, each once."""
+        ascii_, latin = pc.match_substring_regex(units, _ASCII), pc.match_substring_regex(units, _LATIN)
+        kinds = (
+            (ascii_, lambda words: self._word_ids(words, self.plain)),
+            (pc.and_not(latin, ascii_), lambda words: self._word_ids(words, self.whole)),
+            (pc.invert(latin), lambda chunks: self._chunk_ids(chunks.to_pylist())),
+        )
+        names, ids, lengths = [self.known], [self.ids], [np.diff(self.starts)]
+        for chosen, encode in kinds:
+            part = units.filter(chosen)
+            if len(part):
+                new, sizes = encode(part)
+                names.append(part)
+                ids.append(new)
+                lengths.append(sizes)
+        self.known, self.ids = pa.concat_arrays(names), np.concatenate(ids)
+        self.starts = _spans(np.concatenate(lengths))
+
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different chunks in a row, and where each begins, and the end."""
+        word = pc.match_substring_regex(chunks, _LATIN)
+        marked = pc.and_(word, pc.match_substring_regex(chunks, "[.,]$"))
+        lower = pc.utf8_rtrim(pc.utf8_lower(chunks), ".,")
+        units = pc.if_else(word, lower, chunks).dictionary_encode()
+        if self.known.nbytes + self.ids.nbytes > self.MOST_BYTES:
+            self.forget()
+        fresh = units.dictionary.filter(pc.invert(pc.is_in(units.dictionary, value_set=self.known)))
+        if len(fresh):
+            self.learn(fresh)
+        place = pc.index_in(units.dictionary, value_set=self.known).to_numpy()
+        unit = place[units.indices.to_numpy()].astype(np.int64)
+        with_mark = marked.to_numpy(zero_copy_only=False)
+        # The stop and the comma are remembered at places 1 and 2.
+        comma = pc.ends_with(chunks.filter(marked), ",").to_numpy(zero_copy_only=False)
+        starts = _spans(1 + with_mark.astype(np.int64))
+        parts = np.empty(starts[-1], np.int64)
+        parts[starts[:-1]] = unit
+        parts[starts[1:][with_mark] - 1] = 1 + comma
+        ids, ends = _gathered(self.ids, self.starts, parts)
+        return ids, ends[starts]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids begin and end."""
-        if len(self.known) > self.MOST_CHUNKS or self.chars > self.MOST_CHARS:
-            self.forget()
         chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         bounds = chunks.offsets.to_numpy()
         words = chunks.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        unknown = [w for w in distinct if w not in self.known]
-        if unknown:
-            self.learn(unknown)
-        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        ids, ends = self._gathered(place[words.indices.to_numpy()])
+        ids, starts = self._distinct(words.dictionary)
+        ids, ends = _gathered(ids, starts, words.indices.to_numpy())
         return ids, ends[bounds - bounds[0]]
 
 
 _TOKENIZERS: dict[str, WordTokens] = {}
 
 
-def _slices(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, chars: int = 1_200_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded amount of text, one text at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
     begin = 0

@@ -41,6 +41,29 @@ def test_remembered_chunks_change_no_id(tokenizer):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == wanted
 
 
+def test_every_character_gets_its_ids(tokenizer):
+    """Each code point below U+3000 on its own, inside a word and before a comma, as chunks of one text."""
+    words = packing.WordTokens(tokenizer_path())
+    points = [chr(c) for c in range(0x21, 0x3000) if not (chr(c).isspace() or 0xD800 <= c < 0xE000)]
+    texts = [f"{c} a{c}b Q{c}, {c}." for c in points]
+    ids, bounds = words.encode(pa.array(texts))
+    wanted = tokenizer.encode_batch(texts, add_special_tokens=False)
+    for i, w in enumerate(wanted):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == w.ids, texts[i]
+
+
+def test_memory_is_bounded_in_bytes(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing.WordTokens, "MOST_BYTES", 20_000)
+    words = packing.WordTokens(tokenizer_path())
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzäéß"
+    for _ in range(30):
+        text = " ".join("".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(500))
+        ids, _ = words.encode(pa.array([text]))
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(words.known) <= 2000
+
+
 def check_plan(counts, capacity, **options):
     rows = packing.plan(counts, capacity, **options)
     bins, used = defaultdict(list), Counter()
