@@ -1,10 +1,11 @@
 """URL verdicts from mined association rules and from a fixed rule list.
 
-URLs of labelled pages become sets of tokens plus their class. FP-growth mines the frequent
-combinations; of the rules "tokens -> block" those with enough support and confidence are kept
-unless a part of their tokens alone is as sure. A page is tested against the rules by an inverted
-index: each rule is filed under its rarest token, only rules filed under one of the page's tokens
-are candidates, and a candidate holds when all its tokens occur.
+URLs of labelled pages become sets of tokens plus their class. Tokens that stand in the same labelled pages are one item, so a
+template of many words in each URL doesn't unfold into all their combinations. FP-growth mines the frequent
+combinations of items; of the rules "items -> block" those with enough support, confidence and odds are kept
+unless a part of their items alone is as sure. An item occurs where any of its tokens does. A page is tested against the rules by an inverted
+index: each rule is filed under its rarest item, only rules filed under one of the page's items
+are candidates, and a candidate holds when all its items occur.
 
 Defined results: a null url, or one without ``://``, has empty host and path, matches no list rule, and
 takes the verdict of whatever tokens remain (none: allow). Repeated rows are judged alike, one result
@@ -15,6 +16,7 @@ decides. Columns beyond those read are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -44,13 +46,14 @@ class ListRule:
 @dataclass(frozen=True)
 class Mining:
     """``support``: share of labelled pages that hold the combination with the class, and
-    ``pages``: their least number, whatever the share. ``confidence``: share of bad ones among labelled pages with the tokens. ``lift`` guards
-    against rules that only repeat a high share of bad pages."""
+    ``pages``: their least number, whatever the share. ``confidence``: share of bad ones among labelled pages with the tokens. ``odds``: least ratio of
+    their odds to be bad to those of the other pages; it guards against rules that only repeat a high share of bad pages, and can
+    be reached whatever that share is."""
 
     support: float = 0.002
     pages: int = 10
     confidence: float = 0.5
-    lift: float = 1.5
+    odds: float = 2.0
 
 
 def host_of(url: Column) -> Column:
@@ -92,33 +95,79 @@ def list_rule(host: Column, path: Column, rules: Sequence[ListRule]) -> Column:
     return F.array_max(F.array(*[fitting(r) for r in rules]))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> DataFrame:
-    """(tokens, key, confidence, support) of the pruned block rules; ``key`` is a rule's
-    rarest token. At most as many rows as frequent combinations."""
+@dataclass(frozen=True)
+class Mined:
+    """``rules``: (tokens, key, confidence, support) of the pruned block rules, on the heads of items; ``key``
+    is a rule's rarest one. ``items``: (token, head) of all frequent tokens."""
+
+    rules: DataFrame
+    items: DataFrame
+
+
+def items_of(baskets: DataFrame, least: int) -> DataFrame:
+    """(token, head): tokens of ``least`` baskets (_row, _t) or more; those of the same baskets share a head.
+
+    Equal sets of baskets have equal sums of two hashes of their rows, added up before the shuffle.
+    """
+    sums = [F.sum(F.xxhash64("_row", F.lit(seed)).cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    counted = (
+        baskets.select("_row", F.explode("_t").alias("token"))
+        .groupBy("token")
+        .agg(F.count(F.lit(1)).alias("n"), *sums)
+        .filter(F.col("n") >= least)
+    )
+    alike = ["n", "s1", "s2"]
+    heads = counted.groupBy(*alike).agg(F.min("token").alias("head"))
+    return settled(counted.join(heads, alike).select("token", "head"), "url-items")
+
+
+def odds_ratio(bad: Column, good: Column, all_bad: Column, all_good: Column) -> Column:
+    """Odds to be bad with the tokens against those without, each count half a page higher."""
+    with_tokens = (bad + 0.5) / (good + 0.5)
+    return with_tokens / ((all_bad - bad + 0.5) / (all_good - good + 0.5))
+
+
+def mine_rules(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> Mined:
+    """Rules from the labelled pages; at most as many as frequent combinations of items."""
+    spark = pages.sparkSession
     marks = labels.groupBy(F.col("doc_id").alias("_id")).agg(
         F.max((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias(
             "bad"
         )
     )
     labelled = pages.select(F.col("page_id").alias("_id"), url_tokens(F.col("url")).alias("_t"))
-    classed = labelled.join(marks, "_id").select(
-        F.array_append("_t", F.when(F.col("bad"), BLOCK).otherwise(ALLOW)).alias("items")
+    rows = labelled.join(marks, "_id").select(F.monotonically_increasing_id().alias("_row"), "_t", "bad")
+    rows = settled(rows, "url-baskets")
+    n, bad = rows.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    if n == 0:
+        schema = "tokens array<string>, key string, confidence double, support double"
+        none = spark.createDataFrame([], "token string, head string")
+        return Mined(spark.createDataFrame([], schema), none)
+    support = min(1.0, max(mining.support, mining.pages / n))
+    items = items_of(rows, math.ceil(support * n))
+    heads = (
+        rows.select("_row", F.explode("_t").alias("token"))
+        .join(items, "token")
+        .groupBy("_row")
+        .agg(F.collect_set("head").alias("heads"))
+    )
+    known = F.coalesce("heads", F.array().cast("array<string>"))
+    classed = rows.join(heads, "_row", "left").select(
+        F.array_append(known, F.when(F.col("bad"), BLOCK).otherwise(ALLOW)).alias("items")
     )
-    baskets = settled(classed, "url-baskets")
-    schema = "tokens array<string>, key string, confidence double, support double"
-    labelled_pages = baskets.count()
-    if labelled_pages == 0:
-        return pages.sparkSession.createDataFrame([], schema)
-    support = min(1.0, max(mining.support, mining.pages / labelled_pages))
+    baskets = settled(classed, "url-items-of-pages")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=mining.confidence).fit(
         baskets
     )
     single = model.freqItemsets.filter(F.size("items") == 1)
     rarity = single.select(F.col("items")[0].alias("token"), "freq")
+    hits = F.round(F.col("support") * n)
+    misses = F.round(F.col("support") * n / F.col("confidence")) - hits
+    odds = odds_ratio(hits, misses, F.lit(float(bad)), F.lit(float(n - bad)))
     rules = settled(
         model.associationRules.filter(
             (F.col("consequent")[0] == BLOCK)
-            & (F.col("lift") >= mining.lift)
+            & (odds >= mining.odds)
             & ~F.array_contains("antecedent", ALLOW)
         ).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"),
         "url-rules",
@@ -145,20 +194,26 @@ def mine_rules(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -
         )
         .select("tokens")
     )
-    return settled(keyed.join(needless, "tokens", "left_anti"), "url-index")
+    return Mined(settled(keyed.join(needless, "tokens", "left_anti"), "url-index"), items)
 
 
-def blocked_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def blocked_urls(pages: DataFrame, mined: Mined) -> DataFrame:
     """Distinct urls that some mined rule blocks, with the confidence of the surest."""
+    held = mined.rules.select(F.explode("tokens").alias("head")).distinct()
+    # Only items that stand in a rule are looked for.
+    items = mined.items.join(held, "head", "left_semi")
     tokens = (
         pages.filter(F.col("url").isNotNull())
         .select("url")
         .distinct()
-        .withColumn("_t", url_tokens(F.col("url")))
+        .select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
+        .join(items, "token")
+        .groupBy("url")
+        .agg(F.collect_set("head").alias("_t"))
         .select("url", "_t", F.explode("_t").alias("key"))
     )
-    held = tokens.join(rules, "key").filter(F.size(F.array_except("tokens", "_t")) == 0)
-    return held.groupBy("url").agg(F.max("confidence").alias("confidence"))
+    found = tokens.join(mined.rules, "key").filter(F.size(F.array_except("tokens", "_t")) == 0)
+    return found.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def judge(

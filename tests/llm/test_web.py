@@ -1,5 +1,6 @@
 """URL filter and HTML extraction."""
 
+import time
 from itertools import combinations, product
 
 import pytest
@@ -70,7 +71,7 @@ def test_no_pages(spark):
 
 
 def test_mined_rules_against_brute_force(spark):
-    mining = url_filter.Mining(support=0.02, pages=3, confidence=0.6, lift=1.2)
+    mining = url_filter.Mining(support=0.02, pages=3, confidence=0.6, odds=1.5)
     rows, marks = [], []
     for i, (a, b, c) in enumerate(product("abcd", "pqr", range(8))):
         rows.append((i, f"http://{a}.site/{b}/{c % 3}"))
@@ -88,7 +89,12 @@ def test_mined_rules_against_brute_force(spark):
     bad = {i for i, quality, toxic in marks if toxic == 1 or quality == 0}
     held = [(tokens(u), i in bad) for i, u in rows]
     least = max(mining.support, mining.pages / len(held))
-    share = sum(b for _, b in held) / len(held)
+    all_bad = sum(b for _, b in held)
+
+    def odds(hits, misses):
+        without = (all_bad - hits + 0.5) / (len(held) - all_bad - misses + 0.5)
+        return (hits + 0.5) / (misses + 0.5) / without
+
     rules = []
     every = sorted(set().union(*(t for t, _ in held)))
     for n in (1, 2, 3, 4):
@@ -96,7 +102,7 @@ def test_mined_rules_against_brute_force(spark):
             both = [b for t, b in held if part <= t]
             if sum(both) / len(held) >= least:
                 sure = sum(both) / len(both)
-                if sure >= mining.confidence and sure / share >= mining.lift:
+                if sure >= mining.confidence and odds(sum(both), len(both) - sum(both)) >= mining.odds:
                     rules.append((part, sure))
     assert rules
     for r in found:
@@ -106,6 +112,31 @@ def test_mined_rules_against_brute_force(spark):
         assert r.confidence == (pytest.approx(max(sure)) if sure else None)
 
 
+def blocked(found):
+    return {r.page_id for r in found.collect() if r.verdict == "block"}
+
+
+def test_long_urls_of_one_template(spark):
+    """Thirty tokens in each URL, most of them in all: few items, so few combinations."""
+    path = "/".join(f"word{i}" for i in range(24))
+    rows = [(i, f"http://www.long.example/{path}/s{i % 4}?a=1&b=2") for i in range(1000)]
+    marks = [(i, 1, int(i % 4 == 1)) for i in range(1000)]
+    started = time.perf_counter()
+    mined = url_filter.mine_rules(pages(spark, rows), labels(spark, marks))
+    assert [r.tokens for r in mined.rules.collect()] == [["path:s1"]]
+    assert mined.items.select("head").distinct().count() == 5
+    assert blocked(url_filter.judge(pages(spark, rows), labels(spark, marks))) == set(range(1, 1000, 4))
+    assert time.perf_counter() - started < 120
+
+
+def test_a_bad_host_is_learned_at_any_share_of_bad_pages(spark):
+    for share in (0.1, 0.8):
+        rows = [(i, f"http://h{i % 40}.example/p{i % 7}") for i in range(2000)]
+        marks = [(i, 1, int(i % 40 == 5 or (i // 40 * 37 + i * 11) % 100 < 100 * share)) for i in range(2000)]
+        found = blocked(url_filter.judge(pages(spark, rows), labels(spark, marks)))
+        assert {i for i in range(2000) if i % 40 == 5} <= found
+
+
 # --- HTML -----------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style>
