@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements and words in class, id and role that tell what a part of a page is for.
-BOILER_TAGS = frozenset("nav footer aside form menu button select dialog noscript".split())
+BOILER_TAGS = frozenset("nav footer aside menu button select dialog noscript".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar"
@@ -35,7 +35,12 @@ BOILER_WORDS = frozenset(
     " social related recommended newsletter subscribe signup login search widget pagination pager".split()
 )
 CONTENT_WORDS = frozenset("article content story post entry".split())
-KNOWN_WORDS = BOILER_WORDS | CONTENT_WORDS
+CONTENT_HEADS = CONTENT_WORDS | frozenset("body text".split())
+# Names with these tell how a page is laid out or what state it is in, not what the element holds.
+LAYOUT_WORDS = frozenset(
+    "has have no not with without is open closed enabled disabled wrap wrapper container outer inner layout grid"
+    " row col column columns theme page site results".split()
+)
 HEADER = "header"
 HEADER_NAMES = frozenset("header site-header page-header".split())
 # Names here tell of the whole page's layout.
@@ -68,6 +73,7 @@ class Block:
     content: bool
     container: int
     outer: int
+    form: int = 0
 
 
 @dataclass
@@ -78,28 +84,39 @@ class _Open:
     container: int
     outer: int
     nearest: str
+    form: int = 0  # number of the outermost form around, if any
+
 
+def named_kind(token: str) -> bool | None:
+    """What a name says of its element: boilerplate (False), content (True) or nothing.
 
-def _names_boilerplate(token: str) -> bool:
+    The last word of a compound is what the thing is, earlier ones what it belongs to: ``article-comments``
+    are comments, and ``related-posts``, with a head of no meaning here, is told by its first word.
+    """
     parts = _WORD.findall(token)
-    return bool(parts) and parts[0] in BOILER_WORDS and KNOWN_WORDS.issuperset(parts)
+    if not parts:
+        return None
+    if parts[-1] in CONTENT_WORDS or (parts[0] in CONTENT_WORDS and parts[-1] in CONTENT_HEADS):
+        return True
+    if not LAYOUT_WORDS.isdisjoint(parts):
+        return None
+    return False if parts[-1] in BOILER_WORDS or parts[0] in BOILER_WORDS else None
 
 
 def _opened(tag: str, attributes: str, above: _Open, number: int) -> _Open:
-    tokens, words = set(), set()
+    tokens: set[str] = set()
     if "=" in attributes and tag not in ROOT_TAGS:
         for found in _NAMES.findall(attributes):
             tokens.update("".join(found).lower().split())
-        words.update(w for token in tokens for w in _WORD.findall(token))
+    kinds = {named_kind(t) for t in tokens}
     header = (tag == HEADER or not HEADER_NAMES.isdisjoint(tokens)) and not above.content
-    # A wrapper that only names a boilerplate part, such as has-sidebar, is none itself.
-    named = not words.isdisjoint(BOILER_WORDS) and any(_names_boilerplate(t) for t in tokens)
     inherited = above.boiler and tag not in CONTENT_TAGS
-    boiler = inherited or header or tag in BOILER_TAGS or named
-    content = above.content or tag in CONTENT_TAGS or not words.isdisjoint(CONTENT_WORDS)
+    boiler = inherited or header or tag in BOILER_TAGS or False in kinds
+    content = above.content or tag in CONTENT_TAGS or True in kinds
+    form = number if tag == "form" and not above.form else above.form
     if tag in INLINE_TAGS:
-        return _Open(tag, boiler, content, above.container, above.outer, above.nearest)
-    return _Open(tag, boiler, content, number, above.container, tag)
+        return _Open(tag, boiler, content, above.container, above.outer, above.nearest, form)
+    return _Open(tag, boiler, content, number, above.container, tag, form)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -118,7 +135,7 @@ def blocks_of(page: str) -> list[Block]:
             blocks.append(
                 Block(
                     text, min(linked, len(text)), top.nearest, top.boiler, top.content,
-                    top.container, top.outer,
+                    top.container, top.outer, top.form,
                 )
             )
         parts.clear()
@@ -184,6 +201,17 @@ def blocks_of(page: str) -> list[Block]:
         depth[tag] += 1
         links += tag == "a"
     flush()
+    return _with_forms(blocks)
+
+
+def _with_forms(blocks: list[Block]) -> list[Block]:
+    """Mark what stands in forms, but for a form that holds most of the page's text: it only wraps the page."""
+    held: Counter[int] = Counter()
+    for block in blocks:
+        held[block.form] += len(block.text)
+    for block in blocks:
+        if block.form and 2 * held[block.form] <= held.total():
+            block.boiler = True
     return blocks
 
 
