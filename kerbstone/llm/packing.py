@@ -21,6 +21,7 @@ their own. No documents give no pieces. Null ids are kept. Other columns are ign
 from __future__ import annotations
 
 import itertools
+import os
 import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
@@ -67,9 +68,11 @@ class WordTokens:
     arrays, some 30 bytes a word, and is looked up a slice at a time.
     """
 
-    MOST_BYTES = 24_000_000
+    MOST_BYTES = 12_000_000
 
     def __init__(self, path: str) -> None:
+        # A task has one core; threads of the library would spin beside it.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
@@ -111,8 +114,8 @@ class WordTokens:
             raise ValueError("a word is more than one unit to the tokenizer")
         return ids, np.diff(last, prepend=-1)
 
-    def learn(self, units: pa.Array) -> None:
-        """Take in units that are unknown, each once."""
+    def learn(self, units: pa.Array) -> pa.Array:
+        """Take in units that are unknown, each once; returns them in the order of their places."""
         ascii_, latin = pc.match_substring_regex(units, _ASCII), pc.match_substring_regex(units, _LATIN)
         kinds = (
             (ascii_, lambda words: self._word_ids(words, self.plain)),
@@ -129,6 +132,7 @@ class WordTokens:
                 lengths.append(sizes)
         self.known, self.ids = pa.concat_arrays(names), np.concatenate(ids)
         self.starts = _spans(np.concatenate(lengths))
+        return pa.concat_arrays(names[1:])
 
     def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of different chunks in a row, and where each begins, and the end."""
@@ -138,11 +142,13 @@ class WordTokens:
         units = pc.if_else(word, lower, chunks).dictionary_encode()
         if self.known.nbytes + self.ids.nbytes > self.MOST_BYTES:
             self.forget()
-        fresh = units.dictionary.filter(pc.invert(pc.is_in(units.dictionary, value_set=self.known)))
+        found = pc.index_in(units.dictionary, value_set=self.known)
+        place = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        fresh = units.dictionary.filter(pc.is_null(found))
         if len(fresh):
-            self.learn(fresh)
-        place = pc.index_in(units.dictionary, value_set=self.known).to_numpy()
-        unit = place[units.indices.to_numpy()].astype(np.int64)
+            first = len(self.known)
+            place[place < 0] = first + pc.index_in(fresh, value_set=self.learn(fresh)).to_numpy()
+        unit = place[units.indices.to_numpy()]
         with_mark = marked.to_numpy(zero_copy_only=False)
         # The stop and the comma are remembered at places 1 and 2.
         comma = pc.ends_with(chunks.filter(marked), ",").to_numpy(zero_copy_only=False)
@@ -166,7 +172,7 @@ class WordTokens:
 _TOKENIZERS: dict[str, WordTokens] = {}
 
 
-def _slices(batch: pa.RecordBatch, chars: int = 1_200_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded amount of text, one text at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
     begin = 0
