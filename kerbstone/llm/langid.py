@@ -39,6 +39,8 @@ FLOOR = 1e-7
 SHARPNESS = 3.0
 AMBIGUOUS = 0.5
 _HALF = FEATURES // 2
+# Tasks and driver hold a table of counts per language.
+MOST_LANGUAGES = 200
 _SLICE = 250_000
 
 
@@ -165,10 +167,14 @@ def weights_of(counts: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.nda
 def train(docs: DataFrame) -> Model:
     """Count n-grams by language in all rows of ``docs`` with a text and a ``lang``.
 
-    The driver gets the languages and at most ``FEATURES`` counts for each.
+    The driver gets the languages and at most ``FEATURES`` counts for each; a column with more than ``MOST_LANGUAGES``
+    values holds no languages and is refused.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = tuple(sorted(r["lang"] for r in known.select("lang").distinct().collect()))
+    found = known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values: a table of counts each would not fit a task")
+    languages = tuple(sorted(r["lang"] for r in found))
     code = code_matrix(len(languages))
     counts = np.zeros((len(languages), FEATURES), np.int64)
     if languages:

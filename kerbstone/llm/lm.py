@@ -39,9 +39,9 @@ END = CLASSES - 1
 ROUNDS = 2
 RATE = 0.6
 BATCH = 16_384
-# Each training task hands on a table of weights, so there are no more of them than keep all cores
-# busy, unless one would get more tokens than this.
-TOKENS_PER_TASK = 16_000_000
+# Each training task hands on a table of weights. Their number follows from the tokens alone, so scores don't
+# change with the cores.
+TOKENS_PER_TASK = 4_000_000
 ROWS = 1 << 16
 _SLICE = 4_000_000
 
@@ -269,6 +269,11 @@ def _most_frequent(counts: DataFrame) -> pa.Table:
     return chosen.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
 
 
+def training_tasks(tokens: int) -> int:
+    """Tasks of one round, of about ``TOKENS_PER_TASK`` tokens each."""
+    return max(1, -(-tokens // (ROUNDS * TOKENS_PER_TASK)))
+
+
 def train(docs: DataFrame) -> Trained:
     """Count and fit on all rows of ``docs``."""
     spark = docs.sparkSession
@@ -294,8 +299,7 @@ def train(docs: DataFrame) -> Trained:
         np.zeros((ROWS, CLASSES), np.float32),
     )
     part = (F.crc32(id_text(F.col("doc_id")).cast("binary")) / FOLDS).cast("long") % ROUNDS
-    tasks = -(-(total["n"] + ends) // (ROUNDS * TOKENS_PER_TASK))
-    tasks = max(tasks, spark.sparkContext.defaultParallelism)
+    tasks = training_tasks(total["n"] + ends)
     for number in range(ROUNDS):
         weights = _averaged(docs.filter(part == number), model, tasks)
         model = Model(frequent, model.log_counts, model.class_logs, model.bias, weights)

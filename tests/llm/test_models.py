@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from helpers import AWKWARD, documents
 
 from kerbstone.llm import langid, lm
@@ -21,6 +22,34 @@ def test_codewords_are_apart():
         assert apart >= 2 ** (n - 2) if n <= 7 else apart >= 5
 
 
+def test_decoding_equals_plain_loops():
+    rng = np.random.default_rng(2)
+    for n in (2, 4, 9):
+        code = langid.code_matrix(n)
+        trust = rng.random(code.shape[1]) + 0.5
+        model = langid.Model(tuple(map(str, range(n))), code, np.zeros((1, code.shape[1]), np.float32), trust)
+        found = rng.normal(size=(50, code.shape[1]))
+        best, score = langid.decode(model, found)
+        for row, b, s in zip(found.tolist(), best, score, strict=True):
+            losses = []
+            for word in code.tolist():
+                bits = zip(row, word, trust, strict=True)
+                losses.append(sum(t * math.log1p(math.exp(-langid.SHARPNESS * m * c)) for m, c, t in bits))
+            assert b == losses.index(min(losses))
+            assert math.isclose(s, 1 / sum(math.exp(min(losses) - x) for x in losses), rel_tol=1e-9)
+
+
+def test_too_many_languages_are_refused(spark):
+    rows = [(i, "some text here", f"l{i}", "a", 1) for i in range(langid.MOST_LANGUAGES + 1)]
+    with pytest.raises(ValueError, match="more than"):
+        langid.train(documents(spark, rows))
+    assert len(langid.train(documents(spark, rows[1:])).languages) == langid.MOST_LANGUAGES
+
+
+def test_training_tasks_follow_from_tokens():
+    assert [lm.training_tasks(n) for n in (0, 1, 8_000_000, 8_000_001, 80_000_000)] == [1, 1, 1, 2, 10]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     found = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
