@@ -222,7 +222,7 @@ def best_rounds(errors: Sequence[float], patience: int = 10) -> int:
 
 
 def rounds_in_blocks(
-    errors_of: Callable[[int], list[float]], most: int, patience: int = 10, block: int = 16
+    errors_of: Callable[[int], list[float]], most: int, patience: int = 10, block: int = 12
 ) -> tuple[int, list[float]]:
     """(best round, errors): train as many rounds as it takes to see ``patience`` rounds without gain.
 

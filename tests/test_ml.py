@@ -286,7 +286,7 @@ def test_blocks_grow_until_the_errors_tell():
         return [1 / (1 + min(r, 25)) for r in range(n)]
 
     assert model.rounds_in_blocks(errors_of, 100)[0] == 26
-    assert asked == [16, 32, 64]
+    assert asked == [12, 24, 48]
     assert model.rounds_in_blocks(lambda n: [1 / (1 + r) for r in range(n)], 40)[0] == 40
 
 
