@@ -43,6 +43,7 @@ BATCH = 16_384
 # change with the cores.
 TOKENS_PER_TASK = 4_000_000
 ROWS = 1 << 16
+LARGE_SCORE = 60  # below, neither exponentials nor their sums leave single precision
 _SLICE = 4_000_000
 
 
@@ -171,22 +172,43 @@ def context_rows(found: Tokens) -> np.ndarray:
     ).astype(np.int64)
 
 
-def _log_softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    scores = weights[rows[:, 0]]
-    scores += weights[rows[:, 1]]
-    scores += weights[rows[:, 2]]
+def _scores(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    scores = weights.take(rows[:, 0], 0)
+    scores += weights.take(rows[:, 1], 0)
+    scores += weights.take(rows[:, 2], 0)
     scores += bias
-    scores -= scores.max(1, keepdims=True)
-    scores -= np.log(np.exp(scores).sum(1, keepdims=True))
+    # Weights of a row add up to about zero, so the largest score is never below the mean of the bias: only
+    # large scores, which few trained tables hold, must be brought down before they are raised.
+    if scores.max(initial=0) > LARGE_SCORE:
+        scores -= scores.max(1, keepdims=True)
     return scores
 
 
+def probabilities(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of all classes for each token. ``einsum`` sums short rows faster than ``sum``, without library threads."""
+    raised = _scores(bias, weights, rows)
+    np.exp(raised, out=raised)
+    raised /= (np.einsum("ij->i", raised))[:, None]
+    return raised
+
+
+def target_logs(
+    bias: np.ndarray, weights: np.ndarray, rows: np.ndarray, classes: np.ndarray
+) -> np.ndarray:
+    """Natural logarithms of the probability of each token's class."""
+    scores = _scores(bias, weights, rows)
+    chosen = scores[np.arange(len(classes)), classes]
+    np.exp(scores, out=scores)
+    return chosen - np.log(np.einsum("ij->i", scores))
+
+
 def _step(
     model: Model, weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, classes: np.ndarray
 ) -> None:
     """One gradient step: features move by the mean of their tokens' errors, less the more
     often they were met."""
-    error = -np.exp(_log_softmax(model.bias, weights, rows))
+    error = probabilities(model.bias, weights, rows)
+    np.negative(error, out=error)
     error[np.arange(len(classes)), classes] += 1
     for column in rows.T:
         order = np.argsort(column.astype(np.uint16), kind="stable")
@@ -321,8 +343,8 @@ def _scored(shared, end_log: float):
                 target, rows = _with_ends(found, classes, END), context_rows(found)
                 gained = np.empty(len(target))
                 for k in range(0, len(target), BATCH):
-                    logs = _log_softmax(model.bias, model.weights, rows[k : k + BATCH])
-                    gained[k : k + BATCH] = logs[np.arange(len(logs)), target[k : k + BATCH]]
+                    part = slice(k, k + BATCH)
+                    gained[part] = target_logs(model.bias, model.weights, rows[part], target[part])
                 gained = gained / np.log(10) - model.class_logs[target]
                 starts = found.bounds[:-1] + np.arange(len(found.bounds) - 1)
                 size = np.diff(found.bounds) + 1

@@ -142,8 +142,23 @@ def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     weights = rng.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
     found = lm.tokens_of(pa.array(["a b c d", "", "b  a\tc"]))
-    logs = lm._log_softmax(np.zeros(lm.CLASSES, np.float32), weights, lm.context_rows(found))
-    assert len(logs) == 7 + 3 and np.allclose(np.exp(logs).sum(1), 1, atol=1e-5)
+    shares = lm.probabilities(np.zeros(lm.CLASSES, np.float32), weights, lm.context_rows(found))
+    assert len(shares) == 7 + 3 and np.allclose(shares.sum(1), 1, atol=1e-5)
+
+
+@pytest.mark.parametrize("size", [1, 100])
+def test_class_logs_equal_a_plain_softmax(size):
+    rng = np.random.default_rng(1)
+    weights = size * rng.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
+    weights -= weights.mean(1, keepdims=True)
+    bias = np.log(rng.dirichlet(np.ones(lm.CLASSES))).astype(np.float32)
+    rows, classes = rng.integers(0, lm.ROWS, (50, 3)), rng.integers(0, lm.CLASSES, 50)
+    scores = (weights[rows].sum(1) + bias).astype(float)
+    scores -= scores.max(1, keepdims=True)
+    expected = scores - np.log(np.exp(scores).sum(1, keepdims=True))
+    got = lm.target_logs(bias, weights, rows, classes)
+    assert np.allclose(got, expected[np.arange(50), classes], rtol=1e-4, atol=1e-4)
+    assert np.allclose(lm.probabilities(bias, weights, rows), np.exp(expected), atol=1e-4)
 
 
 def test_tokens_split_on_ascii_space_only():
