@@ -221,14 +221,31 @@ def best_rounds(errors: Sequence[float], patience: int = 10) -> int:
     return best + 1
 
 
+def _next_count(errors: Sequence[float], best: int, most: int, patience: int) -> int:
+    """How many rounds to train after as many as there are ``errors``, which leave the end open.
+
+    Twice as many. If the last round was the best, as many as the fall would take to reach nought at the pace of
+    the last ``patience`` rounds, and ``patience`` more. Where the run after that couldn't double again, all.
+    """
+    n = len(errors)
+    count = 2 * n
+    if best == n > 1:
+        seen = min(patience, n - 1)
+        # The last error is the least, so the fall isn't nought.
+        left = errors[-1] * seen / (errors[-1 - seen] - errors[-1])
+        count = max(count, n + patience + round(min(left, most)))
+    return most if 2 * count > most else count
+
+
 def rounds_in_blocks(
     errors_of: Callable[[int], list[float]], most: int, patience: int = 10, block: int = 12
 ) -> tuple[int, list[float]]:
     """(best round, errors): train as many rounds as it takes to see ``patience`` rounds without gain.
 
     ``errors_of(n)`` trains n rounds and gives the held-out error after each. The first n trees
-    of a longer run are those of a shorter one, so the number is doubled until the errors tell; in all that is at most
-    twice the work of the last run.
+    of a longer run are those of a shorter one, and every run starts anew. So the number is doubled until the errors tell,
+    and errors that fall steadily, which no small number will end, lead to a long run at once. All runs before the
+    last have fewer rounds together than the last one.
     """
     n = min(block, most)
     while True:
@@ -236,7 +253,7 @@ def rounds_in_blocks(
         best = best_rounds(errors, patience)
         if best + patience <= len(errors) or n >= most:
             return best, errors
-        n = min(2 * n, most)
+        n = _next_count(errors, best, most, patience)
 
 
 def _errors(model: PipelineModel, df: DataFrame, label: str) -> list[float]:

@@ -290,6 +290,30 @@ def test_blocks_grow_until_the_errors_tell():
     assert model.rounds_in_blocks(lambda n: [1 / (1 + r) for r in range(n)], 40)[0] == 40
 
 
+def test_steady_errors_are_not_trained_five_times():
+    """Every run starts anew: where errors fall to the last round, all runs together cost little more than it."""
+
+    def search(errors, **settings):
+        asked = []
+        best, _ = model.rounds_in_blocks(lambda n: asked.append(n) or errors[:n], len(errors), **settings)
+        return best, asked
+
+    assert search([0.44 - 0.0015 * r for r in range(100)]) == (100, [12, 100])
+    assert search([0.44 - 0.0015 * min(r, 11) for r in range(100)]) == (12, [12, 100])
+    # Without a fall there is nothing to wait for, and a pause in it is waited for by doubling.
+    assert search([0.44] * 100) == (1, [12])
+    assert search([0.44 - 0.001 * min(r, 20) + 0.002 * (r == 11) for r in range(100)]) == (21, [12, 24, 48])
+    rng = random.Random(7)
+    for _ in range(300):
+        falls, most, patience = rng.random() * 0.02, rng.choice([1, 12, 40, 100, 300]), rng.choice([1, 2, 10, 20])
+        errors = [0.5]
+        while len(errors) < most:
+            errors.append(round(max(0.0, errors[-1] - falls * rng.random() + 0.005 * rng.random()), 4))
+        best, asked = search(errors, patience=patience, block=rng.choice([1, 2, 12]))
+        assert best == model.best_rounds(errors, patience)
+        assert sum(asked) < 2 * asked[-1]
+
+
 @pytest.mark.parametrize("errors", [[0.5, 0.4, 0.4, 0.3], [0.5, 0.4, 0.4, 0.4, 0.1], [0.2], [0.3, 0.3, 0.3]])
 @pytest.mark.parametrize("patience", [1, 2, 10])
 def test_chosen_round_equals_the_plain_rule(spark, errors, patience):
