@@ -7,11 +7,15 @@ shards and pages are metric nodes with a routing point and a covering radius, an
 the distance to their routing point.
 
 Queries stand in bounded blocks. Each block first searches one shard of its own cell, which gives every query an
-upper bound for its k-th distance; then it is sent to the shards of those cells only that the triangle inequality
-doesn't rule out. Within a shard pages come best first, by the least distance any query of the
+upper bound for its k-th distance; then it is sent to those groups of shards only that hold a cell which the triangle
+inequality doesn't rule out. A group has neighbouring cells, and vectors of a bounded size in memory: one task holds a group and
+meets one block after the other, so a block is sent once to a group and not once to each shard. Where groups are few,
+the blocks are dealt into tiles, and each tile has its own copy of the groups. No side of this is ever broadcast.
+
+Within a shard or group pages come best first, by the least distance any query of the
 block could find there. A page is left out if its radius proves it too far, and an entry if its stored distance does, without
-computing theirs. Work on one block and one shard is bounded; their number grows with queries times rows
-only as far as the bounds don't prune.
+computing theirs; where hardly a page is ruled out, the block meets many pages in one matrix product. Work on one block and one
+group is bounded; their number grows with queries times rows only as far as the bounds don't prune.
 
 Defined results: a vector that is null, or holds a null or a non-finite component, takes no part, nor does a
 row without id. Shorter vectors are filled up with zeros. A query never meets rows of its own id; of
@@ -38,6 +42,10 @@ CELL = 4096  # rows a cell should have
 SHARD = 1500
 PAGE = 128
 BLOCK = 400
+RUN = 64  # pages compared before bounds are looked at again
+GROUP = 1 << 25  # bytes of vectors a group of shards may have
+GROUPS = 12  # at least so many, if there are shards enough
+TASKS = 48  # pairs of groups and tiles wanted; few groups get more tiles
 # Distances are rounded; bounds give way by this share of the largest distance.
 SLACK = 1e-7
 
@@ -73,8 +81,12 @@ class Space:
     def __init__(self, width: int, square: float) -> None:
         self.width, self.square = width, square
         self.slack = SLACK * (1 + 2 * square**0.5)
-        # Below 2 ** 53 the sums of products are exact in double precision.
+        # Below 2 ** 53 the sums of products are exact in double precision, up to 2 ** 24 in single.
         self.exact = square < 2.0**52
+        self.kind = np.float32 if square <= 2.0**24 else np.float64 if self.exact else np.int64
+        # The least type that holds every component.
+        fits = (t for t in (np.int8, np.int16, np.int32) if square**0.5 + 1 < np.iinfo(t).max)
+        self.narrow = next(fits, np.int64)
 
     def points(self, vectors: np.ndarray) -> np.ndarray:
         point = vectors.astype(float)
@@ -85,14 +97,15 @@ class Space:
         return np.column_stack([queries.astype(float), np.zeros(len(queries))])
 
     def scores(self, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-        if self.exact:
-            return queries.astype(float) @ vectors.astype(float).T
-        return queries @ vectors.T
+        return queries.astype(self.kind, copy=False) @ vectors.astype(self.kind, copy=False).T
+
+    def reach(self, norms: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """The distance at which a vector has the given score; ``norms`` are the queries', squared."""
+        return np.sqrt(np.maximum(norms + self.square - 2 * scores, 0)) + self.slack
 
-    def reach(self, queries: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        """The distance at which a vector has the given score."""
-        square = (queries.astype(float) ** 2).sum(1) + self.square - 2 * scores
-        return np.sqrt(np.maximum(square, 0)) + self.slack
+
+def squares(vectors: np.ndarray) -> np.ndarray:
+    return (vectors.astype(float) ** 2).sum(1)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -143,7 +156,7 @@ def build_shard(space: Space, ids: np.ndarray, vectors: np.ndarray) -> dict:
             cuts.append(k)
     return {
         "ids": ids[order],
-        "vectors": vectors[order],
+        "vectors": vectors[order].astype(space.narrow),
         "away": away[order],
         "starts": np.array(cuts),
         "ends": np.array([*cuts[1:], len(order)]),
@@ -162,6 +175,7 @@ def _building(space: Space):
             {
                 "cell": table["cell"][:1].cast(pa.int32()),
                 "shard": table["shard"][:1].cast(pa.int32()),
+                "group": table["group"][:1].cast(pa.int32()),
                 "tree": pa.array([pickle.dumps(shard)], pa.binary()),
             }
         )
@@ -173,64 +187,98 @@ def _building(space: Space):
 
 
 class Best:
-    """The k best (score, id) of each query so far."""
+    """The k best (score, id) of each query so far, and its k-th as ``floor`` and ``limit``."""
 
-    def __init__(self, queries: int, k: int, floor: np.ndarray) -> None:
-        self.k, self.floor = k, floor.copy()
+    def __init__(self, k: int, floor: np.ndarray, limit: np.ndarray, exact: bool) -> None:
+        self.k, self.floor, self.limit, self.exact = k, floor.copy(), limit.copy(), exact
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.size = 0
-        self.queries = queries
+        self.size = self.held = 0
 
     def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        self.parts.append((query, ids, score))
-        self.size += len(query)
+        """Candidates, of which those behind the k-th found so far are left out."""
+        good = (score > self.floor[query]) | (ids <= self.limit[query])
+        self.parts.append((query[good], ids[good], score[good]))
+        self.size += int(good.sum())
+        if self.size > max(2 * self.held, 4 * self.k * len(self.floor)):
+            self.settle()
 
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.parts:
             none = np.zeros(0, np.int64)
             return none, none, none.astype(float)
-        query, ids, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.lexsort((ids, -score, query))
-        query, ids, score = query[order], ids[order], score[order]
-        rank = np.arange(len(query)) - np.searchsorted(query, query)
-        last = query[rank == self.k - 1]
-        self.floor[last] = np.maximum(self.floor[last], score[rank == self.k - 1])
-        kept = rank < self.k
-        self.parts = [(query[kept], ids[kept], score[kept])]
-        self.size = int(kept.sum())
+        if len(self.parts) > 1 or self.size > self.held:
+            query, ids, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            order = np.lexsort((ids, -score, query))
+            query, ids, score = query[order], ids[order], score[order]
+            first = np.flatnonzero(np.diff(query, prepend=-1))
+            rank = np.arange(len(query)) - np.repeat(first, np.diff(first, append=len(query)))
+            last = rank == self.k - 1
+            self.floor[query[last]] = np.maximum(self.floor[query[last]], score[last])
+            if self.exact:  # else floors are rounded, and equal ones no ties
+                self.limit[query[last]] = ids[last]
+            kept = rank < self.k
+            self.parts = [(query[kept], ids[kept], score[kept])]
+            self.size = self.held = int(kept.sum())
         return self.parts[0]
 
 
 def search_shard(space: Space, shard: dict, block: dict, k: int):
-    """(query place, id, score) of each query's k best in the shard that reach its floor."""
-    queries, asking = block["vectors"], space.asking(block["vectors"])
-    best = Best(len(queries), k, block["floor"])
-    to_page = distances(asking, shard["routing"])
+    """(query place, id, score) of each query's k best in the shard or group that reach its floor, and these as ``Best``."""
+    queries, norms = block["vectors"].astype(space.kind), squares(block["vectors"])
+    limit = block.get("limit", np.full(len(queries), np.iinfo(np.int64).max))
+    best = Best(k, block["floor"], limit, space.exact)
+    to_page = distances(space.asking(block["vectors"]), shard["routing"])
     starts, ends = shard["starts"], shard["ends"]
-    radius = shard["away"][ends - 1]
-    least = np.maximum(to_page - radius, 0)
-    held = 0
-    for page in least.min(0).argsort(kind="stable"):
-        reach = space.reach(queries, best.floor)
-        asks = np.flatnonzero(least[:, page] <= reach)
+    least = np.maximum(to_page - shard["away"][ends - 1], 0)
+    order = least.min(0).argsort(kind="stable")
+
+    def meet(asks: np.ndarray, part: np.ndarray | slice) -> None:
+        score = space.scores(queries[asks], shard["vectors"][part])
+        floor = best.floor[asks].astype(score.dtype if space.exact else float)
+        hit = np.flatnonzero(score >= floor[:, None])
+        q, v = np.divmod(hit, score.shape[1])
+        q, ids = asks[q], shard["ids"][part][v]
+        other = ids != block["ids"][q]
+        best.add(q[other], ids[other], score.ravel()[hit[other]])
+
+    most = max(1, min(RUN, GROUP // (8 * PAGE * space.width)))
+    done, run = 0, most if np.isfinite(best.floor).all() else 1
+    while done < len(order):
+        pages = order[done : done + run]
+        done, run = done + run, min(2 * run, most)
+        reach = space.reach(norms, best.floor)
+        near = least[:, pages] <= reach[:, None]
+        pages, near = pages[near.any(0)], near[:, near.any(0)]
+        asks = np.flatnonzero(near.any(1))
         if not len(asks):
             continue
-        inner = (to_page[asks, page] - reach[asks]).min()
-        outer = (to_page[asks, page] + reach[asks]).max()
-        away = shard["away"][starts[page] : ends[page]]
-        a = starts[page] + np.searchsorted(away, inner)
-        z = starts[page] + np.searchsorted(away, outer, "right")
-        if a >= z:
-            continue
-        score = space.scores(queries[asks], shard["vectors"][a:z])
-        good = score >= best.floor[asks][:, None]
-        good &= shard["ids"][a:z][None] != block["ids"][asks][:, None]
-        q, v = np.nonzero(good)
-        best.add(asks[q], shard["ids"][a:z][v], score[q, v])
-        if best.size > max(2 * held, 4 * k * len(queries)) or not held:
+        if len(pages) > 1 and 2 * np.count_nonzero(near) > len(asks) * len(pages):
+            meet(asks, np.concatenate([np.arange(starts[p], ends[p]) for p in pages]))
+        else:
+            for p, page in enumerate(pages):
+                asks = np.flatnonzero(near[:, p])
+                inner = (to_page[asks, page] - reach[asks]).min()
+                outer = (to_page[asks, page] + reach[asks]).max()
+                away = shard["away"][starts[page] : ends[page]]
+                a = starts[page] + np.searchsorted(away, inner)
+                z = starts[page] + np.searchsorted(away, outer, "right")
+                if a < z:
+                    meet(asks, slice(a, z))
+        if best.size > 1.25 * best.held:
             best.settle()
-            held = max(best.size, 1)
-    return best.settle(), best.floor
+    return best.settle(), best
+
+
+def join_shards(shards: list[dict]) -> dict:
+    """A group: the shards' pages side by side."""
+    begin = np.cumsum([0, *(len(s["ids"]) for s in shards)])[:-1]
+    group = {
+        name: np.concatenate([s[name] for s in shards])
+        for name in ("ids", "vectors", "away", "routing")
+    }
+    for name in ("starts", "ends"):
+        group[name] = np.concatenate([s[name] + n for s, n in zip(shards, begin, strict=True)])
+    return group
 
 
 def _blocking(space: Space):
@@ -238,8 +286,9 @@ def _blocking(space: Space):
         vectors = _matrix(table["v"].combine_chunks(), space.width)
         block = {
             "ids": table["vec_id"].to_numpy(),
-            "vectors": vectors,
+            "vectors": vectors.astype(space.narrow),
             "floor": np.full(len(vectors), -np.inf),
+            "limit": np.full(len(vectors), np.iinfo(np.int64).max),
         }
         return pa.table(
             {
@@ -257,44 +306,66 @@ def _first_round(space: Space, k: int):
         for batch in batches:
             found = []
             for tree, queries in zip(batch.column("tree"), batch.column("queries"), strict=True):
-                block = pickle.loads(queries.as_py())
-                _, block["floor"] = search_shard(space, pickle.loads(tree.as_py()), block, k)
-                found.append(pickle.dumps(block))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["queries"])
+                # A shard that random dealing has left empty leaves its blocks unbounded, not unanswered.
+                if tree.is_valid:
+                    block = pickle.loads(queries.as_py())
+                    _, best = search_shard(space, pickle.loads(tree.as_py()), block, k)
+                    block["floor"], block["limit"] = best.floor, best.limit
+                    found.append(pickle.dumps(block))
+                else:
+                    found.append(queries.as_py())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("tile"), pa.array(found, pa.binary())], ["tile", "queries"]
+            )
 
     return bound
 
 
 def _routing(shared):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, pivots, radius, shards = shared.value
+        space, pivots, radius, groups = shared.value
         for batch in batches:
-            for queries in batch.column("queries"):
-                block = pickle.loads(queries.as_py())
+            for tile, queries in zip(batch.column("tile"), batch.column("queries"), strict=True):
+                whole = queries.as_py()
+                block = pickle.loads(whole)
                 least = distances(space.asking(block["vectors"]), pivots) - radius
-                reach = space.reach(block["vectors"], block["floor"])
-                for cell in np.flatnonzero((least <= reach[:, None]).any(0) & (shards > 0)):
-                    asks = least[:, cell] <= reach
-                    part = pickle.dumps({name: x[asks] for name, x in block.items()})
-                    n = int(shards[cell])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(n, cell, np.int32)),
-                            pa.array(np.arange(n, dtype=np.int32)),
-                            pa.array([part] * n, pa.binary()),
-                        ],
-                        ["cell", "shard", "queries"],
-                    )
+                near = least <= space.reach(squares(block["vectors"]), block["floor"])[:, None]
+                for group, cells in enumerate(groups):
+                    asks = near[:, cells].any(1)
+                    if asks.any():
+                        part = {name: x[asks] for name, x in block.items()}
+                        load = whole if asks.all() else pickle.dumps(part)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([group], pa.int32()),
+                                pa.array([tile.as_py()], pa.int32()),
+                                pa.array([load], pa.binary()),
+                            ],
+                            ["group", "tile", "load"],
+                        )
 
     return route
 
 
 def _second_round(space: Space, k: int):
+    """Trees of a part come before its blocks."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, trees, group = None, [], None
         for batch in batches:
-            for tree, queries in zip(batch.column("tree"), batch.column("queries"), strict=True):
-                block = pickle.loads(queries.as_py())
-                (query, ids, score), _ = search_shard(space, pickle.loads(tree.as_py()), block, k)
+            columns = (batch.column(n) for n in ("part", "asks", "load"))
+            for at, asks, load in zip(*columns, strict=True):
+                if at.as_py() != part:
+                    part, trees, group = at.as_py(), [], None
+                if not asks.as_py():
+                    trees.append(pickle.loads(load.as_py()))
+                    continue
+                if trees:
+                    group, trees = join_shards(trees), []
+                if group is None:  # random dealing has left its shards empty
+                    continue
+                block = pickle.loads(load.as_py())
+                (query, ids, score), _ = search_shard(space, group, block, k)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(block["ids"][query]),
@@ -307,6 +378,16 @@ def _second_round(space: Space, k: int):
     return search
 
 
+def neighbours(pivots: np.ndarray) -> np.ndarray:
+    """The pivots' numbers in an order in which near ones mostly follow each other."""
+    order, left = [0], np.ones(len(pivots), bool)
+    while len(order) < len(pivots):
+        left[order[-1]] = False
+        away = distances(pivots[order[-1:]], pivots)[0]
+        order.append(int(np.where(left, away, np.inf).argmin()))
+    return np.array(order)
+
+
 def search(embeddings: DataFrame, asks: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of every row for which ``asks`` holds.
 
@@ -344,20 +425,34 @@ def search(embeddings: DataFrame, asks: Column, k: int = K) -> DataFrame:
     per_cell = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r"))
     blocks_of = asking.groupBy("cell").agg(F.count(F.lit(1)).alias("b"))
     cells = per_cell.join(blocks_of, "cell", "left").fillna(0, ["b"]).collect()
-    radius, shards = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
-    plan = []
-    for row in cells:
-        radius[row["cell"]] = row["r"]
-        shards[row["cell"]] = -(-row["n"] // SHARD)
-        plan.append((row["cell"], int(shards[row["cell"]]), -(-row["b"] // BLOCK)))
-    sizes = spark.createDataFrame(plan, "cell int, shards int, blocks int")
+    held = {row["cell"]: row for row in cells}
+    radius = np.zeros(len(pivots))
+    # Shards and blocks are numbered through all cells; so many shards in a row are a group.
+    plan, n_shards, n_blocks = [], 0, 0
+    for cell in neighbours(pivots).tolist():
+        if row := held.get(cell):
+            radius[cell] = row["r"]
+            shards, blocks = -(-row["n"] // SHARD), -(-row["b"] // BLOCK)
+            plan.append((cell, shards, blocks, n_shards, n_blocks))
+            n_shards, n_blocks = n_shards + shards, n_blocks + blocks
+    fit = max(1, GROUP // (SHARD * space.width * np.dtype(space.narrow).itemsize))
+    per_group = min(fit, -(-n_shards // GROUPS))
+    groups = [[] for _ in range(-(-n_shards // per_group))]
+    for cell, shards, _, at, _ in plan:
+        for group in range(at // per_group, (at + shards - 1) // per_group + 1):
+            groups[group].append(cell)
+    tiles = max(1, min(n_blocks, -(-TASKS // len(groups))))
+    sizes = spark.createDataFrame(
+        plan, "cell int, shards long, blocks long, first_shard long, first_block long"
+    )
     spread = F.xxhash64("uid")
     trees = settled(
         celled.join(F.broadcast(sizes), "cell")
         .withColumn("shard", F.pmod(spread, F.col("shards")).cast("int"))
-        .select("cell", "shard", "vec_id", "v")
+        .withColumn("group", F.floor((F.col("first_shard") + F.col("shard")) / per_group).cast("int"))
+        .select("cell", "shard", "group", "vec_id", "v")
         .groupBy("cell", "shard")
-        .applyInArrow(_building(space), "cell int, shard int, tree binary"),
+        .applyInArrow(_building(space), "cell int, shard int, group int, tree binary"),
         "trees",
     )
     blocks = (
@@ -367,25 +462,29 @@ def search(embeddings: DataFrame, asks: Column, k: int = K) -> DataFrame:
         .groupBy("cell", "block")
         .applyInArrow(_blocking(space), "cell int, block int, queries binary")
     )
-    # A shard that random dealing has left empty leaves its blocks unbounded, not unanswered.
+    # Spark can't tell the size of what is packed, so it gets no choice of the join.
     first = (
         blocks.join(F.broadcast(sizes), "cell")
-        .withColumn("shard", F.pmod(F.col("block"), F.col("shards")))
-        .select("cell", "shard", "queries")
-        .join(trees, ["cell", "shard"], "left")
+        .withColumn("shard", F.pmod(F.col("block"), F.col("shards")).cast("int"))
+        .withColumn("tile", F.pmod(F.col("first_block") + F.col("block"), F.lit(tiles)).cast("int"))
+        .select("cell", "shard", "tile", "queries")
+        .join(trees.select("cell", "shard", "tree").hint("merge"), ["cell", "shard"], "left")
     )
     bounded = settled(
-        first.filter("tree IS NOT NULL")
-        .select("tree", "queries")
-        .mapInArrow(_first_round(space, k), "queries binary")
-        .unionByName(first.filter("tree IS NULL").select("queries")),
+        first.select("tile", "tree", "queries").mapInArrow(
+            _first_round(space, k), "tile int, queries binary"
+        ),
         "bounded",
     )
-    routes = spark.sparkContext.broadcast((space, pivots, radius, shards))
-    sent = bounded.mapInArrow(_routing(routes), "cell int, shard int, queries binary")
+    routes = spark.sparkContext.broadcast((space, pivots, radius, groups))
+    part = (F.col("group") * tiles + F.col("tile")).alias("part")
+    sent = bounded.mapInArrow(_routing(routes), "group int, tile int, load binary")
+    nodes = trees.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     found = (
-        sent.join(trees, ["cell", "shard"])
-        .select("tree", "queries")
+        nodes.select(part, F.lit(False).alias("asks"), F.col("tree").alias("load"))
+        .unionByName(sent.select(part, F.lit(True).alias("asks"), "load"))
+        .repartitionById(len(groups) * tiles, F.col("part"))
+        .sortWithinPartitions("part", "asks")
         .mapInArrow(_second_round(space, k), "query_id long, vec_id long, score long")
     )
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -2,9 +2,13 @@
 
 import hashlib
 import math
+import pickle
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -148,6 +152,56 @@ def test_search_awkward_rows(spark):
     check_search(spark, [], 3)
 
 
+@pytest.mark.parametrize("scale", [1, 100, 3e6])  # single, double and 64-bit products
+def test_search_in_groups_and_tiles(spark, monkeypatch, scale):
+    for name, n in dict(CELL=100, SHARD=40, PAGE=8, BLOCK=5, RUN=4, GROUPS=3, TASKS=7).items():
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(7)
+    points = (rng.normal(size=(300, 6)) * scale).astype(np.float32).tolist()
+    rows = [(i, points[i % 300]) for i in range(600)]  # every score comes twice
+    rows += [(1000 + i, points[0]) for i in range(100)] + [(20, points[5])] * 3
+    check_search(spark, rows, 6)
+
+
+def test_search_is_never_a_broadcast(spark):
+    """Spark takes packed blocks for small, whatever they unfold to, so nothing may hang on its guess."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = topk.search(df, F.col("vec_id") % 20 == 0, 5)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+
+
+def test_a_block_is_sent_once_to_a_group():
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-60, 60, (50, 4))
+    space = topk.Space(4, float((vectors**2).sum(1).max()))
+    block = {"ids": np.arange(50), "vectors": vectors, "floor": np.full(50, -np.inf)}
+    batch = pa.RecordBatch.from_pydict({"tile": pa.array([2], pa.int32()), "queries": [pickle.dumps(block)]})
+    pivots = space.points(vectors[:6])
+    shared = SimpleNamespace(value=(space, pivots, np.full(6, 100.0), [[0, 1, 2], [2, 3], [3, 4, 5]]))
+    sent = [r for b in topk._routing(shared)([batch]) for r in b.to_pylist()]
+    assert [(r["group"], r["tile"]) for r in sent] == [(0, 2), (1, 2), (2, 2)]
+    assert all(np.array_equal(pickle.loads(r["load"])["ids"], block["ids"]) for r in sent)
+
+
+def test_groups_follow_each_other_in_a_task():
+    """Each block meets the trees of its own part, and none where there are none."""
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-60, 60, (40, 4))
+    space = topk.Space(4, float((vectors**2).sum(1).max()))
+    block = {"ids": np.array([-1]), "vectors": vectors[:1], "floor": np.full(1, -np.inf)}
+    trees = [topk.build_shard(space, np.arange(a, a + 10), vectors[a : a + 10]) for a in (0, 10, 20, 30)]
+    rows = [(0, False, trees[0]), (0, False, trees[1]), (0, True, block), (1, True, block)]
+    rows += [(2, False, trees[2]), (2, True, block), (2, True, block), (3, False, trees[3])]
+    batches = [
+        pa.RecordBatch.from_pydict({"part": [p], "asks": [a], "load": [pickle.dumps(x)]}) for p, a, x in rows
+    ]
+    found = [sorted(b.to_pydict()["vec_id"]) for b in topk._second_round(space, 20)(batches)]
+    assert found == [[*range(20)], [*range(20, 30)], [*range(20, 30)]]
+
+
 def test_pages_prune():
     """Far pages are left out, yet nothing is missed."""
     rng = np.random.default_rng(1)
